@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from causeway.llm import decontaminate, pii, quality, simhash, spm, tokenfile
+from causeway.llm import decontaminate, pii, quality, simhash, spm, tokenfile, warc
 from causeway.llm.common import read
 
 
@@ -30,6 +30,10 @@ def op7_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.digest(read(spark, sf_dir, "documents"))
 
 
+def op9_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest(read(spark, sf_dir, "pages"))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return quality.score(docs, quality.train(docs, read(spark, sf_dir, "labels")))
@@ -37,7 +41,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op3_benchmark_decontamination, op4_simhash_near_dedup, op5_sentencepiece, op6_pii, op7_token_orc, op10_quality_classifier)
+    for f in (op3_benchmark_decontamination, op4_simhash_near_dedup, op5_sentencepiece, op6_pii, op7_token_orc, op9_warc_zstd, op10_quality_classifier)
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -55,5 +59,12 @@ items as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item
 select d.doc_id, cast(len(d.w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
   sha256(coalesce(listed, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join words on words.doc_id = d.doc_id left join items on items.doc_id = d.doc_id
+""",
+    "op9_warc_zstd": """
+with p as (select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages),
+f as (select *, case when payload_bytes >= 100 then min(page_id) over (partition by payload_digest) end as first from p)
+select page_id, cast(payload_bytes as bigint) as payload_bytes, payload_digest, case when page_id <> first then 'revisit' else 'response' end as record_type,
+  case when page_id <> first then first end as refers_to
+from f
 """,
 }
