@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from causeway.llm import decontaminate, pii, quality, simhash, spm, tokenfile, warc
+from causeway.llm import decontaminate, htmltext, pii, quality, simhash, spm, tokenfile, warc
 from causeway.llm.common import read
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.main_text(read(spark, sf_dir, "pages"))
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -41,7 +45,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op3_benchmark_decontamination, op4_simhash_near_dedup, op5_sentencepiece, op6_pii, op7_token_orc, op9_warc_zstd, op10_quality_classifier)
+    for f in (op1_html_extraction, op3_benchmark_decontamination, op4_simhash_near_dedup, op5_sentencepiece, op6_pii, op7_token_orc, op9_warc_zstd, op10_quality_classifier)
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
