@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from causeway.llm import decontaminate, htmltext, pii, quality, simhash, spm, tokenfile, warc
+from causeway.llm import decontaminate, htmltext, nndescent, pii, quality, simhash, spm, tokenfile, warc
 from causeway.llm.common import read
 
 
@@ -14,6 +14,10 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.main_text(read(spark, sf_dir, "pages"))
 
 
+def op2_nn_descent_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nndescent.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -45,12 +49,20 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_html_extraction, op3_benchmark_decontamination, op4_simhash_near_dedup, op5_sentencepiece, op6_pii, op7_token_orc, op9_warc_zstd, op10_quality_classifier)
+    for f in (op1_html_extraction, op2_nn_descent_near_dedup, op3_benchmark_decontamination, op4_simhash_near_dedup, op5_sentencepiece, op6_pii, op7_token_orc, op9_warc_zstd, op10_quality_classifier)
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_nn_descent_near_dedup": """
+with recursive v as (select vec_id, cast(embedding as double[]) as e, label from embeddings),
+l as (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and list_cosine_similarity(a.e, b.e) >= 0.98),
+r as (select vec_id as a, vec_id as b from v union select r.a, l.b from r join l on r.b = l.a),
+c as (select a as vec_id, min(b) as component_id from r group by a),
+n as (select a as vec_id, count(*) as n_links from l group by a)
+select c.vec_id, cast(coalesce(n_links, 0) as bigint) as n_links, component_id, c.vec_id = component_id as kept from c left join n on n.vec_id = c.vec_id
+""",
     "op3_benchmark_decontamination": f"""
 with d as (select doc_id, {_WORDS} as w from documents),
 b as (select item_id, w, least(len(w), 10) as n from (select item_id, {_WORDS} as w from benchmark) where len(w) > 0),
