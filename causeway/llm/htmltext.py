@@ -278,7 +278,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     scratch = Scratch(spark, "html")
     winners = scratch.write(consensus(pages, id_col, url_col, html_col))
     size = winners.select(F.sum(F.octet_length("host") + F.octet_length(F.array_join("paths", ">")) + 64)).first()[0] or 0
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
+    rows = pages.select(F.col(id_col).cast("string").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
     if size <= MAX_BROADCAST:
         joined = rows.join(F.broadcast(winners), "host", "left")
     else:  # a large host's pages go to several tasks
@@ -288,7 +288,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             got = [extract(h, list(p) if p is not None else []) for h, p in zip(part["html"], part["paths"], strict=True)]
-            yield pd.DataFrame({"id": part["id"].astype("Int64"), "url": part["url"], "text": [t for t, _ in got], "n_chars": [len(t) for t, _ in got], "path": [p for _, p in got]})
+            yield pd.DataFrame({"id": part["id"], "url": part["url"], "text": [t for t, _ in got], "n_chars": [len(t) for t, _ in got], "path": [p for _, p in got]})
 
-    out = joined.select("id", "url", "html", "paths").mapInPandas(run, "id long, url string, text string, n_chars long, path string")
-    return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", "n_chars", "path")
+    out = joined.select("id", "url", "html", "paths").mapInPandas(run, "id string, url string, text string, n_chars long, path string")
+    return out.select(F.col("id").cast(pages.schema[id_col].dataType).alias(id_col), F.col("url").alias(url_col), "text", "n_chars", "path")

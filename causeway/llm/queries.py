@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from causeway.llm import decontaminate, htmltext, nndescent, pii, quality, simhash, spm, tokenfile, warc
+from causeway.llm import decontaminate, htmltext, katz, nndescent, pii, quality, simhash, spm, tokenfile, warc
 from causeway.llm.common import read
 
 
@@ -38,6 +38,10 @@ def op7_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.digest(read(spark, sf_dir, "documents"))
 
 
+def op8_katz_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(read(spark, sf_dir, "documents"))
+
+
 def op9_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digest(read(spark, sf_dir, "pages"))
 
@@ -49,7 +53,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_html_extraction, op2_nn_descent_near_dedup, op3_benchmark_decontamination, op4_simhash_near_dedup, op5_sentencepiece, op6_pii, op7_token_orc, op9_warc_zstd, op10_quality_classifier)
+    for f in (op1_html_extraction, op2_nn_descent_near_dedup, op3_benchmark_decontamination, op4_simhash_near_dedup, op5_sentencepiece, op6_pii, op7_token_orc, op8_katz_scoring, op9_warc_zstd, op10_quality_classifier)
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

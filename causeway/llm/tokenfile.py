@@ -79,10 +79,10 @@ def write(docs: DataFrame, path: str, model_path: str | None = None, id_col: str
             sizes = np.array([len(x) for x in ids], np.int64)
             before = first + np.cumsum(sizes) - sizes
             first += int(sizes.sum())
-            yield pd.DataFrame({"part": number, "doc_id": part["doc_id"].astype("Int64"), "first": before, "n_tokens": sizes, "ids": ids})
+            yield pd.DataFrame({"part": number, "doc_id": part["doc_id"], "first": before, "n_tokens": sizes, "ids": ids})
 
-    laid = rows.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
-    out = laid.mapInPandas(encode, "part int, doc_id long, first long, n_tokens long, ids array<int>")
+    laid = rows.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text").select(F.col("doc_id").cast("string"), "text")
+    out = laid.mapInPandas(encode, "part int, doc_id string, first long, n_tokens long, ids array<int>").withColumn("doc_id", F.col("doc_id").cast("long"))
     settings = {"orc.bloom.filter.columns": "doc_id", "orc.create.index": "true", "orc.row.index.stride": str(ROWS), "orc.stripe.size": str(STRIPE_BYTES), "compression": "zstd"}
     out.write.options(**settings).orc(path)
 

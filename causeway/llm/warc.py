@@ -176,7 +176,7 @@ def write(pages: DataFrame, root: str, id_col: str = "page_id", url_col: str = "
     trained = dictionary(samples)
     scratch = Scratch(spark, "warc")
     revisits = scratch.write(plan(rows, least))
-    full = rows.join(revisits, ["id", "digest"], "left").select("id", "url", F.when(F.col("refers_to").isNull(), F.col("html")).otherwise(F.lit("")).alias("html"), "digest", "size", "refers_to")
+    full = rows.join(revisits, ["id", "digest"], "left").select(F.col("id").cast("string").alias("id"), "url", F.when(F.col("refers_to").isNull(), F.col("html")).otherwise(F.lit("")).alias("html"), "digest", "size", F.col("refers_to").cast("string").alias("refers_to"))
 
     def save(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, base = _store(root)
@@ -189,14 +189,14 @@ def write(pages: DataFrame, root: str, id_col: str = "page_id", url_col: str = "
             return pd.DataFrame({"path": [scheme + path], "records": [count]})
 
         for part in parts:
-            for page, url, html, digest, size, first in zip(part["id"].astype("Int64"), part["url"], part["html"], part["digest"], part["size"], part["refers_to"].astype("Int64"), strict=True):
+            for page, url, html, digest, size, first in zip(part["id"], part["url"], part["html"], part["digest"], part["size"], part["refers_to"], strict=True):
                 if writer is None:
                     path, count = f"{base}/{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.zst", 0
                     out = store.open_output_stream(path)
                     writer = Writer(out, trained)
-                first = None if first is pd.NA else int(first)
+                first = None if first is None else int(first)
                 payload = html.encode() if first is None else bytes(size)
-                writer.add(record(None if page is pd.NA else int(page), url, payload, digest, first))
+                writer.add(record(None if page is None else int(page), url, payload, digest, first))
                 count += 1
                 if writer.size >= archive_bytes:
                     yield close()
@@ -210,12 +210,13 @@ def write(pages: DataFrame, root: str, id_col: str = "page_id", url_col: str = "
 def read(spark: SparkSession, archives: DataFrame, payloads: bool = False) -> DataFrame:
     """The records of archives (path, records), validated: page_id, payload_bytes, payload_digest, record_type, refers_to, url, and payload if asked for."""
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"] + ["payload"] * payloads
-    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string" + ", payload binary" * payloads
+    schema = "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, url string" + ", payload binary" * payloads
 
     def load(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def table(rows: list[dict]) -> pd.DataFrame:
-            out = pd.DataFrame(rows, columns=names)
-            return out.astype({"page_id": "Int64", "refers_to": "Int64"})
+            # ids travel as text: pandas would make doubles of longs with nulls among them
+            told = lambda i: None if i is None else str(i)
+            return pd.DataFrame([r | {"page_id": told(r["page_id"]), "refers_to": told(r["refers_to"])} for r in rows], columns=names)
 
         for part in parts:
             for path, records in zip(part["path"], part["records"], strict=True):
@@ -234,7 +235,7 @@ def read(spark: SparkSession, archives: DataFrame, payloads: bool = False) -> Da
                     yield table(rows)
 
     files = archives.repartition(max(1, min(archives.count(), 10_000)), "path")
-    return files.mapInPandas(load, schema)
+    return files.mapInPandas(load, schema).withColumns({c: F.col(c).cast("long") for c in ("page_id", "refers_to")})
 
 
 def digest(pages: DataFrame, **kw) -> DataFrame:
