@@ -10,11 +10,17 @@ from pyspark.sql import functions as F
 from causeway.operators.ranking import topk
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a local one where that is unset, as in tests."""
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="causeway-"))
+    return (spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()).rstrip("/")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder of spark.checkpoint.dir, which survives the loss of executors."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="causeway-"))
+    """A reliable checkpoint in the shared folder, which survives the loss of executors."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
