@@ -27,7 +27,7 @@ from causeway.llm.common import Scratch, small_batches
 ORDER = 2
 #: Counts up to this are discounted.
 GT = 5
-BLOCK_TOKENS = 1 << 22
+BLOCK_TOKENS = 3 << 19
 #: Tokens of the input for each partition of the tables.
 PART_TOKENS = 1 << 21
 #: Bytes of the input for each bucket of the blocks' table.
@@ -101,12 +101,11 @@ class Block:
         words, tok = _unpack(row.keys, np.uint64), _unpack(row.toks, np.uint32)
         self.lens = np.asarray(row.lens, np.int64)
         self.held = np.repeat(np.asarray(row.held, bool), self.lens)
-        self.doc = np.repeat(np.arange(len(self.lens)), self.lens)
+        self.doc = np.repeat(np.arange(len(self.lens), dtype=np.int32), self.lens)
         word, n = words[tok], len(tok)
-        place = np.arange(n) - np.repeat(self.lens.cumsum() - self.lens, self.lens)
-        self.word = word
+        place = np.arange(n, dtype=np.int32) - np.repeat((self.lens.cumsum() - self.lens).astype(np.int32), self.lens)
         self.keys, self.at, self.context = [], [], []
-        context = np.full(n, np.uint64(0))  # of order 1: the empty context
+        context = np.empty(0, np.uint64)  # of order 1: none
         for level in range(1, order + 1):
             if level > 1:
                 before = np.empty(n, np.uint64)
@@ -296,7 +295,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     rows = docs.select(F.col(id_col).cast("string").alias("id"), held.alias("held"), F.col(text_col).alias("text"))
     kind = "block long, ids array<string>, held array<boolean>, lens array<int>, keys binary, toks binary, n long"
     read = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    buckets = max(1, min(-(-read // BUCKET_BYTES), 4096))
+    # with fewer buckets than a shuffle has partitions, the planner would shuffle the blocks as well
+    buckets = max(min(-(-read // BUCKET_BYTES), 4096), int(spark.conf.get("spark.sql.shuffle.partitions")))
     table = f"causeway_blocks_{scratch.root[-32:]}"
     blobs, batch = "8", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     try:
