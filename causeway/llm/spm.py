@@ -8,6 +8,7 @@ before aren't encoded again; each new one is checked against the sentencepiece l
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 from collections.abc import Iterator
@@ -25,8 +26,10 @@ MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
 _RUN = re.compile(f"{MARK}+[^{MARK}]*")
-#: Entries kept by a worker, and the longest text among them.
-_CACHE, _LONGEST = 300_000, 64
+#: Words kept by a worker, the longest of them, and how many new ones are encoded in one text.
+_CACHE, _LONGEST, _GROUP = 250_000, 64, 1_000
+#: Threads of a worker's batches.
+THREADS = 2
 
 
 def default_path() -> str:
@@ -139,11 +142,18 @@ class Encoder:
     def __init__(self, data: bytes, check: bool = True):
         self.model = parse(data)
         self.tok = build(self.model)
-        self.known: dict[str, tuple[list[int], bool]] = {}
+        self.known: dict[str, bytes] = {}
+        self.odd: set[str] = set()  # of those, what the library encodes otherwise
+        self.first = np.array([p.startswith(MARK) for p, _, _ in self.model.pieces])
         # pieces of text may stand alone only if nothing is normalised or merged across a marker
         self.cuts = self.model.dummy_prefix and self.model.escape and not self.model.squeeze and not self.model.charsmap
         self.cuts = self.cuts and self.model.kind == BPE and not any(MARK in p.lstrip(MARK) for p, _, k in self.model.pieces if k in (NORMAL, USER))
         self.cuts = self.cuts and self.tok.token_to_id(MARK) is not None
+        self.words = build(self.model)
+        if self.cuts:
+            from tokenizers import pre_tokenizers
+
+            self.words.pre_tokenizer = pre_tokenizers.Split(MARK, "merged_with_next")
         self.spm = None
         if check:
             import sentencepiece
@@ -160,26 +170,47 @@ class Encoder:
             return text.split(" ")
         return [x[1:].replace(MARK, " ") for x in _RUN.findall(MARK + text.replace(" ", MARK))]
 
+    def _alone(self, words: list[str]) -> None:
+        """Encodes and checks each word for itself."""
+        for start in range(0, len(words), 4096):
+            part = words[start : start + 4096]
+            ids = [e.ids for e in self.tok.encode_batch_fast(part, add_special_tokens=False)]
+            for x, i, j in zip(part, ids, self.spm.encode(part) if self.spm else ids, strict=True):
+                self.known[x] = np.array(i, "<i4").tobytes()
+                if i != j:
+                    self.odd.add(x)
+
+    def _learn(self, words: list[str]) -> None:
+        """Encodes and checks new words, plain ones many in a text: only a word's first id has a marker."""
+        plain = [x for x in words if x and " " not in x and MARK not in x] if self.cuts else []
+        groups = [plain[i : i + _GROUP] for i in range(0, len(plain), _GROUP)]
+        for start in range(0, len(groups), 16):
+            texts = [" ".join(g) for g in groups[start : start + 16]]
+            ids = [e.ids for e in self.words.encode_batch_fast(texts, add_special_tokens=False)]
+            for group, i, j in zip(groups[start : start + 16], ids, self.spm.encode(texts) if self.spm else ids, strict=True):
+                a = np.array(i, "<i4")
+                at = (np.flatnonzero(self.first[a]) * 4).tolist()
+                if i == j and len(at) == len(group):
+                    raw = a.tobytes()
+                    self.known.update(zip(group, (raw[x:y] for x, y in zip(at, [*at[1:], len(raw)], strict=True)), strict=True))
+        self._alone([x for x in words if x not in self.known])
+
     def encode(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[bool]]:
         """(ids, whether the sentencepiece library gives the same) of each text; null counts as empty."""
-        if len(self.known) > _CACHE:
-            self.known.clear()
+        known, odd = self.known, self.odd
+        if len(known) > _CACHE:
+            known.clear()
+            odd.clear()
         if self.cuts:
-            self.known[""] = ([self.tok.token_to_id(MARK)], True)  # a marker at the very end
+            known[""] = np.array([self.tok.token_to_id(MARK)], "<i4").tobytes()  # a marker at the very end
         cut = [self._cut(t or "") for t in texts]
-        new = list({x for xs in cut for x in xs if x not in self.known})
-        fresh: dict[str, tuple[list[int], bool]] = {}
-        for start in range(0, len(new), 4096):
-            part = new[start : start + 4096]
-            ids = [e.ids for e in self.tok.encode_batch_fast(part, add_special_tokens=False)]
-            same = [a == b for a, b in zip(ids, self.spm.encode(part), strict=True)] if self.spm else [True] * len(part)
-            for x, i, s in zip(part, ids, same, strict=True):
-                (self.known if len(x) <= _LONGEST else fresh)[x] = (i, s)
-        out, parity = [], []
-        for xs in cut:
-            got = [self.known.get(x) or fresh[x] for x in xs]
-            out.append(np.array([i for ids, _ in got for i in ids], np.int32))
-            parity.append(all(s for _, s in got))
+        new = set().union(*cut).difference(known)
+        self._learn(sorted(new))
+        out = [np.frombuffer(b"".join(map(known.__getitem__, xs)), "<i4") for xs in cut]
+        parity = [not odd or odd.isdisjoint(xs) for xs in cut]
+        for x in new:
+            if len(x) > _LONGEST:
+                del known[x]
         return out, parity
 
     def decode(self, ids: list[np.ndarray]) -> list[str]:
@@ -200,6 +231,7 @@ def tokenize(docs: DataFrame, model_path: str | None = None, id_col: str = "doc_
 
     @F.pandas_udf(kind)
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
         encoder = Encoder(shared.value, check)
         for texts in parts:
             given = [t or "" for t in texts]
