@@ -24,7 +24,8 @@ GRADES = 3
 MAX_RATED = 12_000
 #: Features in fewer of these rows than this get no weight.
 MIN_ROWS = 5
-L2, STEPS, RATE = 2.0, 150, 0.1
+L2, STEPS, RATE = 2.0, 200, 0.05
+_CHUNK = 500
 CUT = 0.6
 #: Bytes of a word's beginning that count as a feature of their own: inflected words share them.
 PREFIXES = (4, 5)
@@ -95,7 +96,7 @@ def columns(text: str | None, known: Known) -> np.ndarray:
 
 
 def fit(rows: list[np.ndarray], grades: np.ndarray, steps: int = STEPS, l2: float = L2, rate: float = RATE) -> tuple[np.ndarray, np.ndarray]:
-    """(weights, thresholds) by gradient steps on the penalised likelihood; without rows or with one grade, only thresholds."""
+    """(weights, thresholds) with the best penalised likelihood seen on the way of shrinking gradient steps; without rows or with one grade, only thresholds."""
     w = np.zeros(1 << BITS)
     counts = np.bincount(grades, minlength=GRADES) if len(grades) else np.zeros(GRADES)
     above = (counts[::-1].cumsum()[::-1][1:] + 1) / (counts.sum() + 2)
@@ -103,36 +104,51 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, steps: int = STEPS, l2: floa
     theta = np.maximum.accumulate(theta + 1e-6 * np.arange(GRADES - 1))
     if len(set(grades.tolist())) < 2:
         return w, theta
-    cols = np.concatenate(rows)
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    used = np.bincount(cols, minlength=1 << BITS) >= MIN_ROWS
-    cols, owner = cols[used[cols]], owner[used[cols]]
+    seen = np.zeros(1 << BITS, np.int32)
+    for r in rows:
+        np.add.at(seen, np.unique(r), 1)
+    used = np.flatnonzero(seen >= MIN_ROWS)
+    place = np.full(1 << BITS, -1, np.int32)
+    place[used] = np.arange(len(used), dtype=np.int32)
+    w, parts = np.zeros(len(used)), []
+    for i in range(0, len(rows), _CHUNK):  # what a step holds besides the features stays small
+        some = [place[r][place[r] >= 0] for r in rows[i : i + _CHUNK]]
+        parts.append((i, i + len(some), np.concatenate(some), np.repeat(np.arange(len(some), dtype=np.int32), [len(r) for r in some])))
     b, logs = theta[0], np.log(np.diff(theta))  # theta = b, b + exp(logs[0]), ...: always rising
     params = [w, np.array([b]), logs]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    n = len(rows)
+    n, best, kept = len(rows), -np.inf, (w, theta)
     for step in range(1, steps + 1):
         w, (b,), logs = params
         theta = b + np.concatenate([[0.0], np.exp(logs).cumsum()])
-        x = np.bincount(owner, w[cols], minlength=n)
+        x = np.empty(n)
+        for i, j, cols, owner in parts:
+            x[i:j] = np.bincount(owner, w[cols], minlength=j - i)
         # P(y > k) for k = -1 .. GRADES - 1
         tail = np.hstack([np.ones((n, 1)), 1 / (1 + np.exp(np.clip(theta - x[:, None], -40, 40))), np.zeros((n, 1))])
         slope = tail * (1 - tail)
         at = np.arange(n)
         p = np.maximum(tail[at, grades] - tail[at, grades + 1], 1e-12)
+        gain = np.log(p).sum() - l2 / 2 * np.square(w).sum()
+        if gain > best:
+            best, kept = gain, (w.copy(), theta)
         gx = (slope[at, grades] - slope[at, grades + 1]) / p
         gt = np.zeros((n, GRADES + 1))
         gt[at, grades] -= slope[at, grades] / p
         gt[at, grades + 1] += slope[at, grades + 1] / p
         gt = gt[:, 1:GRADES].sum(0)
         later = gt[::-1].cumsum()[::-1]
-        grads = [np.bincount(cols, gx[owner], minlength=1 << BITS) - l2 * w, later[:1], later[1:] * np.exp(logs)]
+        gw = np.zeros(len(w))
+        for i, j, cols, owner in parts:
+            gw += np.bincount(cols, gx[i:j][owner], minlength=len(w))
+        grads = [gw - l2 * w, later[:1], later[1:] * np.exp(logs)]
         for i, g in enumerate(grads):
             first[i] = 0.9 * first[i] + 0.1 * g
             second[i] = 0.99 * second[i] + 0.01 * g * g
-            params[i] = params[i] + rate * (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.99**step)) + 1e-8)
-    w, (b,), logs = params
-    return w, b + np.concatenate([[0.0], np.exp(logs).cumsum()])
+            params[i] = params[i] + rate * (1 - step / (steps + 1)) * (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.99**step)) + 1e-8)
+    out = np.zeros(1 << BITS)
+    out[used] = kept[0]
+    return out, kept[1]
 
 
 def tails(x: np.ndarray, theta: np.ndarray) -> np.ndarray:
