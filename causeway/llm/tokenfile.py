@@ -6,9 +6,10 @@ Bloom filter on the document id, so that readers take stripes in parallel and sk
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -24,7 +25,11 @@ END = 1
 FILE_BYTES = 16 << 20
 ROWS = 1_000
 STRIPE_BYTES = 8 << 20
-_CACHE, _LONGEST = 300_000, 64
+#: Words kept by a worker, the longest of them, and how many new ones are encoded in one text.
+_CACHE, _LONGEST, _GROUP = 250_000, 64, 1_000
+MARK, MARK_BYTE = "~", b"~"
+_LOWER = bytes(32 if c == 10 else c + 32 if 65 <= c <= 90 else c for c in range(256))
+_STOP = re.compile(rb"(?<=[a-z])([.,])(?= |$)")
 
 
 def default_path() -> str:
@@ -34,28 +39,63 @@ def default_path() -> str:
 
 
 class WordEncoder:
-    """Ids of whole texts. A space or line end splits words in every step of the tokenizer, so words seen before aren't encoded again."""
+    """Ids of whole texts, as bytes of 32-bit numbers.
+
+    A space or line end parts words in every step of the tokenizer, which lower-cases first, so words seen before
+    aren't encoded again. New words are encoded many at a time, with a mark between them that none of them holds.
+    """
 
     def __init__(self, data: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_str(data)
-        self.known: dict[str, list[int]] = {}
-
-    def __call__(self, texts: list[str]) -> list[list[int]]:
-        if len(self.known) > _CACHE:
-            self.known.clear()
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list({x for xs in cut for x in xs if x not in self.known})
-        long: dict[str, list[int]] = {}
-        for start in range(0, len(new), 4096):
-            part = new[start : start + 4096]
-            for x, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                (self.known if len(x) <= _LONGEST else long)[x] = e.ids
+        self.known: dict[bytes, bytes] = {}
+        mark = self.tok.encode(MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
+
+    def _cut(self, text: str) -> list[bytes]:
+        data = text.encode("utf-8", "replace")
+        if b"<|" in data:  # may hold special tokens, whose case counts
+            return data.replace(b"\n", b" ").split(b" ")
+        # a full stop or comma between a letter and a space is a token of its own
+        return _STOP.sub(rb" \1", data.translate(_LOWER)).split(b" ")
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<i4").tobytes() for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _learn(self, words: list[bytes]) -> None:
+        plain = [w for w in words if self.mark is not None and MARK_BYTE not in w and b"<|" not in w]
+        self._together(plain)
+        rest = [w for w in words if w not in self.known]
+        for start in range(0, len(rest), 4096):
+            part = rest[start : start + 4096]
+            self.known.update(zip(part, self._ids([w.decode("utf-8") for w in part]), strict=True))
+
+    def _together(self, words: list[bytes]) -> None:
+        groups = [words[i : i + _GROUP] for i in range(0, len(words), _GROUP)]
+        for start in range(0, len(groups), 16):
+            some = groups[start : start + 16]
+            texts = [f" {MARK} ".encode().join(g).decode("utf-8") for g in some]
+            for group, e in zip(some, self.tok.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, "<i4")
+                edges = np.flatnonzero(ids == self.mark)
+                if len(edges) == len(group) - 1:
+                    raw, at = ids.tobytes(), [0, *((edges + 1) * 4).tolist()]
+                    ends = [*(edges * 4).tolist(), len(raw)]
+                    self.known.update(zip(group, (raw[i:j] for i, j in zip(at, ends, strict=True)), strict=True))
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
         known = self.known
-        if long:
-            return [list(chain.from_iterable(known[x] if x in known else long[x] for x in xs)) for xs in cut]
-        return [list(chain.from_iterable(map(known.__getitem__, xs))) for xs in cut]
+        if len(known) > _CACHE:
+            known.clear()
+        cut = [self._cut(t) for t in texts]
+        new = set().union(*cut).difference(known)
+        self._learn(sorted(new))
+        out = [b"".join(map(known.__getitem__, xs)) for xs in cut]
+        for x in new:
+            if len(x) > _LONGEST:
+                del known[x]
+        return out
 
 
 def write(docs: DataFrame, path: str, model_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", end: int = END, file_bytes: int = FILE_BYTES) -> None:
@@ -73,9 +113,11 @@ def write(docs: DataFrame, path: str, model_path: str | None = None, id_col: str
     files = max(1, min(-(-size // file_bytes), 1 << 16))
 
     def encode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        tail = np.array([end], "<i4").tobytes()
         encoder, first, number = WordEncoder(shared.value), 0, TaskContext.get().partitionId()
         for part in parts:
-            ids = [np.array([*x, end], np.int32) for x in encoder(part["text"].tolist())]
+            ids = [np.frombuffer(x + tail, "<i4") for x in encoder(part["text"].tolist())]
             sizes = np.array([len(x) for x in ids], np.int64)
             before = first + np.cumsum(sizes) - sizes
             first += int(sizes.sum())
