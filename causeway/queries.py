@@ -285,10 +285,11 @@ def history_rates(spark, d):
 
 @query("""
 select lang, doc_id, score, cast(rank as int) as rank from (select lang, doc_id, score, row_number() over (partition by lang order by score < 0.15, score desc, doc_id desc) as rank
-  from (select lang, doc_id, round(least(n_chars / 20000, 1.0), 4) as score from documents)) where rank <= 5
+  from (select lang, doc_id, floor(least(n_chars, 20000) / 2 + 0.5) / 10000 as score from documents)) where rank <= 5
 """)
 def topk_backfill(spark, d):
-    df = t(spark, d, "documents").select("lang", "doc_id", F.round(F.least(F.col("n_chars") / 20000, F.lit(1.0)), 4).alias("score"))
+    # four places by whole numbers: binary halves round alike everywhere
+    df = t(spark, d, "documents").select("lang", "doc_id", (F.floor(F.least(F.col("n_chars"), F.lit(20000)) / 2 + 0.5) / 10000).alias("score"))
     return R.backfill_topk(df, ["lang"], [F.desc("score"), F.desc("doc_id")], "score", 0.15, 5)
 
 
