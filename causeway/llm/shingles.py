@@ -1,0 +1,143 @@
+"""Near-duplicates by word shingles: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+
+Two such sets share one of the first n - ceil(0.8 n) + 1 shingles of each, in any order common to all sets, so
+all pairs meet on these; every pair that meets is compared in full. Common shingles are put last in the order.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from itertools import repeat
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from causeway.llm.common import Scratch, small_batches
+from causeway.llm.graph import components
+
+SEED = 42
+SHINGLE = 5
+#: The least similarity, as a fraction.
+OVER, UNDER = 4, 5
+#: A shingle that more sets meet on is put last, as far as MOST_COMMON goes; where more sets than CROWD still meet, stars come first.
+COMMON, MOST_COMMON, CROWD = 32, 1 << 20, 64
+STARS = 4
+_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+
+
+def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """Distinct hashes of a text's shingles in rising order; a shorter text is one shingle, one without words has none."""
+    words = text.encode("utf-8", "replace").translate(_LOWER).split() if text else []
+    found = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)) if len(words) >= shingle else [b" ".join(words)] if words else []
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, found, repeat(SEED)), np.uint64))
+
+
+@F.pandas_udf(T.BinaryType())
+def shingles_udf(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for texts in parts:
+        yield pd.Series([shingles(x).tobytes() for x in texts], dtype=object)
+
+
+@F.pandas_udf(T.BooleanType())
+def similar_udf(left: pd.Series, right: pd.Series) -> pd.Series:
+    return pd.Series([_similar(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) for a, b in zip(left, right, strict=True)], dtype=bool)
+
+
+def _similar(a: np.ndarray, b: np.ndarray) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return UNDER * both >= OVER * (len(a) + len(b) - both)
+
+
+def _met(sets: DataFrame, common: np.ndarray) -> DataFrame:
+    """(key, node, n): the shingles on which a set is to meet others, common ones last in the order."""
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def first(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for rows in parts:
+            out = []
+            for s in rows:
+                x = np.frombuffer(s, np.uint64)
+                late = np.isin(x, common)
+                x = np.concatenate([x[~late], x[late]])
+                out.append(x[: len(x) - -(-OVER * len(x) // UNDER) + 1].view(np.int64))
+            yield pd.Series(out, dtype=object)
+
+    one = sets.where(F.length("s") > 0)
+    return one.select(F.explode(first("s")).alias("key"), "node", (F.length("s") / 8).cast("int").alias("n")).distinct()
+
+
+def _common(met: DataFrame) -> np.ndarray:
+    many = met.groupBy("key").count().where(F.col("count") > COMMON).orderBy(F.desc("count"), "key").limit(MOST_COMMON)
+    return np.array([r.key for r in many.select("key").collect()], np.int64).view(np.uint64)
+
+
+def _fit(a: str, b: str):
+    """The sizes of two sets allow the similarity."""
+    return (F.col(a) * UNDER >= F.col(b) * OVER) & (F.col(b) * UNDER >= F.col(a) * OVER)
+
+
+def links(sets: DataFrame, scratch: Scratch, crowd: int = CROWD) -> DataFrame:
+    """(node, s) -> (a, b): links that leave the same components as all pairs of similar sets.
+
+    Where more than `crowd` sets meet, all are compared with one of them, several times over with another one;
+    then pairs whose sets are still apart are compared. Pairs within a component are left out.
+    """
+    common = _common(_met(sets, np.empty(0, np.uint64)))
+    met = scratch.write(_met(sets, common))
+    full = met.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    met = scratch.write(met.join(full, "key"))
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        pairs = scratch.write(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        have = scratch.write(sets.join(wanted, "node", "left_semi").dropDuplicates(["node"]))
+        both = pairs.join(have.toDF("a", "sa"), "a").join(have.toDF("b", "sb"), "b")
+        return scratch.write(both.where(similar_udf("sa", "sb")).select("a", "b"))
+
+    def across(rows: DataFrame, other: DataFrame) -> DataFrame:
+        right = other.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
+        left = rows.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
+        return left.join(right, "key").where((F.col("ca") != F.col("cb")) & _fit("na", "nb")).select("a", "b")
+
+    thin = met.where(F.col("c") <= crowd).withColumn("comp", F.col("node"))
+    found = checked(across(thin, thin).where("a < b"))
+    rest = met.where(F.col("c") > crowd).select("key", "node", "n")
+    if rest.isEmpty():
+        return found
+    for turn in range(STARS + 1):
+        labels = components(found, scratch).toDF("node", "comp")
+        here = rest.join(labels, "node", "left").select("key", "node", "n", F.coalesce("comp", "node").alias("comp"))
+        mixed = here.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+        here = scratch.write(here.join(mixed, "key", "left_semi"))
+        if here.isEmpty():
+            break
+        if turn < STARS:
+            order = F.xxhash64("node", F.lit(turn))
+            middle = here.groupBy("key").agg(F.min_by(F.struct("node", "n", "comp"), order).alias("m")).select("key", "m.*")
+            pairs = across(middle, here)
+        else:
+            pairs = across(here, here).where("a < b")
+        found = scratch.write(found.unionByName(checked(pairs)))
+    return found
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD) -> DataFrame:
+    """The input rows without near-duplicates: of each component the row with the smallest id, one row of each repeated id.
+
+    Texts without words are equal to each other. Rows without an id can't be told apart and stay. All columns stay.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    scratch = Scratch(spark, "shingles")
+    named = docs.where(F.col(id_col).isNotNull())
+    sets = named.select(F.col(id_col).alias("id"), shingles_udf(F.col(text_col)).alias("s"))
+    sets = scratch.write(sets.select("id", F.xxhash64("s").alias("node"), "s"))
+    groups = scratch.write(sets.groupBy("node").agg(F.min("id").alias("least")))
+    found = components(links(sets.select("node", "s"), scratch, crowd), scratch).toDF("node", "component")
+    roots = groups.join(found, "node", "left").select("least", F.coalesce("component", "node").alias("root"))
+    kept = roots.groupBy("root").agg(F.min("least").alias(id_col)).select(id_col).distinct()
+    return named.join(kept, id_col, "left_semi").dropDuplicates([id_col]).select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
