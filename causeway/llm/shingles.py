@@ -14,6 +14,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
 from causeway.llm.common import Scratch, small_batches
@@ -26,6 +27,8 @@ OVER, UNDER = 4, 5
 #: A shingle that more sets meet on is put last, as far as MOST_COMMON goes; where more sets than CROWD still meet, stars come first.
 COMMON, MOST_COMMON, CROWD = 32, 1 << 20, 64
 STARS = 4
+#: So many nodes may be broadcast.
+SMALL = 1 << 20
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -66,12 +69,11 @@ def _met(sets: DataFrame, common: np.ndarray) -> DataFrame:
                 out.append(x[: len(x) - -(-OVER * len(x) // UNDER) + 1].view(np.int64))
             yield pd.Series(out, dtype=object)
 
-    one = sets.where(F.length("s") > 0)
-    return one.select(F.explode(first("s")).alias("key"), "node", (F.length("s") / 8).cast("int").alias("n")).distinct()
+    return sets.where(F.length("s") > 0).select(F.explode(first("s")).alias("key"), "node", (F.length("s") / 8).cast("int").alias("n"))
 
 
-def _common(met: DataFrame) -> np.ndarray:
-    many = met.groupBy("key").count().where(F.col("count") > COMMON).orderBy(F.desc("count"), "key").limit(MOST_COMMON)
+def _common(sets: DataFrame) -> np.ndarray:
+    many = _met(sets, np.empty(0, np.uint64)).groupBy("key").count().where(F.col("count") > COMMON).orderBy(F.desc("count"), "key").limit(MOST_COMMON)
     return np.array([r.key for r in many.select("key").collect()], np.int64).view(np.uint64)
 
 
@@ -86,15 +88,15 @@ def links(sets: DataFrame, scratch: Scratch, crowd: int = CROWD) -> DataFrame:
     Where more than `crowd` sets meet, all are compared with one of them, several times over with another one;
     then pairs whose sets are still apart are compared. Pairs within a component are left out.
     """
-    common = _common(_met(sets, np.empty(0, np.uint64)))
-    met = scratch.write(_met(sets, common))
-    full = met.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    met = scratch.write(met.join(full, "key"))
+    # one exchange for the distinct rows and the sizes
+    met = _met(sets, _common(sets)).repartition("key").distinct()
+    met = scratch.write(met.withColumn("c", F.count("*").over(W.partitionBy("key"))).where("c > 1"))
+    nodes = scratch.write(met.select("node").distinct())
+    nodes = F.broadcast(nodes) if nodes.count() <= SMALL else nodes
+    have = scratch.write(sets.join(nodes, "node", "left_semi").dropDuplicates(["node"]).select("node", "s"))
 
     def checked(pairs: DataFrame) -> DataFrame:
         pairs = scratch.write(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        have = scratch.write(sets.join(wanted, "node", "left_semi").dropDuplicates(["node"]))
         both = pairs.join(have.toDF("a", "sa"), "a").join(have.toDF("b", "sb"), "b")
         return scratch.write(both.where(similar_udf("sa", "sb")).select("a", "b"))
 
@@ -135,7 +137,8 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     scratch = Scratch(spark, "shingles")
     named = docs.where(F.col(id_col).isNotNull())
     sets = named.select(F.col(id_col).alias("id"), shingles_udf(F.col(text_col)).alias("s"))
-    sets = scratch.write(sets.select("id", F.xxhash64("s").alias("node"), "s"))
+    # sets are made from the texts again where they are needed: as a table they would take more than the texts
+    sets = sets.select("id", F.xxhash64("s").alias("node"), "s")
     groups = scratch.write(sets.groupBy("node").agg(F.min("id").alias("least")))
     found = components(links(sets.select("node", "s"), scratch, crowd), scratch).toDF("node", "component")
     roots = groups.join(found, "node", "left").select("least", F.coalesce("component", "node").alias("root"))
