@@ -510,13 +510,28 @@ select item_id, doc_id, round(k / len(w), 4) as score from (select item_id, doc_
   select q.item_id, dw.doc_id, any_value(q.w) as w, count(*) as k from (select item_id, w, unnest(w) as word from q) q join dw on dw.w = q.word group by q.item_id, dw.doc_id)) where rn = 1
 """)
 def token_overlap(spark, d):
+    return _token_overlap(t(spark, d, "benchmark"), t(spark, d, "documents").where("n_chars < 600"))
+
+
+def _token_overlap(items, documents):
     tok = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), " "), lambda x: F.length(x) > 2))
-    q = t(spark, d, "benchmark").select("item_id", tok("text").alias("w"))
-    docs = t(spark, d, "documents").where("n_chars < 600").select("doc_id", F.explode(tok("text")).alias("word"))
+    q = items.select("item_id", tok("text").alias("w"))
+    docs = documents.select("doc_id", F.explode(tok("text")).alias("word"))
     met = q.select("item_id", F.size("w").alias("n"), F.explode("w").alias("word")).join(docs, "word").groupBy("item_id", "doc_id", "n").agg(F.count("*").alias("k"))
     return R.keep_best(met, ["item_id"], [F.desc(F.col("k") / F.col("n")), "doc_id"]).select("item_id", "doc_id", F.round(F.col("k") / F.col("n"), 4).alias("score"))
 
 
+@query("""
+with q as (select item_id, list_distinct(list_filter(string_split(lower(text), ' '), lambda x: length(x) > 2)) as w from benchmark),
+dw as (select distinct doc_id, w from (select doc_id, unnest(string_split(lower(text), ' ')) as w from documents) where length(w) > 2)
+select item_id, doc_id, round(k / len(w), 4) as score from (select item_id, doc_id, k, w, row_number() over (partition by item_id order by k / len(w) desc, doc_id) as rn from (
+  select q.item_id, dw.doc_id, any_value(q.w) as w, count(*) as k from (select item_id, w, unnest(w) as word from q) q join dw on dw.w = q.word group by q.item_id, dw.doc_id)) where rn = 1
+""")
+def token_overlap_whole(spark, d):
+    """token_overlap over all documents, whatever their length."""
+    return _token_overlap(t(spark, d, "benchmark"), t(spark, d, "documents"))
+
+
 def _advisory_sql():
     rules = []
     for _, phrases, (a, b, c, p) in C.ADVISORY_RULES:
