@@ -69,7 +69,7 @@ def bounded_paths(edges: DataFrame, starts: DataFrame, ends: DataFrame, max_dept
     return topk(one, ["g", "start"], ["key"], max_paths).select("g", "start", "path", "rank")
 
 
-def reach(defs: DataFrame, uses: DataFrame, starts: DataFrame, max_rounds: int = 32) -> DataFrame:
+def reach(defs: DataFrame, uses: DataFrame, starts: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """(g, stmt): statements that a start depends on, through definitions that come before a use.
 
     defs: g, stmt, line, name. uses: the same. starts: g, stmt. The set form of a backward slice.

@@ -619,6 +619,19 @@ def slice_reach(spark, d):
     return G.reach(names, names, starts)
 
 
+@query("""
+with recursive w as (select conv_id as g, turn as stmt, list_distinct(string_split(lower(text), ' ')) as names from conversations),
+x as (select g, stmt, unnest(names) as name from w), e as (select distinct a.g, a.stmt as src, b.stmt as dst from x a join x b on a.g = b.g and a.name = b.name and a.stmt < b.stmt and length(a.name) > 3),
+s as (select conv_id as g, max(turn) as stmt from conversations group by conv_id),
+r as (select g, stmt from s union select e.g, e.src from e join r on e.g = r.g and e.dst = r.stmt) select g, stmt from r
+""")
+def slice_reach_whole(spark, d):
+    """slice_reach with the names of whole texts."""
+    c = t(spark, d, "conversations").select(F.col("conv_id").alias("g"), F.col("turn").alias("stmt"), F.col("turn").alias("line"), F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("name"))
+    names = c.where("length(name) > 3")
+    return G.reach(names, names, _last_turns(spark, d).select("g", F.col("node").alias("stmt")))
+
+
 # texts
 
 

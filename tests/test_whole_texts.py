@@ -18,3 +18,10 @@ def test_token_overlap_whole(spark, tmp_path):
     d = tables(spark, tmp_path, documents=(docs, DOCS), benchmark=([(7, "Alpha beta gamma"), (8, "alpha delta")], "item_id long, text string"))
     got = {r.item_id: (r.doc_id, r.score) for r in queries.QUERIES["token_overlap_whole"](spark, d).collect()}
     assert got == {7: (2, 1.0), 8: (3, 1.0)}
+
+
+def test_slice_reach_whole(spark, tmp_path):
+    far = "a " * 40
+    turns = [(1, i, "user", f"{far}name{i} name{i + 1}") for i in range(37)]  # a chain of more than 32 links, none before character 60
+    d = tables(spark, tmp_path, conversations=(turns, "conv_id long, turn int, role string, text string"))
+    assert {r.stmt for r in queries.QUERIES["slice_reach_whole"](spark, d).collect()} == set(range(37))
