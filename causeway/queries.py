@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from causeway.functions import text as X
 from causeway.operators import aggregates as A
 from causeway.operators import graph as G
 from causeway.operators import joins as J
@@ -657,6 +658,24 @@ def literal_template(spark, d):
     return df.select("doc_id", F.regexp_replace(F.regexp_replace("s", '"[^"\n]*"', "<str>"), r"(?<![\p{L}\p{N}_])[0-9]+(?![\p{L}\p{N}_])|\b[0-9]+\b", "<int>").alias("template"))
 
 
+@query("""
+select doc_id, regexp_replace(regexp_replace(text, '"[^"\\n]*"', '<str>', 'g'), '\\b[0-9]+\\b', '<int>', 'g') as template from documents where regexp_matches(text, '[0-9]')
+""")
+def literal_template_whole(spark, d):
+    """literal_template of whole texts."""
+    return t(spark, d, "documents").where(F.col("text").rlike("[0-9]")).select("doc_id", _literals(F.col("text")).alias("template"))
+
+
+def _literals(c):
+    return F.regexp_replace(F.regexp_replace(c, '"[^"\n]*"', "<str>"), "(?<![A-Za-z0-9_])[0-9]+(?![A-Za-z0-9_])", "<int>")
+
+
+@query()
+def template_normalise_documents(spark, d):
+    """Numbered templates of whole documents; numbering has no SQL."""
+    return t(spark, d, "documents").select("doc_id", X.template(F.col("text")).alias("template"))
+
+
 @query("select 'en' as side, count(*) as n from (select source from documents where lang = 'en' intersect select source from documents where lang = 'de') union all select 'only', count(*) from (select source from documents where lang = 'en' except select source from documents where lang = 'es')")
 def set_operations(spark, d):
     s = lambda lang: t(spark, d, "documents").where(F.col("lang") == lang).select("source")

@@ -25,3 +25,12 @@ def test_slice_reach_whole(spark, tmp_path):
     turns = [(1, i, "user", f"{far}name{i} name{i + 1}") for i in range(37)]  # a chain of more than 32 links, none before character 60
     d = tables(spark, tmp_path, conversations=(turns, "conv_id long, turn int, role string, text string"))
     assert {r.stmt for r in queries.QUERIES["slice_reach_whole"](spark, d).collect()} == set(range(37))
+
+
+def test_templates_of_whole_texts(spark, tmp_path):
+    far = "x " * 150
+    d = tables(spark, tmp_path, documents=([(1, far + '12 "s" é3 b4', "en", "s", 1), (2, "none", "en", "s", 4), (3, None, "en", "s", None)], DOCS))
+    got = {r.doc_id: r.template for r in queries.QUERIES["literal_template_whole"](spark, d).collect()}
+    assert got == {1: far + "<int> <str> é<int> b4"}
+    got = {r.doc_id: r.template for r in queries.QUERIES["template_normalise_documents"](spark, d).collect()}
+    assert got[1].startswith("<var1> <var1>") and "<int> <str>" in got[1] and got[2] == "<var1>" and got[3] is None
