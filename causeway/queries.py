@@ -533,7 +533,7 @@ def token_overlap_whole(spark, d):
     return _token_overlap(t(spark, d, "benchmark"), t(spark, d, "documents"))
 
 
-def _advisory_sql():
+def _advisory_sql(texts):
     rules = []
     for _, phrases, (a, b, c, p) in C.ADVISORY_RULES:
         met = "(" + " or ".join(f"contains(text, '{x}')" for x in phrases) + ")"
@@ -548,7 +548,7 @@ def _advisory_sql():
             rules.append((met, (a, b, c, p)))
     rules.append(("true", ("other", "unknown_from_description", "unknown_semantic_pattern", 0.35)))
     case = lambda i: "case " + " ".join(f"when {m} then " + (f"'{r[i]}'" if i < 3 else f"{r[i]}") for m, r in rules) + " end"
-    return f"select doc_id, {case(0)} as bug_class, {case(1)} as root_cause_type, {case(2)} as pattern, cast({case(3)} as double) as confidence from ({_ADVISORY_TEXT})"
+    return f"select doc_id, {case(0)} as bug_class, {case(1)} as root_cause_type, {case(2)} as pattern, cast({case(3)} as double) as confidence from ({texts})"
 
 
 #: Advisory texts made from the documents: a phrase by id, and the document's own words.
@@ -556,13 +556,32 @@ _PHRASES = ("use after free", "double free of the buffer", "null pointer", "inte
 _ADVISORY_TEXT = "select doc_id, concat(" + "case cast(doc_id % 11 as int) " + " ".join(f"when {i} then '{p}'" for i, p in enumerate(_PHRASES)) + " end, ' ', lower(substr(text, 1, 40))) as text from documents"
 
 
-@query(_advisory_sql())
+@query(_advisory_sql(_ADVISORY_TEXT))
 def severity_text_rules(spark, d):
     phrase = F.element_at(F.array(*map(F.lit, _PHRASES)), (F.col("doc_id") % 11 + 1).cast("int"))
     df = t(spark, d, "documents").select("doc_id", F.concat(phrase, F.lit(" "), F.lower(F.substring("text", 1, 40))).alias("text"))
     return df.select("doc_id", C.advisory_class(F.col("text"), F.array().cast("array<string>")).alias("c")).select("doc_id", "c.*")
 
 
+@query(_advisory_sql(_ADVISORY_TEXT.replace("substr(text, 1, 40)", "text")))
+def severity_text_rules_whole(spark, d):
+    """severity_text_rules on whole texts."""
+    phrase = F.element_at(F.array(*map(F.lit, _PHRASES)), (F.col("doc_id") % 11 + 1).cast("int"))
+    df = t(spark, d, "documents").select("doc_id", F.concat(phrase, F.lit(" "), F.lower(F.coalesce("text", F.lit("")))).alias("text"))
+    return df.select("doc_id", C.advisory_class(F.col("text"), F.array().cast("array<string>")).alias("c")).select("doc_id", "c.*")
+
+
+@query(r"""
+select source, template, n, cast(rank as int) as rank from (
+  select source, template, count(*) as n, row_number() over (partition by source order by count(*) desc, template) as rank
+  from (select source, regexp_replace(regexp_replace(text, '"[^"\n]*"', '<str>', 'g'), '\b[0-9]+\b', '<int>', 'g') as template from documents) group by source, template) where rank <= 3
+""")
+def top_templates_whole(spark, d):
+    """top_templates_per_cluster by the templates of whole texts."""
+    df = t(spark, d, "documents").select("source", _literals(F.col("text")).alias("template"))
+    return A.top_values(df, "source", "template", 3)
+
+
 # graphs
 
 

@@ -34,3 +34,14 @@ def test_templates_of_whole_texts(spark, tmp_path):
     assert got == {1: far + "<int> <str> é<int> b4"}
     got = {r.doc_id: r.template for r in queries.QUERIES["template_normalise_documents"](spark, d).collect()}
     assert got[1].startswith("<var1> <var1>") and "<int> <str>" in got[1] and got[2] == "<var1>" and got[3] is None
+
+
+def test_rules_on_whole_texts(spark, tmp_path):
+    far = "word " * 20
+    docs = [(4, "plain " + far, "en", "s", 1), (15, far + "buffer", "en", "s", 1), (10, far + "use after free", "en", "s", 1), (21, "item 1 of a", "en", "s", 1), (32, "item 25 of a", "en", "s", 1)]
+    d = tables(spark, tmp_path, documents=(docs, DOCS))
+    got = {r.doc_id: r for r in queries.QUERIES["severity_text_rules_whole"](spark, d).collect()}
+    assert got[4].pattern == "integer_overflow" and got[15].pattern == "integer_overflow_to_memory_error"
+    assert got[10].bug_class == "use_after_free"
+    top = queries.QUERIES["top_templates_whole"](spark, d).where("rank = 1").first()
+    assert (top.template, top.n) == ("item <int> of a", 2)
