@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from causeway.llm.common import Scratch, small_batches
 
-ORDER = 2
+ORDER = 3
 #: Counts up to this are discounted.
 GT = 5
 BLOCK_TOKENS = 3 << 19
