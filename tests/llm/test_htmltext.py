@@ -77,3 +77,93 @@ def test_joined_winners_are_the_same(spark, monkeypatch):
     one = sorted(map(tuple, X.main_text(pages).collect()))
     monkeypatch.setattr(X, "MAX_BROADCAST", -1)
     assert sorted(map(tuple, X.main_text(pages).collect())) == one
+
+
+STORY = "<article><p>" + "Some words stand here, and more. " * 10 + "</p></article>"
+
+
+@pytest.mark.parametrize("name", "layout has-sidebar|page no-comments|content-with-sidebar|social-science|search-results|share-price|post replies-open|nav-collapsed wrapper|header-fixed|comments|sidebar|cookie".split("|"))
+def test_marking_words_never_cut_what_holds_the_article(name):
+    assert X.extract(f'<html><body><div class="{name}">{STORY}</div></body></html>', [])[0] == " ".join(("Some words stand here, and more. " * 10).split())
+
+
+@pytest.mark.parametrize("name, marked", [("notice-board", False), ("notice", True), ("cookie-notice-bar", True), ("siteSidebar", True), ("sidebarLeft", True), ("has-sidebar", False), ("ad-slot-3", True), ("adult", False), ("nav", True), ("header", False), ("", False)])
+def test_marks(name, marked):
+    assert X.marks(name, X.MARKED) == marked
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ('<article><p>One thing.</p><section class="notice-board"><p>board text</p></section></article>', "One thing. board text"),
+        ("<body><nav><ul><li><a href=x>Menu</a></ul><div><p>" + "prose here, " * 20 + "</p></div></body>", "prose here, " * 20),
+        ("<body><nav><a href=x>Menu</a> <p>" + "prose here, " * 20 + "</p></body>", "prose here, " * 20),
+        ("<body><form action=/><div>" + "prose here, " * 20 + "</div></form></body>", "prose here, " * 20),
+        ('<article><p>Text</p></article><ol class="comment-list"><li><article class="comment-body"><p>' + "reader words, " * 50 + "</p></article></li></ol>", "Text"),
+        ("<article><p>a<script>b()</script>c <span class=ad>buy <span>now</span> here</span>d</p></article>", "ac d"),
+        ("<article><ul class=menu><li>x<ul><li>y</ul></ul><p class=ad>Buy<p>Text</article>", "Text"),
+    ],
+)
+def test_broken_and_misnamed_pages(page, want):
+    assert X.extract(page, [])[0] == want.strip()
+
+
+def test_a_second_block_stays():
+    say = lambda k, w: f"{w} sentence is here. " * k
+    page = f'<body><div class="a"><p>{say(10, "First")}</p></div><div class="b"><p>{say(9, "Second")}</p></div><div class="c"><p>short</p></div></body>'
+    for winners, losers, n in (([], [], 9), (["body>div.a"], [], 9), (["body>div.a"], ["body>div.b"], 0), (["body>div.zzz"], [], 9)):
+        text = X.extract(page, winners, losers)[0]
+        assert (text.count("First"), text.count("Second"), text.count("short")) == (10, n, 0)
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<div>" * 100_000 + "text" + "</div>" * 100_000, "<div>" * 100_000 + "text", '<a "' * 250_000, '<a "' * 250_001 + ">", "<a '\">" * 100_000, ("<nav>" + "word " * 40) * 20_000, "<div>" * 50_000 + "</section>" * 50_000, "<div " + "a" * 1_000_000 + ">x", "<" * 1_000_000, "<title>" * 100_000, "<div><p>x y</p></div>" * 50_000, "<p class=ad>" * 50_000],
+)
+def test_hostile_pages_take_time_in_proportion(page):
+    import time
+
+    start = time.process_time()
+    X.extract(page, [])
+    assert time.process_time() - start < 10
+
+
+def plain_consensus(pages):
+    """host -> (winners, losers) with dictionaries."""
+    seen, chosen, score, total = {}, {}, {}, {}
+    for url, html in pages:
+        host = (re.match(r"[a-z]+://([^/:?#]*)", url or "") or [None, ""])[1]
+        given = X.vote(html)
+        total[host] = total.get(host, 0) + bool(given)
+        for path, yes, s in given:
+            k = host, path
+            seen[k], chosen[k], score[k] = seen.get(k, 0) + 1, chosen.get(k, 0) + yes, score.get(k, 0) + s
+    out = {}
+    for host in total:
+        mine = [k for k in seen if k[0] == host]
+        won = [k[1] for k in sorted(mine, key=lambda k: (-chosen[k], -score[k], k[1])) if chosen[k] >= 0.1 * total[host] and chosen[k] >= 0.5 * seen[k]]
+        lost = [k[1] for k in mine if chosen[k] < 0.5 * seen[k] and seen[k] >= 2 and seen[k] >= 0.1 * total[host]]
+        out[host] = won, sorted(lost) if won else []
+    return out
+
+
+def test_equals_plain_consensus(spark):
+    import random
+
+    r = random.Random(4)
+    rows = []
+    for i in range(120):
+        boxes = "".join(f'<div class="{r.choice(["story", "box", "aside-text", "extra"])}{r.choice(["", "-1"])}"><p>{"word " * r.choice([2, 5, 30, 60])}</p></div>' for _ in range(r.randint(0, 4)))
+        rows.append((i, f"http://h{r.randint(0, 3)}.example/{i}", f"<html><body>{boxes}</body></html>"))
+    want = plain_consensus([(u, h) for _, u, h in rows])
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    got = {x.host: (list(x.winners), list(x.losers)) for x in X.consensus(df).collect()}
+    assert got == {k: v for k, v in want.items() if v[0]}
+    texts = {x.page_id: x.text for x in X.main_text(df).collect()}
+    for i, u, h in rows:
+        assert texts[i] == X.extract(h, *want[re.match(r"http://([^/]*)", u)[1]])[0]
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "http://h/1", "<p>a</p>", 1, "z", "w")], "page_id long, url string, html string, id int, host string, winners string")
+    assert [tuple(x)[:4] for x in X.main_text(df).collect()] == [(1, "http://h/1", "a", 1)]
