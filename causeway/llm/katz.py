@@ -5,13 +5,17 @@ without its first word); alpha(c) shares out exactly what the discounts leave. d
 for r up to GT; a context without discounted n-grams keeps one count for what wasn't seen. Unknown words share
 one place below the unigrams.
 
-Documents are cut into blocks of tokens. A block asks for each distinct n-gram once, with its own training
-count; tables partitioned by n-gram hash add up what all blocks bring and answer each block in its order.
-No key meets more than one row a block, however frequent it is, and no vocabulary is held anywhere as a whole.
+Documents are cut into blocks of tokens, which stay where they are. Order by order, a block asks for its distinct
+n-grams, with its own counts; tables partitioned by n-gram hash add up what all blocks bring and answer each
+block in its order. An n-gram isn't asked for if no other block has its context, or its last words: its counts
+are known then. Contexts are asked for what their n-grams leave, by blocks that need it; only contexts that
+occur in held-out text, or may have no discounted n-gram, get anything. No key meets more than one row a block,
+however frequent it is, and no vocabulary is held anywhere as a whole.
 """
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +23,7 @@ import pandas as pd
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from causeway.llm.common import Scratch, small_batches
@@ -28,17 +32,20 @@ ORDER = 3
 #: Counts up to this are discounted.
 GT = 5
 BLOCK_TOKENS = 3 << 19
-#: Tokens of the input for each partition of the tables.
+#: Tokens of the input for each partition of a table.
 PART_TOKENS = 1 << 21
-#: Bytes of the input for each bucket of the blocks' table.
-BUCKET_BYTES = 16 << 20
 FOLDS, HELD_OUT = 7, 2
+#: Sums of probabilities travel as whole multiples of 2 ** -UNIT.
+UNIT = 48
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-#: Keys of what no word can be: both have a blank.
-END, START = (xxhash.xxh64_intdigest(x, 0) for x in (b" end", b" start"))
+#: Key of what no word can be: it has a blank.
+END = xxhash.xxh64_intdigest(b" end", 0)
+#: Keys of the contexts of first words, by order.
+START = [np.uint64(xxhash.xxh64_intdigest(b" start %d" % k, 0)) for k in range(64)]
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_ASK = "level int, part int, block long, keys binary, sums binary"
-_ANSWER = "level int, part int, block long, sums binary, first binary, stats array<double>"
+_ASK = "at int, kind int, part int, block long, keys binary, a binary, b binary, asked binary"
+_NAMES = ["at", "kind", "part", "block", "keys", "a", "b", "asked"]
+_ANSWER = "block long, kind int, part int, a binary, b binary, first binary, stats array<double>"
 
 
 def _pack(a: np.ndarray) -> bytes:
@@ -69,12 +76,15 @@ class _Numbers(dict):
 
 
 def _blocks(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
-    """Blocks of documents: distinct words' keys, and each document's words as numbers among them, the end last."""
+    """Blocks of documents: distinct words' keys in rising order, and each document's words as numbers among them, the end last."""
     task, made = TaskContext.get().partitionId(), 0
 
     def block() -> pd.DataFrame:
         keys = np.array([END if w is None else xxhash.xxh64_intdigest(w, 0) for w in numbers], np.uint64)
-        row = {"block": (task << 32) + made, "ids": ids, "held": held, "lens": [len(t) for t in toks], "keys": _pack(keys), "toks": _pack(np.concatenate(toks)), "n": sum(map(len, toks))}
+        order = np.argsort(keys)
+        place = np.empty(len(keys), np.uint32)
+        place[order] = np.arange(len(keys), dtype=np.uint32)
+        row = {"block": (task << 32) + made, "ids": ids, "held": held, "lens": [len(t) for t in toks], "keys": _gaps(keys[order]), "toks": _pack(place[np.concatenate(toks)]), "n": sum(map(len, toks))}
         return pd.DataFrame({k: [v] for k, v in row.items()})
 
     numbers, ids, held, toks, n = _Numbers(), [], [], [], 0
@@ -94,87 +104,80 @@ def _blocks(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame
         yield block()
 
 
-class Block:
-    """A block's n-grams: at each level the distinct keys in order, and which of them each token ends."""
+def _gaps(keys: np.ndarray) -> bytes:
+    return _pack(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _from_gaps(data: bytes) -> np.ndarray:
+    return _unpack(data, np.uint64).cumsum(dtype=np.uint64)
+
+
+def _bits(x: np.ndarray) -> bytes:
+    return _pack(np.packbits(x))
 
-    def __init__(self, row, order: int):
-        words, tok = _unpack(row.keys, np.uint64), _unpack(row.toks, np.uint32)
-        self.lens = np.asarray(row.lens, np.int64)
-        self.held = np.repeat(np.asarray(row.held, bool), self.lens)
-        self.doc = np.repeat(np.arange(len(self.lens), dtype=np.int32), self.lens)
-        word, n = words[tok], len(tok)
-        place = np.arange(n, dtype=np.int32) - np.repeat((self.lens.cumsum() - self.lens).astype(np.int32), self.lens)
-        self.keys, self.at, self.context = [], [], []
-        context = np.empty(0, np.uint64)  # of order 1: none
-        for level in range(1, order + 1):
-            if level > 1:
-                before = np.empty(n, np.uint64)
-                back = level - 1
-                before[back:] = word[: n - back] if n > back else before[back:]
-                before = np.where(place >= back, before, np.uint64(START))
-                # the context of order k is that of order k - 1 with one more word before it
-                context = _mixed(before ^ np.uint64(level), context) if level > 2 else before.astype(np.uint64)
-            gram = word if level == 1 else _mixed(context, word)
-            keys, at = np.unique(gram, return_inverse=True)
-            self.keys.append(keys)
-            self.at.append(at.astype(np.int32))
-            self.context.append(context)
-
-    def counts(self, level: int) -> np.ndarray:
-        return np.bincount(self.at[level - 1][~self.held], minlength=len(self.keys[level - 1]))
+
+def _from_bits(data: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(_unpack(data, np.uint8))[:n].astype(bool)
 
 
 def _part_of(keys: np.ndarray, parts: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
-def _asks(block: int, level: int, keys: np.ndarray, sums: np.ndarray, parts: int) -> pd.DataFrame:
-    """A row a partition; keys in rising order as differences, sums a column after the other."""
-    cut = np.searchsorted(_part_of(keys, parts), np.arange(parts + 1))
+def _cuts(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Where each partition's keys begin among sorted ones, and their number at the end."""
+    return np.searchsorted(_part_of(keys, parts), np.arange(parts + 1))
+
+
+def _asks(block: int, kind: int, first: int, keys: np.ndarray, a: np.ndarray, b: np.ndarray, asked: np.ndarray, parts: int) -> pd.DataFrame:
+    """A row for each partition that has some of the sorted keys."""
+    cut = _cuts(keys, parts)
     rows = []
     for p in range(parts):
         i, j = cut[p], cut[p + 1]
         if i < j:
-            rows.append((level, p, block, _pack(np.diff(keys[i:j], prepend=np.uint64(0))), _pack(sums[:, i:j].ravel())))
-    return pd.DataFrame(rows, columns=["level", "part", "block", "keys", "sums"])
-
-
-def _answered(rows: pd.DataFrame, width: int, stats: bool) -> Iterator[pd.DataFrame]:
-    """Totals for all blocks that asked a partition, each in its own order; `first` marks the first that asked for a key."""
-    keys = [_unpack(k, np.uint64).cumsum(dtype=np.uint64) for k in rows["keys"]]
-    sums = np.concatenate([_unpack(s, np.float64).reshape(width, -1) for s in rows["sums"]], axis=1)
-    u, index, at = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-    total = np.array([np.bincount(at, s, minlength=len(u)) for s in sums])
-    first = np.zeros(len(at), bool)
-    first[index] = True
-    level, part = int(rows["level"].iloc[0]), int(rows["part"].iloc[0])
+            rows.append((first + p, kind, p, block, _gaps(keys[i:j]), _pack(a[i:j]), _pack(b[i:j]), _bits(asked[i:j])))
+    return pd.DataFrame(rows, columns=_NAMES)
+
+
+def _answered(rows: pd.DataFrame) -> pd.DataFrame:
+    """One partition's answers.
+
+    Of n-grams (kind > 0): their counts in training and in held-out documents over all blocks, and which block is
+    the first that asked; besides, a row of statistics. Of contexts (kind < 0), to those who ask: what their
+    n-grams leave over 1 - the lower orders' probabilities of them (or 1 over that, if nothing is left), and
+    whether something is left.
+    """
+    kind, part = int(rows["kind"].iloc[0]), int(rows["part"].iloc[0])
+    told = [_unpack(x, np.float64) for x, k in zip(rows["a"], rows["keys"], strict=True) if not k]
+    rows = rows[rows["keys"].map(len) > 0].sort_values("block")
+    keys = [_from_gaps(k) for k in rows["keys"]]
+    u, index, at = np.unique(np.concatenate([np.empty(0, np.uint64), *keys]), return_index=True, return_inverse=True)
     out, i = [], 0
-    for block, k in zip(rows["block"], keys, strict=True):
-        j = i + len(k)
-        out.append((level, part, int(block), _pack(total[:, at[i:j]].ravel()), _pack(np.packbits(first[i:j])), []))
-        i = j
-    if stats:
-        r = np.rint(total[0])
-        out.append((level, part, -1, b"", b"", [float(r.sum()), float((r > 0).sum()), *(float((r == k).sum()) for k in range(1, GT + 2))]))
-    yield pd.DataFrame(out, columns=["level", "part", "block", "sums", "first", "stats"])
-
-
-def _exchange(asks: DataFrame, scratch: Scratch, width: int, stats: bool) -> DataFrame:
-    def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
-        for b in batches:
-            b = b if rest is None else pd.concat([rest, b], ignore_index=True)
-            if not len(b):
-                continue
-            here = (b["level"] == b["level"].iloc[-1]) & (b["part"] == b["part"].iloc[-1])
-            rest = b[here]
-            for _, g in b[~here].groupby(["level", "part"], sort=False):
-                yield from _answered(g, width, stats)
-        if rest is not None and len(rest):
-            yield from _answered(rest, width, stats)
-
-    laid = asks.repartition("level", "part").sortWithinPartitions("level", "part", "block")
-    return scratch.write(laid.mapInPandas(answer, _ANSWER))
+    if kind > 0:
+        a, b = (np.bincount(at, np.concatenate([np.empty(0), *(_unpack(x, np.uint32) for x in rows[c])]), minlength=len(u)).astype(np.uint64) for c in "ab")
+        first = np.zeros(len(at), bool)
+        first[index] = True
+        for block, k in zip(rows["block"], keys, strict=True):
+            j = i + len(k)
+            out.append((int(block), kind, part, _pack(a[at[i:j]]), _pack(b[at[i:j]]), _bits(first[i:j]), []))
+            i = j
+        out.append((-1, kind, part, b"", b"", b"", list(np.sum([_statistics(a), *told], axis=0))))
+    else:
+        left = np.bincount(at, np.concatenate([_unpack(x, np.float64) for x in rows["a"]]), minlength=len(u))
+        lower = np.bincount(at, np.concatenate([_unpack(x, np.uint64) for x in rows["b"]]).astype(np.float64), minlength=len(u)) / (1 << UNIT)
+        share = np.where(left > 0, left, 1.0) / np.maximum(1 - lower, 1e-300)
+        for block, k, asked in zip(rows["block"], keys, rows["asked"], strict=True):
+            j = i + len(k)
+            mine = at[i:j][_from_bits(asked, len(k))]
+            out.append((int(block), kind, part, _pack(share[mine]), b"", _bits(left[mine] > 0), []))
+            i = j
+    return pd.DataFrame(out, columns=["block", "kind", "part", "a", "b", "first", "stats"])
+
+
+def _statistics(r: np.ndarray) -> list[float]:
+    """Tokens, distinct n-grams, and how many were seen 1, 2, ... GT + 1 times."""
+    return [float(r.sum()), float((r > 0).sum()), *(float((r == k).sum()) for k in range(1, GT + 2))]
 
 
 def discounts(of_count: list[float]) -> np.ndarray:
@@ -214,70 +217,222 @@ class Unigrams:
         return np.where(c > 0, _mass(c, self.d) / (self.whole or 1.0), self.unknown)
 
 
-def _weights(count: np.ndarray, mass: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(what to divide by, alpha) of contexts from the sums over their seen n-grams: counts, discounted counts, lower-order probabilities."""
-    whole = np.where((count > 0) & (mass >= count * (1 - 1e-12)), count + 1, count)
-    with np.errstate(all="ignore"):
-        alpha = np.where(count > 0, (1 - mass / whole) / np.maximum(1 - lower, 1e-300), 1.0)
-    return whole, alpha
+class Block:
+    """A block's n-grams with what is known of them so far.
 
+    Of each order: keys (distinct, in order) and at (which of them each token ends); after its answers, count (in
+    training) and other (in held-out documents) over all blocks, and first (whether this block speaks for it).
+    """
 
-def _joined(answers: list, parts: int) -> dict[tuple[int, str], list]:
-    """Answers of one block by level, in order of partitions."""
+    def __init__(self, row, parts: int):
+        self.number, self.parts = int(row.block), parts
+        word, tok = _from_gaps(row.keys), _unpack(row.toks, np.uint32).astype(np.int32)
+        self.lens = np.asarray(row.lens, np.int64)
+        self.held = np.repeat(np.asarray(row.held, bool), self.lens)
+        self.starts = self.lens.cumsum() - self.lens
+        self.word, self.keys, self.at = word[tok], [word], [tok]
+        self.count: list[np.ndarray] = []
+        self.other: list[np.ndarray] = []
+        self.first: list[np.ndarray] = []
+
+    @property
+    def order(self) -> int:
+        return len(self.keys)
+
+    def before(self, of_token: np.ndarray, start) -> np.ndarray:
+        """What the token before each one has; `start` for a document's first."""
+        out = np.empty_like(of_token)
+        out[1:] = of_token[:-1]
+        out[self.starts] = start
+        return out
+
+    def longer(self) -> None:
+        """n-grams of the next order."""
+        gram = _mixed(self.before(self.keys[-1][self.at[-1]], START[self.order]), self.word)
+        keys, at = np.unique(gram, return_inverse=True)
+        self.keys.append(keys)
+        self.at.append(at.astype(np.int32))
+
+    def own(self) -> tuple[np.ndarray, np.ndarray]:
+        """This block's counts of the n-grams of the highest order, in training and in held-out documents."""
+        at, n = self.at[-1], len(self.keys[-1])
+        return np.bincount(at[~self.held], minlength=n), np.bincount(at[self.held], minlength=n)
+
+    def shared(self) -> np.ndarray:
+        """Of the highest order, which n-grams another block may have too: their contexts and their last words both occur elsewhere."""
+        n = len(self.keys[-1])
+        if self.order == 1:
+            return np.ones(n, bool)
+        mine = np.bincount(self.at[-2], minlength=len(self.keys[-2]))
+        elsewhere = (self.count[-1] + self.other[-1] > mine)[self.at[-2]]
+        out = np.zeros(n, bool)
+        out[self.at[-1]] = elsewhere & self.before(elsewhere, True)
+        return out
+
+    def learn(self, answers: list) -> None:
+        """Counts of the highest order from the answers."""
+        asked = self.shared()
+        self.count.append((own := self.own())[0])
+        self.other.append(own[1])
+        self.first.append(~asked)
+        sizes = np.diff(_cuts(self.keys[-1][asked], self.parts))
+        for name, kind in (("count", "a"), ("other", "b")):
+            got = np.concatenate([_unpack(x[kind], np.uint64) for x in answers] or [np.empty(0, np.uint64)]).astype(np.int64)
+            if len(got) != asked.sum():
+                raise ValueError(f"{len(got)} answers to {asked.sum()} questions")
+            getattr(self, name)[-1][asked] = got
+        bits = [_from_bits(x["first"], int(sizes[x["part"]])) for x in answers]
+        self.first[-1][asked] = np.concatenate(bits or [np.empty(0, bool)])
+
+    @property
+    def documents(self) -> int:
+        """Training documents: so often their ends were counted."""
+        return int(self.count[0][np.searchsorted(self.keys[0], np.uint64(END))])
+
+    def contexts(self, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of order `level`: the contexts' keys in order, which one each token has, how often it was seen, and whether it occurs in held-out documents."""
+        keys, n = self.keys[level - 2], len(self.keys[level - 2])
+        place = int(np.searchsorted(keys, START[level - 1]))
+        keys = np.insert(keys, place, START[level - 1])
+        at = self.before(self.at[level - 2], n)
+        at = np.where(at == n, place, at + (at >= place)).astype(np.int32)
+        return keys, at, np.insert(self.count[level - 2], place, self.documents), np.insert(self.other[level - 2] > 0, place, True)
+
+    def gives(self, level: int, lower: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(keys, what is left, lower-order probabilities, asked) for the contexts of an order that this block brings something to, or asks for."""
+        keys, at, seen, outside = self.contexts(level)
+        r = self.count[level - 1]
+        one = np.zeros(len(r), np.int64)  # one token of each n-gram stands for it
+        one[self.at[level - 1]] = np.arange(len(self.at[level - 1]))
+        wanted = outside | (seen > self.sure(d))
+        mine = self.first[level - 1] & (r > 0) & wanted[at[one]]
+        where, r_mine = at[one[mine]], r[mine]
+        left = np.bincount(where, r_mine - _mass(r_mine, d), minlength=len(keys))
+        units = np.bincount(where, np.rint(lower[one[mine]] * (1 << UNIT)), minlength=len(keys)).astype(np.uint64)  # at most 2 ** UNIT: exact
+        brings = np.bincount(where, minlength=len(keys)) > 0
+        asked = self.asks(level, at, seen, d)
+        some = brings | asked
+        return keys[some], left[some], units[some], asked[some]
+
+    @staticmethod
+    def sure(d: np.ndarray) -> int:
+        """A context seen so often at most has a discounted n-gram for sure."""
+        return GT if (d[1:] < 1).all() else 0
+
+    def asks(self, level: int, at: np.ndarray, seen: np.ndarray, d: np.ndarray) -> np.ndarray:
+        r = self.count[level - 1][self.at[level - 1]]
+        out = np.zeros(len(seen), bool)
+        out[at[(r == 0) | (seen[at] > self.sure(d))]] = True
+        return out & (seen > 0)
+
+    def above(self, level: int, lower: np.ndarray, d: np.ndarray, answers: list) -> np.ndarray:
+        """Each token's probability at an order from that below and the answers about its contexts."""
+        keys, at, seen, _ = self.contexts(level)
+        place = np.flatnonzero(self.asks(level, at, seen, d))
+        got = np.concatenate([_unpack(x["a"], np.float64) for x in answers] or [np.empty(0)])
+        if len(got) != len(place):
+            raise ValueError(f"{len(got)} answers to {len(place)} questions")
+        sizes = np.diff(_cuts(keys[place], self.parts))
+        bits = [_from_bits(x["first"], int(sizes[x["part"]])) for x in answers]
+        share, some = np.ones(len(seen)), np.ones(len(seen), bool)
+        share[place], some[place] = got, np.concatenate(bits or [np.empty(0, bool)])
+        r, n = self.count[level - 1][self.at[level - 1]], seen[at]
+        whole = np.maximum(n + ~some[at], 1).astype(np.float64)
+        return np.where(r > 0, _mass(r, d) / whole, np.where(n > 0, share[at] / whole, 1.0) * lower)
+
+
+def _by_kind(answers) -> dict[int, list]:
     out: dict[int, list] = {}
-    for a in sorted(answers, key=lambda a: (a["level"], a["part"])):
-        out.setdefault(a["level"], []).append(a)
+    for a in sorted(answers, key=lambda a: (a["kind"], a["part"])):
+        out.setdefault(a["kind"], []).append(a)
     return out
 
 
-def _sums(found: list, keys: int, width: int) -> np.ndarray:
-    got = [_unpack(a["sums"], np.float64).reshape(width, -1) for a in found]
-    out = np.concatenate(got, axis=1) if got else np.empty((width, 0))
-    if out.shape[1] != keys:
-        raise ValueError(f"{out.shape[1]} answers to {keys} questions")
-    return out
-
+def _known(row, level: int, parts: int) -> tuple[Block, dict[int, list]]:
+    """A block with the counts of its n-grams up to `level`, and the answers about contexts."""
+    given = _by_kind(a for c in row._fields if c.startswith("answers") and getattr(row, c) is not None for a in getattr(row, c))
+    block = Block(row, parts)
+    for k in range(1, level + 1):
+        if k > 1:
+            block.longer()
+        block.learn(given.get(k, []))
+    return block, given
 
-def _firsts(found: list, sizes: list[int]) -> np.ndarray:
-    return np.concatenate([np.unpackbits(_unpack(a["first"], np.uint8))[:n].astype(bool) for a, n in zip(found, sizes, strict=True)]) if found else np.empty(0, bool)
 
+def _rid(spark: SparkSession) -> None:
+    """Lets Spark's cleaner see that the exchanges so far have ended: their files go when the driver has collected its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
-class Fitted:
-    """A block with the answers to its questions; level() gives each token's probability there."""
 
-    def __init__(self, row, order: int, parts: int, uni: Unigrams, d: list[np.ndarray]):
-        self.block, self.order, self.parts, self.uni, self.d = Block(row, order), order, parts, uni, d
-        self.answers = _joined(list(row.answers), parts)
-        self.counts = [_sums(self.answers.get(k, []), len(self.block.keys[k - 1]), 1)[0] for k in range(1, order + 1)]
+class Unigrams:
+    """P(w) = d_c c / N for known words; the rest of the mass is the unknown word's."""
 
-    def lowest(self) -> np.ndarray:
-        return self.uni(self.counts[0][self.block.at[0]])
+    def __init__(self, stats: list[float], d: np.ndarray):
+        total, _, *of_count = stats
+        discounted = total - sum((1 - d[r]) * r * of_count[r - 1] for r in range(1, GT + 1))
+        self.d = d
+        self.whole = total if discounted < total or not total else total + 1
+        self.unknown = 1 - discounted / self.whole if self.whole else 1.0
 
-    def contexts(self, level: int) -> tuple[np.ndarray, np.ndarray]:
-        keys, at = np.unique(self.block.context[level - 1], return_inverse=True)
-        return keys, at
+    def __call__(self, c: np.ndarray) -> np.ndarray:
+        return np.where(c > 0, _mass(c, self.d) / (self.whole or 1.0), self.unknown)
 
-    def ask(self, level: int, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Contexts and the sums that this block is to bring: those of n-grams that it was the first to ask for."""
-        b = self.block
-        sizes = np.bincount(_part_of(b.keys[level - 1], self.parts), minlength=self.parts)
-        first = _firsts(self.answers.get(level, []), [int(n) for n in sizes if n])
-        keys, at = self.contexts(level)
-        # one token of each n-gram stands for it
-        one = np.zeros(len(b.keys[level - 1]), np.int64)
-        one[b.at[level - 1]] = np.arange(len(b.at[level - 1]))
-        r = self.counts[level - 1]
-        mine = first & (r > 0)
-        where = at[one[mine]]
-        add = lambda x: np.bincount(where, x, minlength=len(keys))
-        return keys, np.array([add(r[mine]), add(_mass(r[mine], self.d[level - 1])), add(lower[one[mine]])])
 
-    def above(self, level: int, lower: np.ndarray) -> np.ndarray:
-        """Each token's probability at a level from that below."""
-        keys, at = self.contexts(level)
-        whole, alpha = _weights(*_sums(self.answers.get(-level, []), len(keys), 3))
-        r = self.counts[level - 1][self.block.at[level - 1]]
-        return np.where(r > 0, _mass(r, self.d[level - 1]) / np.maximum(whole[at], 1e-300), alpha[at] * lower)
+class Tables:
+    """The blocks and what they were answered, in tables bucketed by block: only questions and answers move."""
+
+    def __init__(self, spark: SparkSession, label: str, buckets: int, parts: int):
+        self.spark, self.label, self.buckets, self.parts, self.names = spark, label, buckets, parts, []
+
+    def blocks(self) -> DataFrame:
+        out = self.spark.table(self.label)
+        for name in self.names:
+            out = out.join(self.spark.table(name), "block", "left")
+        return out
+
+    def exchange(self, ask, kinds: int) -> None:
+        """Every block's questions, and their answers in one more table. ask: a block's row -> frames of questions."""
+        spark, most = self.spark, "spark.sql.execution.arrow.maxRecordsPerBatch"
+        asks = self.blocks().mapInPandas(lambda batches: (f for b in batches for row in b.itertuples(index=False) for f in ask(row)), _ASK)
+        laid = asks.repartitionById(max(1, kinds * self.parts), F.col("at")).drop("at")
+
+        def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            rows = [b for b in batches if len(b)]
+            if rows:
+                for _, mine in pd.concat(rows, ignore_index=True).groupby("kind"):
+                    yield _answered(mine)
+
+        name = f"{self.label}_{len(self.names)}"
+        out = laid.mapInPandas(answer, _ANSWER).repartition(self.buckets, "block")
+        out = out.groupBy("block").agg(F.collect_list(F.struct("kind", "part", "a", "b", "first", "stats")).alias(f"answers{len(self.names)}"))
+        before = spark.conf.get(most)
+        spark.conf.set(most, "1")
+        try:
+            out.write.bucketBy(self.buckets, "block").saveAsTable(name)
+        finally:
+            spark.conf.set(most, before)
+        self.names.append(name)
+        del asks, laid, out
+        _rid(spark)
+
+    def statistics(self, level: int) -> list[float]:
+        """Sums over the partitions of an order, a row a partition."""
+        i = len(self.names) - 1
+        rows = self.spark.table(self.names[i]).where("block = -1").select(F.explode(f"answers{i}").alias("a")).where(F.col("a.kind") == level)
+        got = rows.agg(*(F.sum(F.col("a.stats")[k]).alias(f"s{k}") for k in range(GT + 3))).first()
+        return [float(got[f"s{k}"] or 0.0) for k in range(GT + 3)]
+
+    def drop(self) -> None:
+        for name in [*self.names, self.label]:
+            self.spark.sql(f"drop table if exists {name}")
+
+
+def _probabilities(block: Block, given: dict[int, list], level: int, uni: Unigrams, d: tuple) -> np.ndarray:
+    p = uni(block.count[0][block.at[0]])
+    for k in range(2, level + 1):
+        p = block.above(k, p, d[k - 1], given.get(-k, []))
+    return p
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, block_tokens: int = BLOCK_TOKENS, part_tokens: int = PART_TOKENS) -> DataFrame:
@@ -285,76 +440,69 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
 
     Documents whose crc32(id as text) leaves HELD_OUT when divided by FOLDS are held out; the rest, and rows
     without id, are learned from. Null texts count as empty: their only token is the end. Without training
-    tokens every probability is that of the unknown word, 1. Repeated rows are learned from each time.
-    Other columns aren't read.
+    tokens every probability is that of the unknown word, 1. Repeated rows are learned from each time; an empty
+    table gives an empty one. Other columns aren't read.
     """
     spark = docs.sparkSession
+    most = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(most)
     small_batches(spark)
     scratch = Scratch(spark, "katz")
     held = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))
     rows = docs.select(F.col(id_col).cast("string").alias("id"), held.alias("held"), F.col(text_col).alias("text"))
     kind = "block long, ids array<string>, held array<boolean>, lens array<int>, keys binary, toks binary, n long"
-    read = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    # with fewer buckets than a shuffle has partitions, the planner would shuffle the blocks as well
-    buckets = max(min(-(-read // BUCKET_BYTES), 4096), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    table = f"causeway_blocks_{scratch.root[-32:]}"
-    blobs, batch = "8", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    label = f"causeway_blocks_{scratch.root[-32:]}"
+    tables = Tables(spark, label, int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     try:
-        # blocks stay where they are from now on; only questions and answers move
-        rows.mapInPandas(lambda batches: _blocks(batches, block_tokens), kind).write.bucketBy(buckets, "block").saveAsTable(table)
-        blocks = spark.table(table)
-        parts = max(1, -(-(blocks.agg(F.sum("n")).first()[0] or 0) // part_tokens))
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+        # with fewer buckets than a shuffle has partitions, the planner would shuffle the blocks as well
+        rows.mapInPandas(lambda batches: _blocks(batches, block_tokens), kind).write.bucketBy(tables.buckets, "block").saveAsTable(label)
+        tables.parts = parts = max(1, -(-(spark.table(label).agg(F.sum("n")).first()[0] or 0) // part_tokens))
+        spark.conf.set(most, "1")
+        d: list[np.ndarray] = []
+        stats: list[list[float]] = []
+
+        def questions(level: int, of_level: int):
+            """What a block asks: about n-grams of `level` (0: none) and contexts of `of_level` (0: none)."""
+            ways, uni = tuple(d), Unigrams(stats[0], d[0]) if d else None
+
+            def ask(row) -> Iterator[pd.DataFrame]:
+                block, given = _known(row, level - 1 if level else of_level, parts)
+                if of_level:
+                    keys, left, units, asked = block.gives(of_level, _probabilities(block, given, of_level - 1, uni, ways), ways[of_level - 1])
+                    yield _asks(block.number, -of_level, parts if level else 0, keys, left, units, asked, parts)
+                if level:
+                    if level > 1:
+                        block.longer()
+                    want = block.shared()
+                    a, b = block.own()
+                    rest = _pack(np.array(_statistics(a[~want])))  # what nobody is asked about, to be added up
+                    one = block.number % parts
+                    yield pd.DataFrame([(one, level, one, block.number, b"", rest, b"", b"")], columns=_NAMES)
+                    yield _asks(block.number, level, 0, block.keys[-1][want], a[want].astype(np.uint32), b[want].astype(np.uint32), np.zeros(0, bool), parts)
+
+            return ask
 
-        def ask_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                for row in b.itertuples(index=False):
-                    block = Block(row, order)
-                    for k in range(1, order + 1):
-                        yield _asks(row.block, k, block.keys[k - 1], block.counts(k)[None, :].astype(np.float64), parts)
-
-        asks = blocks.mapInPandas(ask_counts, _ASK)
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", blobs)
-        counts = _exchange(asks, scratch, 1, True)
-        stats = counts.where("block = -1").groupBy("level").agg(*(F.sum(F.col("stats")[i]).alias(f"s{i}") for i in range(GT + 3))).collect()
-        by_level = {r.level: [float(r[f"s{i}"]) for i in range(GT + 3)] for r in stats}
-        none = [0.0] * (GT + 3)
-        d = [discounts(by_level.get(k, none)[2:]) for k in range(1, order + 1)]
-        total, known, *of_count = by_level.get(1, none)
-        uni = Unigrams(total, total - sum((1 - d[0][r]) * r * of_count[r - 1] for r in range(1, GT + 1)), d[0])
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
-        found = counts.where("block >= 0").select("block", F.struct("level", "part", "sums", "first").alias("a"))
-        for level in range(2, order + 1):
-
-            def ask_contexts(batches: Iterator[pd.DataFrame], level: int = level) -> Iterator[pd.DataFrame]:
-                for b in batches:
-                    for row in b.itertuples(index=False):
-                        f = Fitted(row, order, parts, uni, d)
-                        p = f.lowest()
-                        for k in range(2, level):
-                            p = f.above(k, p)
-                        keys, sums = f.ask(level, p)
-                        yield _asks(row.block, -level, keys, sums, parts)
-
-            given = blocks.join(found.groupBy("block").agg(F.collect_list("a").alias("answers")), "block")
-            weights = _exchange(given.mapInPandas(ask_contexts, _ASK), scratch, 3, False)
-            found = found.unionByName(weights.select("block", F.struct("level", "part", "sums", "first").alias("a")))
+        for level in range(1, order + 1):
+            tables.exchange(questions(level, level - 1 if level > 2 else 0), 2 if level > 2 else 1)
+            stats.append(tables.statistics(level))
+            d.append(discounts(stats[-1][2:]))
+        if order > 1:
+            tables.exchange(questions(0, order), 1)
+        ways, uni, (total, known) = tuple(d), Unigrams(stats[0], d[0]), stats[0][:2]
 
         def rate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 for row in b.itertuples(index=False):
-                    f = Fitted(row, order, parts, uni, d)
-                    p = f.lowest()
-                    for k in range(2, order + 1):
-                        p = f.above(k, p)
-                    doc, n = f.block.doc, len(f.block.lens)
-                    c = f.counts[0][f.block.at[0]]
+                    block, given = _known(row, order, parts)
+                    n = len(block.lens)
+                    doc = np.repeat(np.arange(n, dtype=np.int32), block.lens)
+                    c = block.count[0][block.at[0]]
                     base = np.bincount(doc, np.log10((c + 1) / (total + known + 1)), minlength=n)
-                    yield pd.DataFrame({"id": pd.Series(list(row.ids), dtype=object), "held_out": np.asarray(row.held, bool), "n_tokens": f.block.lens, "n_known": np.bincount(doc, c > 0, minlength=n).astype(np.int64), "train_tokens": int(total), "base_score": base, "score": np.bincount(doc, np.log10(p), minlength=n)})
+                    p = _probabilities(block, given, order, uni, ways)
+                    yield pd.DataFrame({"id": pd.Series(list(row.ids), dtype=object), "held_out": np.asarray(row.held, bool), "n_tokens": block.lens, "n_known": np.bincount(doc, c > 0, minlength=n).astype(np.int64), "train_tokens": int(total), "base_score": base, "score": np.bincount(doc, np.log10(p), minlength=n)})
 
-        given = blocks.join(found.groupBy("block").agg(F.collect_list("a").alias("answers")), "block")
-        out = scratch.write(given.mapInPandas(rate, "id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"))
+        out = scratch.write(tables.blocks().mapInPandas(rate, "id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"))
     finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
-        spark.sql(f"drop table if exists {table}")
+        spark.conf.set(most, before)
+        tables.drop()
     return out.select(F.col("id").cast("long").alias(id_col), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
