@@ -41,5 +41,6 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     for later in maps[1:]:
         step = later.select(F.col("node").alias("par"), F.col("par").alias("next"))
         out = out.join(step, "par", "left").select("node", F.coalesce("next", "par").alias("par"))
-    least = out.groupBy("par").agg(F.min("node").alias("component"))
+    out = scratch.write(out)
+    least = scratch.write(out.groupBy("par").agg(F.min("node").alias("component")))  # apart, so that a hub's rows can be split
     return out.join(least, "par").select("node", "component")

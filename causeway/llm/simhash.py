@@ -4,10 +4,16 @@ A fingerprint of 64 bits is cut into a ring of four segments of 16. If two finge
 three bits, some segment starts a chain whose first l segments together differ in at most floor(3 l / 4)
 bits, for each l: 0, 1, 2, 3. The first two conditions make the join key (an equal segment, and a next one
 that differs in one bit at most); the third prunes what the join finds; the fourth is the full check.
+
+Texts whose sets of five-word shingles have a Jaccard similarity of 0.8 differ in about ten of 64 bits, some of
+them in sixteen. No chain of segments has a key that is equal, or nearly, at such distances; keep_first(similarity)
+therefore looks at pairs within three bits and, besides, at pairs that share one of their LOW smallest shingle
+hashes (all do but one in ten million). Two fingerprints of 128 bits prune these, and the sets themselves decide.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -26,25 +32,39 @@ SHINGLE = 3
 SEGMENTS, WIDTH, DISTANCE = 4, 16, 3
 #: A bucket of more fingerprints than this takes the way of crowded().
 CROWD = 4096
+#: For texts by similarity: words of a shingle, the least similarity as a fraction, smallest hashes kept of a text, and how many
+#: of 128 bits may differ (at 0.8 it is 19 on average, with a deviation of 4).
+WORDS, OVER, UNDER, LOW, APART = 5, 4, 5, 10, 48
+#: Where more texts than MANY share a hash, each is compared with one of them first, STARS times over with another one.
+MANY, STARS = 64, 4
+_TURN = np.uint64(0x9E3779B97F4A7C15)
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _PART = 1 << 16
 
 
-def simhash(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """The fingerprint as a signed 64-bit number; 0 without words."""
+def _hashes(text: str | None, shingle: int, seed: int = SEED) -> np.ndarray:
+    """A hash for each shingle, repeats included; a shorter text is one shingle, one without words has none."""
     words = text.encode("utf-8", "replace").translate(_LOWER).split() if text else []
     if not words:
-        return 0
-    n = max(1, len(words) - shingle + 1)
+        return np.empty(0, np.uint64)
     shingles = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)) if len(words) >= shingle else [b" ".join(words)]
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), np.uint64, n)
-    ones = np.zeros(64, np.int64)
+    return np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), np.uint64, max(1, len(words) - shingle + 1))
+
+
+def _print(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes, as a signed number; 0 without hashes."""
+    n, ones = len(hashes), np.zeros(64, np.int64)
     for i in range(0, n, _PART):
         part = hashes[i : i + _PART]
         ones += np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.int64)[0])
 
 
+def simhash(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """The fingerprint as a signed 64-bit number; 0 without words."""
+    return _print(_hashes(text, shingle, seed))
+
+
 @F.pandas_udf(T.LongType())
 def simhash_udf(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in parts:
@@ -136,16 +156,130 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = scratch.write(rows.groupBy("fp").agg(F.min("id").alias("least")))
     found = components(links(groups.select("fp"), scratch, crowd), scratch)
     joined = groups.join(found, groups.fp == found.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
-    ids = joined.groupBy("root").agg(F.min("least").alias("component_id"))
+    ids = scratch.write(joined.groupBy("root").agg(F.min("least").alias("component_id")))  # apart, so that a hot root's rows can be split
     classes = joined.join(ids, "root").select("fp", "component_id")
     return rows.join(classes, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _set(text: str | None, shingle: int) -> np.ndarray:
+    return np.unique(_hashes(text, shingle))
+
+
+def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int = WORDS, low: int = LOW) -> DataFrame:
+    """id, key (a digest of the set of shingles), n (its size), fp and more (128 bits of fingerprint), low (its smallest hashes)."""
+    kind = T.StructType([T.StructField("key", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("fp", T.LongType()), T.StructField("more", T.LongType()), T.StructField("low", T.ArrayType(T.LongType()))])
+
+    @F.pandas_udf(kind)
+    def sketch(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in parts:
+            out = []
+            for t in texts:
+                h = _set(t, shingle)
+                turned = (h ^ (h >> np.uint64(29))) * _TURN
+                out.append((hashlib.sha256(h.tobytes()).digest(), len(h), _print(h), _print(turned ^ (turned >> np.uint64(32))), h[:low].view(np.int64)))
+            yield pd.DataFrame(out, columns=["key", "n", "fp", "more", "low"])
+
+    return docs.select(F.col(id_col).cast("long").alias("id"), sketch(F.col(text_col)).alias("s")).select("id", "s.*")
+
+
+def similar_links(docs: DataFrame, nodes: DataFrame, scratch: Scratch, id_col: str, text_col: str, shingle: int = WORDS, over: int = OVER, under: int = UNDER, many: int = MANY) -> DataFrame:
+    """(node, n, fp, more, low), a row for each distinct set of shingles -> (a, b): links that leave the same components as all similar pairs.
+
+    In each bucket, all are first compared with one member; then pairs are compared that are still in different
+    components. In buckets of more than `many`, that is done only after some more turns with other members.
+    """
+
+    @F.pandas_udf(T.BooleanType())
+    def similar(left: pd.Series, right: pd.Series) -> pd.Series:
+        out, last, a = [], None, None
+        for x, y in zip(left, right, strict=True):
+            if a is None or x != last:
+                last, a = x, _set(x, shingle)
+            b = _set(y, shingle)
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            out.append(under * both >= over * (len(a) + len(b) - both))
+        return pd.Series(out, dtype=bool)
+
+    def checked(pairs: DataFrame, done: list[DataFrame]) -> DataFrame:
+        """Of the candidate pairs, those that are similar."""
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+        for d in done:
+            pairs = pairs.join(d, ["a", "b"], "left_anti")
+        pairs = scratch.write(pairs)
+        done.append(pairs)
+        texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
+        wanted = pairs.select("a").union(pairs.select("b")).distinct().toDF("id")
+        texts = scratch.write(texts.join(wanted, "id", "left_semi").dropDuplicates(["id"]))
+        both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
+        found = scratch.write(both.where(similar("ta", "tb")).select("a", "b"))
+        scratch.discard(texts)
+        return found
+
+    def near(x: str, y: str):
+        """What sizes and fingerprints say of two rows."""
+        apart = F.bit_count(F.col(f"{x}.fp").bitwiseXOR(F.col(f"{y}.fp"))) + F.bit_count(F.col(f"{x}.more").bitwiseXOR(F.col(f"{y}.more")))
+        return (F.col(f"{x}.n") * under >= F.col(f"{y}.n") * over) & (F.col(f"{y}.n") * under >= F.col(f"{x}.n") * over) & (apart <= APART)
+
+    me = F.struct("node", "n", "fp", "more", "comp").alias("me")
+    # what stands within three bits: one node stands for each fingerprint
+    prints = scratch.write(nodes.groupBy("fp").agg(F.min("node").alias("least")))
+    same = nodes.join(prints, "fp").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    near_prints = links(prints.select("fp"), scratch).toDF("x", "y").join(prints.toDF("x", "a"), "x").join(prints.toDF("y", "b"), "y").select("a", "b")
+    met = nodes.select("node", "n", "fp", "more", F.explode("low").alias("key"))
+    crowds = met.groupBy("key").count().where("count > 1")
+    met = scratch.write(met.join(crowds, "key"))
+
+    def stars(rows: DataFrame, turn: int) -> DataFrame:
+        order = F.xxhash64("node", F.lit(turn))
+        middle = rows.groupBy("key").agg(F.min_by(me, order).alias("x"))
+        met = rows.select("key", me.alias("y")).join(middle, "key")
+        return met.where((F.col("x.comp") != F.col("y.comp")) & near("x", "y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+
+    def across(rows: DataFrame) -> DataFrame:
+        x, y = rows.select("key", me.alias("x")), rows.select("key", me.alias("y"))
+        met = x.join(y, "key").where((F.col("x.comp") < F.col("y.comp")) & near("x", "y"))
+        return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+
+    def mixed(rows: DataFrame, found: DataFrame) -> DataFrame:
+        """The rows of buckets that hold several components."""
+        labels = components(found, scratch).toDF("node", "comp")
+        here = rows.drop("comp").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        several = here.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+        return scratch.write(here.join(several, "key", "left_semi"))
+
+    done: list[DataFrame] = []
+    alone = met.withColumn("comp", F.col("node"))
+    found = checked(same.unionByName(near_prints).unionByName(stars(alone, 0)), done)
+    here = mixed(alone, found)
+    found = scratch.write(found.unionByName(checked(across(here.where(F.col("count") <= many)), done)))
+    crowded = here.where(F.col("count") > many)
+    for turn in range(1, STARS + 1):
+        if crowded.isEmpty():
+            return found
+        crowded = mixed(crowded, found)
+        found = scratch.write(found.unionByName(checked(stars(crowded, turn) if turn < STARS else across(crowded), done)))
+    return found
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: tuple[int, int] | None = None, shingle: int = WORDS, many: int = MANY) -> DataFrame:
     """The input rows without near-duplicates: of each component the row with the smallest id, one row of each repeated id.
 
-    Rows without an id can't be told apart and stay. All columns stay.
+    Without similarity, fingerprints of three words link within three bits, as near_duplicates() says. With it,
+    as a fraction such as (4, 5), texts link whose sets of `shingle` words have that Jaccard similarity or more;
+    a text of fewer words is one shingle, and texts without words, null ones among them, are alike. Ids are whole
+    numbers then. Rows without an id can't be told apart and stay. All columns stay, whatever their names; an
+    empty table stays empty.
     """
-    kept = near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col, text_col).where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    named = docs.where(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi").dropDuplicates([id_col])
-    return named.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+    named = docs.where(F.col(id_col).isNotNull())
+    if similarity is None:
+        kept = near_duplicates(named, id_col, text_col).where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
+    else:
+        spark = docs.sparkSession
+        small_batches(spark)
+        scratch = Scratch(spark, "similar")
+        rows = sketches(named, id_col, text_col, shingle)
+        # sketches depend on the key alone
+        nodes = scratch.write(rows.groupBy("key").agg(F.min("id").alias("node"), *(F.first(c).alias(c) for c in ("n", "fp", "more", "low"))).drop("key"))
+        found = components(similar_links(named, nodes, scratch, id_col, text_col, shingle, *similarity, many), scratch).toDF("node", "component")
+        kept = nodes.select("node").join(found, "node", "left").where(F.coalesce("component", "node") == F.col("node")).select(F.col("node").cast(docs.schema[id_col].dataType).alias(id_col))
+    return named.join(kept, id_col, "left_semi").dropDuplicates([id_col]).select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))

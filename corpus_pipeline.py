@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm import decontaminate, pii, quality, shingles, spm
+from causeway.llm import decontaminate, pii, quality, simhash, spm
 from causeway.llm.common import read, shared_path
 
 #: Stages can't be written as SQL: a trained model, a hash that DuckDB lacks, a tokenizer.
@@ -25,7 +25,7 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedupe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, similarity 0.8), that with the smallest id."""
-    return shingles.keep_first(docs)
+    return simhash.keep_first(docs, similarity=(4, 5))
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,6 @@ import re
 
 import pytest
 import sentencepiece
-import xxhash
 
 import __spark_entry__
 import corpus_pipeline as P
@@ -22,10 +21,9 @@ def grams(text):
     return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if w else set()
 
 
-def fingerprint(text):
+def shingles(text):
     w = (text or "").encode().translate(bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))).split()
-    h = [xxhash.xxh64_intdigest(b" ".join(x), 42) for x in (zip(w, w[1:], w[2:]) if len(w) > 2 else [w] if w else [])]
-    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
 def test_stages_equal_brute_force(spark):
@@ -33,11 +31,11 @@ def test_stages_equal_brute_force(spark):
     given = {r.doc_id: r for r in docs.collect()}
     kept = {r.doc_id for r in quality.score(docs, quality.train(docs, labels)).collect() if r.keep}
     assert 0 < len(kept) < len(given)
-    prints = {i: fingerprint(given[i].text) for i in kept}
+    sets = {i: shingles(given[i].text) for i in kept}
+    like = {i: [j for j in kept if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])] for i in kept}
     least = {i: i for i in kept}
-    for _ in range(8):  # more rounds than any group here is long
-        for i in kept:
-            least[i] = min(least[j] for j in kept if (prints[i] ^ prints[j]).bit_count() <= 3)
+    for _ in range(12):  # more rounds than any group here is long
+        least = {i: min(least[j] for j in like[i]) for i in kept}
     one = {i for i in kept if least[i] == i}
     items = [grams(r.text) for r in read(spark, SF, "benchmark").collect()]
     clean = {i for i in one if not any(grams(given[i].text) & g or any(len(x) < 10 and x == tuple(words(given[i].text)[k : k + len(x)]) for x in g for k in range(len(words(given[i].text)))) for g in items)}

@@ -3,7 +3,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from causeway.llm import shingles as S
+from causeway.llm import simhash as S
 
 
 def plain(text):
@@ -48,10 +48,8 @@ def test_stage_finds_more_than_three_bits(spark):
     words = [f"w{i}" for i in range(4000)]
     t = [r.choice(words) for _ in range(250)]
     u = t[:40] + ["new"] + t[41:130] + ["other"] + t[131:]
-    from causeway.llm.simhash import simhash
-
     texts = [" ".join(t), " ".join(u)]
-    assert (simhash(texts[0]) ^ simhash(texts[1])).bit_count() > 3
+    assert (S.simhash(texts[0]) ^ S.simhash(texts[1])).bit_count() > 3
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert [x.doc_id for x in corpus_pipeline.dedupe(spark, df, "").collect()] == [0]
 
@@ -62,6 +60,6 @@ def test_equal_to_brute_force(spark, crowd):
     texts = made(r, 6, 12, 120, 6) + made(r, 1, 60, 40, 2) + ["", None, " ", "one", "One", "a b c d e", "a b c d e f"]
     rows = [(1000 - i, t) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = S.keep_first(df, crowd=crowd).collect()
+    got = S.keep_first(df, similarity=(4, 5), many=crowd).collect()
     assert sorted(x.doc_id for x in got) == brute(rows)
     assert len(got) < len(rows)
