@@ -31,7 +31,7 @@ from causeway.llm.common import Scratch, small_batches
 ORDER = 3
 #: Counts up to this are discounted.
 GT = 5
-BLOCK_TOKENS = 3 << 19
+BLOCK_TOKENS = 1 << 20
 #: Tokens of the input for each partition of a table.
 PART_TOKENS = 1 << 21
 FOLDS, HELD_OUT = 7, 2
