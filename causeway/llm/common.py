@@ -32,6 +32,25 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+class Recent:
+    """What was worked out lately: of two halves, the older one goes when the younger is full; what is asked for stays."""
+
+    def __init__(self, most: int):
+        self.young, self.old, self.most = {}, {}, most // 2
+
+    def missing(self, keys: set) -> list:
+        """The keys that aren't known, in order; known ones are in young afterwards, until the next call."""
+        if len(self.young) > self.most:
+            self.young, self.old = {}, self.young
+        young, old, out = self.young, self.old, []
+        for k in keys.difference(young):
+            if k in old:
+                young[k] = old[k]
+            else:
+                out.append(k)
+        return sorted(out)
+
+
 class Scratch:
     """Tables written once to the shared folder and read again, so that lineage ends there and a lost executor costs no recomputation."""
 

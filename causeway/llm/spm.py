@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from causeway.llm.common import small_batches
+from causeway.llm.common import Recent, small_batches
 
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
@@ -142,24 +142,27 @@ class Encoder:
     def __init__(self, data: bytes, check: bool = True):
         self.model = parse(data)
         self.tok = build(self.model)
-        self.known: dict[str, bytes] = {}
+        self.recent = Recent(_CACHE)
         self.odd: set[str] = set()  # of those, what the library encodes otherwise
         self.first = np.array([p.startswith(MARK) for p, _, _ in self.model.pieces])
         # pieces of text may stand alone only if nothing is normalised or merged across a marker
         self.cuts = self.model.dummy_prefix and self.model.escape and not self.model.squeeze and not self.model.charsmap
         self.cuts = self.cuts and self.model.kind == BPE and not any(MARK in p.lstrip(MARK) for p, _, k in self.model.pieces if k in (NORMAL, USER))
         self.cuts = self.cuts and self.tok.token_to_id(MARK) is not None
-        self.words = build(self.model)
-        if self.cuts:
-            from tokenizers import pre_tokenizers
+        # a step more where a text holds many words, which never go together
+        from tokenizers import pre_tokenizers
 
-            self.words.pre_tokenizer = pre_tokenizers.Split(MARK, "merged_with_next")
+        self.apart = pre_tokenizers.Split(MARK, "merged_with_next")
         self.spm = None
         if check:
             import sentencepiece
 
             self.spm = sentencepiece.SentencePieceProcessor(model_proto=data)
 
+    @property
+    def known(self) -> dict[str, bytes]:
+        return self.recent.young
+
     def _cut(self, text: str) -> list[str]:
         """The text's pieces, each without its first marker."""
         if not text:
@@ -184,39 +187,52 @@ class Encoder:
         """Encodes and checks new words, plain ones many in a text: only a word's first id has a marker."""
         plain = [x for x in words if x and " " not in x and MARK not in x] if self.cuts else []
         groups = [plain[i : i + _GROUP] for i in range(0, len(plain), _GROUP)]
+        if groups:
+            self.tok.pre_tokenizer = self.apart
         for start in range(0, len(groups), 16):
             texts = [" ".join(g) for g in groups[start : start + 16]]
-            ids = [e.ids for e in self.words.encode_batch_fast(texts, add_special_tokens=False)]
+            ids = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
             for group, i, j in zip(groups[start : start + 16], ids, self.spm.encode(texts) if self.spm else ids, strict=True):
                 a = np.array(i, "<i4")
                 at = (np.flatnonzero(self.first[a]) * 4).tolist()
                 if i == j and len(at) == len(group):
                     raw = a.tobytes()
                     self.known.update(zip(group, (raw[x:y] for x, y in zip(at, [*at[1:], len(raw)], strict=True)), strict=True))
+        if groups:
+            self.tok.pre_tokenizer = None
         self._alone([x for x in words if x not in self.known])
 
     def encode(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[bool]]:
         """(ids, whether the sentencepiece library gives the same) of each text; null counts as empty."""
+        cut = [self._cut(t or "") for t in texts]
+        new = self.recent.missing(set().union(*cut))
         known, odd = self.known, self.odd
-        if len(known) > _CACHE:
-            known.clear()
-            odd.clear()
         if self.cuts:
             known[""] = np.array([self.tok.token_to_id(MARK)], "<i4").tobytes()  # a marker at the very end
-        cut = [self._cut(t or "") for t in texts]
-        new = set().union(*cut).difference(known)
-        self._learn(sorted(new))
+        self._learn([x for x in new if x not in known])
         out = [np.frombuffer(b"".join(map(known.__getitem__, xs)), "<i4") for xs in cut]
         parity = [not odd or odd.isdisjoint(xs) for xs in cut]
         for x in new:
             if len(x) > _LONGEST:
                 del known[x]
+                odd.discard(x)
         return out, parity
 
     def decode(self, ids: list[np.ndarray]) -> list[str]:
         return self.tok.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
 
 
+_ENCODERS: dict[tuple[bytes, bool], Encoder] = {}
+
+
+def encoder_of(data: bytes, check: bool) -> Encoder:
+    """One encoder a worker: later tasks go on with the words it knows."""
+    if (data, check) not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[data, check] = Encoder(data, check)
+    return _ENCODERS[data, check]
+
+
 def tokenize(docs: DataFrame, model_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", check: bool = True) -> DataFrame:
     """A row for each input row: id_col, ids, n_tokens, round_trip (decoding gives the text back), parity.
 
@@ -232,7 +248,7 @@ def tokenize(docs: DataFrame, model_path: str | None = None, id_col: str = "doc_
     @F.pandas_udf(kind)
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
-        encoder = Encoder(shared.value, check)
+        encoder = encoder_of(shared.value, check)
         for texts in parts:
             given = [t or "" for t in texts]
             ids, parity = encoder.encode(given)

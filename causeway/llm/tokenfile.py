@@ -6,6 +6,7 @@ Bloom filter on the document id, so that readers take stripes in parallel and sk
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -19,17 +20,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from causeway.llm.common import shared_path, small_batches
+from causeway.llm.common import Recent, shared_path, small_batches
 
 END = 1
-FILE_BYTES = 16 << 20
+#: Bytes of text that make a file.
+FILE_BYTES = 24 << 20
 ROWS = 1_000
 STRIPE_BYTES = 8 << 20
 #: Words kept by a worker, the longest of them, and how many new ones are encoded in one text.
-_CACHE, _LONGEST, _GROUP = 250_000, 64, 1_000
+_CACHE, _LONGEST, _GROUP = 400_000, 64, 1_000
 MARK, MARK_BYTE = "~", b"~"
 _LOWER = bytes(32 if c == 10 else c + 32 if 65 <= c <= 90 else c for c in range(256))
-_STOP = re.compile(rb"(?<=[a-z])([.,])(?= |$)")
+#: Words that no step before the model changes or splits: small letters of Latin-1.
+_SMALL = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+_STOPS = (b".", b",")
 
 
 def default_path() -> str:
@@ -42,28 +46,58 @@ class WordEncoder:
     """Ids of whole texts, as bytes of 32-bit numbers.
 
     A space or line end parts words in every step of the tokenizer, which lower-cases first, so words seen before
-    aren't encoded again. New words are encoded many at a time, with a mark between them that none of them holds.
+    aren't encoded again. New words are encoded many at a time: words of small letters, which normalising and
+    splitting leave as they are, with the model alone, others with a mark between them that none of them holds.
     """
 
     def __init__(self, data: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_str(data)
-        self.known: dict[bytes, bytes] = {}
+        self.recent = Recent(_CACHE)
         mark = self.tok.encode(MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
+        self.last, self.model = self._model(data)
+
+    @property
+    def known(self) -> dict[bytes, bytes]:
+        return self.recent.young
+
+    def _model(self, data: str):
+        """(which ids end a word, a tokenizer of the same model that only splits at spaces); None where ids don't tell, or letters may be split."""
+        from tokenizers import Tokenizer
+
+        made = json.loads(data)
+        suffix, split = made["model"].get("end_of_word_suffix"), made.get("pre_tokenizer") or {}
+        if not suffix or made["model"].get("dropout") or split.get("type") != "Sequence" or "p{L}" not in str(split) or any(x["type"] not in ("NFC", "Lowercase", "Replace") for x in (made.get("normalizer") or {}).get("normalizers", [])):
+            return None, None
+        level = [x for x in split["pretokenizers"] if x["type"] == "ByteLevel"]
+        made |= {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, *level]}}
+        last = np.zeros(max(made["model"]["vocab"].values()) + 1, bool)
+        last[[i for t, i in made["model"]["vocab"].items() if t.endswith(suffix)]] = True
+        return last, Tokenizer.from_str(json.dumps(made))
 
     def _cut(self, text: str) -> list[bytes]:
         data = text.encode("utf-8", "replace")
         if b"<|" in data:  # may hold special tokens, whose case counts
             return data.replace(b"\n", b" ").split(b" ")
-        # a full stop or comma between a letter and a space is a token of its own
-        return _STOP.sub(rb" \1", data.translate(_LOWER)).split(b" ")
+        return data.translate(_LOWER).split(b" ")
 
     def _ids(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<i4").tobytes() for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
 
     def _learn(self, words: list[bytes]) -> None:
+        if self.model is not None:
+            # a full stop or comma after letters is a token of its own
+            stopped = [w for w in words if w[-1:] in _STOPS and _SMALL.fullmatch(w[:-1].decode("utf-8"))]
+            stems = {w[:-1] for w in stopped}
+            small = [t for w in stems.union(words) - stems.intersection(self.known) if _SMALL.fullmatch(t := w.decode("utf-8"))]
+            self._letters(sorted(small))
+            self._plain([x for x in _STOPS if x not in self.known])
+            self.known.update((w, self.known[w[:-1]] + self.known[w[-1:]]) for w in stopped if w[:-1] in self.known)
+        self._plain([w for w in words if w not in self.known])
+
+    def _plain(self, words: list[bytes]) -> None:
         plain = [w for w in words if self.mark is not None and MARK_BYTE not in w and b"<|" not in w]
         self._together(plain)
         rest = [w for w in words if w not in self.known]
@@ -71,6 +105,17 @@ class WordEncoder:
             part = rest[start : start + 4096]
             self.known.update(zip(part, self._ids([w.decode("utf-8") for w in part]), strict=True))
 
+    def _letters(self, words: list[str]) -> None:
+        groups = [words[i : i + _GROUP] for i in range(0, len(words), _GROUP)]
+        for start in range(0, len(groups), 16):
+            some = groups[start : start + 16]
+            for group, e in zip(some, self.model.encode_batch_fast([" ".join(g) for g in some], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, "<i4")
+                edges = np.flatnonzero(self.last[ids]) + 1
+                if len(edges) == len(group) and edges[-1] == len(ids):
+                    raw, ends = ids.tobytes(), (edges * 4).tolist()
+                    self.known.update(zip((w.encode() for w in group), (raw[i:j] for i, j in zip([0, *ends], ends, strict=False)), strict=True))
+
     def _together(self, words: list[bytes]) -> None:
         groups = [words[i : i + _GROUP] for i in range(0, len(words), _GROUP)]
         for start in range(0, len(groups), 16):
@@ -85,19 +130,28 @@ class WordEncoder:
                     self.known.update(zip(group, (raw[i:j] for i, j in zip(at, ends, strict=True)), strict=True))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        known = self.known
-        if len(known) > _CACHE:
-            known.clear()
         cut = [self._cut(t) for t in texts]
-        new = set().union(*cut).difference(known)
-        self._learn(sorted(new))
+        new = self.recent.missing(set().union(*cut))
+        known = self.known
+        self._learn(new)
         out = [b"".join(map(known.__getitem__, xs)) for xs in cut]
         for x in new:
             if len(x) > _LONGEST:
-                del known[x]
+                known.pop(x, None)
         return out
 
 
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder_of(data: str) -> WordEncoder:
+    """One encoder a worker: later tasks go on with the words it knows."""
+    if data not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[data] = WordEncoder(data)
+    return _ENCODERS[data]
+
+
 def write(docs: DataFrame, path: str, model_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", end: int = END, file_bytes: int = FILE_BYTES) -> None:
     """Write part, doc_id, first (ids of the file before this document), n_tokens, ids as ORC files in ascending document order.
 
@@ -109,13 +163,12 @@ def write(docs: DataFrame, path: str, model_path: str | None = None, id_col: str
     with open(model_path or default_path(), encoding="utf-8") as f:
         shared = spark.sparkContext.broadcast(f.read())
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    files = max(1, min(-(-size // file_bytes), 1 << 16))
+    files = max(1, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // file_bytes))
 
     def encode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         tail = np.array([end], "<i4").tobytes()
-        encoder, first, number = WordEncoder(shared.value), 0, TaskContext.get().partitionId()
+        encoder, first, number = encoder_of(shared.value), 0, TaskContext.get().partitionId()
         for part in parts:
             ids = [np.frombuffer(x + tail, "<i4") for x in encoder(part["text"].tolist())]
             sizes = np.array([len(x) for x in ids], np.int64)
