@@ -8,7 +8,14 @@ from pyspark.sql import Window as W
 
 from causeway.functions.traces import lines_of
 
-_HUNK = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@(.*)$"
+
+
+def _spans(line: Column) -> Column:
+    """struct(o, n, t): where a hunk header says that it begins in the old and the new file, and the text behind it; null for other lines."""
+    words = F.split(line, " ", 4)
+    start = lambda i, sign: F.when(F.get(words, F.lit(i)).startswith(sign), F.substring_index(F.substr(F.get(words, F.lit(i)), F.lit(2)), ",", 1).try_cast("int"))
+    old, new, end = start(1, "-"), start(2, "+"), F.coalesce(F.get(words, F.lit(3)), F.lit(""))
+    return F.when((F.get(words, F.lit(0)) == "@@") & old.isNotNull() & new.isNotNull() & end.startswith("@@"), F.struct(old.alias("o"), new.alias("n"), F.trim(F.substr(end, F.lit(3))).alias("t")))
 
 
 def _path(line: Column) -> Column:
@@ -26,14 +33,13 @@ def diff_lines(df: DataFrame, ids: list[str], text: str) -> DataFrame:
     rows = df.where(F.col(text).isNotNull()).select(*ids, F.posexplode(F.split(text, r"\r\n|\n"))).select(*ids, (F.col("pos") + 1).alias("line_no"), F.col("col").alias("line"))
     line = F.col("line")
     start = line.startswith("diff --git ")
-    header = line.rlike(_HUNK)
+    header = _spans(line).isNotNull()
     name = line.startswith("--- ") | line.startswith("+++ ")
-    got = lambda i: F.regexp_extract("line", _HUNK, i)
     rows = rows.withColumn("edge", ladder_edge(start, name, header))
     rows = rows.withColumn("old", F.last(F.when(line.startswith("--- ") & (F.col("edge") == "name"), _path(line)), True).over(above)).withColumn("new", F.last(F.when(line.startswith("+++ ") & (F.col("edge") == "name"), _path(line)), True).over(above))
     rows = rows.withColumn("state", F.last(F.when(F.col("edge") != "body", F.col("edge")), True).over(above))
     rows = rows.withColumn("hunk", F.sum(F.when(F.col("edge") == "hunk", 1).otherwise(0)).over(above))
-    rows = rows.withColumn("h", F.last(F.when(F.col("edge") == "hunk", F.struct(got(1).cast("int").alias("o"), got(3).cast("int").alias("n"), F.trim(got(5)).alias("t"))), True).over(above))
+    rows = rows.withColumn("h", F.last(F.when(F.col("edge") == "hunk", _spans(line)), True).over(above))
     body = rows.where((F.col("edge") == "body") & (F.col("state") == "hunk") & ~line.startswith("\\ No newline"))
     # the text ends with a line end: what follows it isn't a line
     last = F.max("line_no").over(W.partitionBy(*ids))

@@ -30,16 +30,11 @@ MEMORY = {
     "set": frozenset("memset bzero".split()),
     "compare": frozenset("memcmp strcmp strncmp".split()),
 }
-_NAME = re.compile(r"\b[A-Za-z_~][A-Za-z0-9_]*\b")
-_CALL = re.compile(r"\b([A-Za-z_~][A-Za-z0-9_:]*)\s*\(")
-_ASSIGN = re.compile(r"(?<![=!<>+\-*/%&|^])=(?!=)|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<=|>>=")
-_MEMBER = re.compile(r"\b([A-Za-z_]\w*)\s*(?:->|\.)\s*([A-Za-z_]\w*)")
-_INDEX = re.compile(r"\b([A-Za-z_]\w*)\s*\[([^\]]+)\]")
-_MACRO = re.compile(r"\b[A-Z_][A-Z0-9_]{2,}\b")
-_HEAD = re.compile(r"(?P<type>[A-Za-z_][\w\s:<>,*&~]*?[\s*&])?(?P<name>[A-Za-z_~][\w:~]*)\s*\((?P<params>[^;{}]*)\)\s*(?:const|noexcept|override|final|\s)*$", re.S)
-_GUARD = re.compile(r"^\s*(?:\}\s*)?(?:else\s+)?(if|while|for|switch)\s*\((?P<e>.*)\)\s*\{?\s*$")
-_RETURN = re.compile(r"^\s*return\b(.*?);?\s*$")
-_DECLARED = re.compile(r"^\s*(?:(?:const|static|unsigned|signed|volatile|struct|enum|union|register)\s+)*[A-Za-z_]\w*(?:\s*[*&]+\s*|\s+)[*&\s]*([A-Za-z_]\w*)\s*(?:\[[^\]]*\]\s*)*(?:=|;|,)")
+#: Signs that assign; others with an = in them compare.
+ASSIGNING = frozenset("= += -= *= /= %= &= |= ^= <<= >>=".split())
+GUARDS = frozenset(("if", "while", "for", "switch"))
+#: Words that may stand behind a function's parameters.
+_BEHIND = frozenset(("const", "noexcept", "override", "final"))
 
 CODE, STRING, COMMENT = 0, 1, 2
 _TOKENS = re.compile(r"""//[^\n]*|/\*.*?(?:\*/|\Z)|"(?:\\.|[^"\\\n])*"?|'(?:\\.|[^'\\\n])*'?""", re.S)
@@ -77,10 +72,30 @@ def split_top(text: str, separator: str = ",", braces: bool = True) -> list[str]
     return [p.strip() for p in [*out, text[at:]] if p.strip()]
 
 
+_SPLIT = re.compile(r"[^\W\d]\w*|\d\w*|<<=|>>=|->|::|[-+*/%&|^=!<>]=|<<|>>|&&|[|]{2}|\S", re.ASCII)
+
+
+def tokens(text: str) -> list[str]:
+    """Names, numbers and signs, in order; quotes are signs like others, and what is quoted is split too."""
+    return _SPLIT.findall(text)
+
+
+def is_name(token: str) -> bool:
+    return token[0].isalpha() or token[0] == "_"
+
+
+def names(found: list[str]) -> list[str]:
+    return [t for t in found if is_name(t)]
+
+
 def is_type(name: str) -> bool:
     return name in TYPES or name.endswith("_t")
 
 
+def is_macro(name: str) -> bool:
+    return len(name) > 2 and name.isupper()
+
+
 def language(path: str) -> str:
     end = path.rsplit(".", 1)[-1].lower() if "." in path else ""
     return "c" if end in ("c", "h") else "cpp" if end in ("cc", "cpp", "cxx", "hh", "hpp", "hxx") else "c_cpp"
@@ -92,14 +107,29 @@ def parameters(text: str) -> list[str]:
         return []
     out = []
     for p in split_top(text):
-        names = _NAME.findall(p)
-        last = names[-1] if names else ""
+        last = (names(tokens(p)) or [""])[-1]
         out.append("" if not last or is_type(last) or last.isupper() else last)
     return out
 
 
 def calls(text: str) -> list[str]:
-    return list(dict.fromkeys(n for n in _CALL.findall(text) if n.split("::")[-1] not in KEYWORDS))
+    return _called(tokens(text))
+
+
+def _called(found: list[str]) -> list[str]:
+    """Names, with what qualifies them, that a bracket follows."""
+    out: dict[str, None] = {}
+    name = ""
+    for i, t in enumerate(found):
+        if is_name(t):
+            name = name + t if name.endswith("::") else t
+        elif t == "::" and name:
+            name += t
+        else:
+            if t == "(" and name and is_name(found[i - 1]) and found[i - 1] not in KEYWORDS:
+                out.setdefault(name)
+            name = ""
+    return list(out)
 
 
 def arguments(text: str, name: str) -> list[str]:
@@ -116,63 +146,155 @@ def arguments(text: str, name: str) -> list[str]:
     return split_top(text[m.end() :])
 
 
-def _variables(text: str) -> list[str]:
-    named = set(calls(text))
-    return list(dict.fromkeys(n for n in _NAME.findall(text) if n not in KEYWORDS and not is_type(n) and not n.isupper() and n not in named))
+def _variables(found: list[str]) -> list[str]:
+    named = set(_called(found))
+    return list(dict.fromkeys(n for n in names(found) if n not in KEYWORDS and not is_type(n) and not n.isupper() and n not in named))
+
+
+def _assigned(found: list[str]) -> int:
+    """Where the first assigning sign stands; -1 if there is none."""
+    return next((i for i, t in enumerate(found) if t in ASSIGNING), -1)
 
 
 def memory(text: str, named: list[str]) -> list[tuple[str, str, str]]:
     """(kind, function, target) of a statement's memory operations, each kind and function once."""
     out = {}
-    sides = _ASSIGN.split(text, maxsplit=1)
-    left = (_NAME.findall(sides[0]) or [""])[-1] if len(sides) > 1 else ""
-    for n in [x.split("::")[-1] for x in named] + [w for w in ("new", "delete") if re.search(rf"\b{w}\b", text)]:
+    found = tokens(text)
+    at = _assigned(found)
+    left = (names(found[:at]) or [""])[-1] if at >= 0 else ""
+    for n in [x.split("::")[-1] for x in named] + [w for w in ("new", "delete") if w in found]:
         for kind, group in MEMORY.items():
             if n in group or (n == "new" and kind == "allocation"):
                 given = arguments(text, n)
-                target = left if kind in ("allocation", "reallocation") else (_NAME.findall(given[0]) or [""])[0] if given else (_NAME.findall(text.split(n, 1)[1]) or [""])[0]
+                target = left if kind in ("allocation", "reallocation") else (names(tokens(given[0])) or [""])[0] if given else (names(tokens(text.split(n, 1)[1])) or [""])[0]
                 out.setdefault((kind, n), target)
     return [(k, n, v) for (k, n), v in out.items()]
 
 
+def _guard(found: list[str]) -> tuple[int, int] | None:
+    """(first, last) token of a condition that is all of a line but for what may stand around it."""
+    i = 0
+    while i < len(found) and found[i] in ("}", "else") and not (i and found[i - 1] == "else"):
+        i += 1
+    j = len(found) - (found[-1:] == ["{"])
+    if i + 1 < j and found[i] in GUARDS and found[i + 1] == "(" and found[j - 1] == ")":
+        return i + 2, j - 1
+    return None
+
+
+def _declared(found: list[str]) -> str | None:
+    """The name that a line declares: two names or more, the last one before =, ; a comma or an index, with only stars between."""
+    i = 0
+    while i < len(found) and (is_name(found[i]) or found[i] in ("*", "&", "&&") and i):
+        i += 1
+    behind = found[i] if i < len(found) else ""
+    if i < 2 or not is_name(found[i - 1]) or len(names(found[:i])) < 2 or behind not in ("=", ";", ",", "["):
+        return None
+    while behind == "[":
+        closed = next((k for k in range(i, len(found)) if found[k] == "]"), None)
+        i = closed + 1 if closed is not None else len(found)
+        behind = found[i] if i < len(found) else ""
+    return found[i - 1] if is_name(found[i - 1]) and behind in ("=", ";", ",") else next((n for n in reversed(names(found[:i]))), None) if behind in ("=", ";", ",") else None
+
+
+def _members(found: list[str]) -> list[tuple[str, str]]:
+    out, i = [], 0
+    while i + 2 < len(found):
+        if found[i + 1] in ("->", ".") and is_name(found[i]) and is_name(found[i + 2]):
+            out.append((found[i], found[i + 2]))
+            i += 3
+        else:
+            i += 1
+    return out
+
+
+def _indexed(found: list[str]) -> list[tuple[str, list[str]]]:
+    """(name, tokens up to the first closing bracket) of each name[...]."""
+    out, i = [], 0
+    while i + 2 < len(found):
+        end = next((k for k in range(i + 2, len(found)) if found[k] == "]"), 0) if found[i + 1] == "[" and is_name(found[i]) else 0
+        if end > i + 2:
+            out.append((found[i], found[i + 2 : end]))
+        i = end if end else i + 1
+    return out
+
+
 def statement(text: str) -> dict:
     """All facts of one line."""
     line = text.strip()
-    named = calls(line)
-    sides = _ASSIGN.split(line, maxsplit=1)
-    guard, back, declared = _GUARD.match(line), _RETURN.match(line), _DECLARED.match(line)
+    found = tokens(line)
+    named, at, guard = _called(found), _assigned(found), _guard(found)
+    left, right = (found[:at], found[at + 1 :]) if at >= 0 else (found, [])
+    back = found[:1] == ["return"]
     defined: list[str] = []
-    if len(sides) > 1 and not guard:
-        member, index = _MEMBER.search(sides[0]), _INDEX.search(sides[0])
-        names = [n for n in _NAME.findall(sides[0]) if n not in KEYWORDS and not is_type(n)]
-        defined = [index[1]] if index else [member[1], member[2]] if member else names[-1:]
-    is_declaration = bool(declared) and declared[1] not in KEYWORDS and not back and line.split()[0] not in ("return", "goto", "else", "case", "delete")
-    if is_declaration and declared[1] not in defined:
-        defined.append(declared[1])
+    if at >= 0 and not guard:
+        member, index = _members(left), _indexed(left)
+        plain = [n for n in names(left) if n not in KEYWORDS and not is_type(n)]
+        defined = [index[0][0]] if index else list(member[0]) if member else plain[-1:]
+    declared = _declared(found)
+    if declared in KEYWORDS or found[:1] and found[0] in ("return", "goto", "else", "case", "delete"):
+        declared = None
+    if declared and declared not in defined:
+        defined.append(declared)
     ops = memory(line, named)
-    flags = [("assignment", len(sides) > 1), ("condition", bool(guard)), ("return", line.startswith("return")), ("function_call", bool(named)), ("memory_operation", bool(ops)), ("declaration", is_declaration)]
-    members = _MEMBER.findall(line)
-    indexed = _INDEX.findall(line)
-    plain = re.match(r"^.*?([A-Za-z_]\w*)\s*=\s*&?\s*([A-Za-z_]\w*)\s*;?\s*$", line) if len(sides) > 1 else None
-    read = _variables(sides[1] if len(sides) > 1 and not guard else line)
+    flags = [("assignment", at >= 0), ("condition", bool(guard)), ("return", line.startswith("return")), ("function_call", bool(named)), ("memory_operation", bool(ops)), ("declaration", bool(declared))]
+    source = [t for t in right if t not in ("&", ";")]
+    alias = source[0] if at >= 0 and found[at] == "=" and len(source) == 1 and is_name(source[0]) and is_name(left[-1] if left else " ") else None
+    read = _variables(right if at >= 0 and not guard else found)
+    returned = line[6:].strip().removesuffix(";").strip() if back else ""
     return {
         "statement_types": [k for k, on in flags if on] or ["unknown"],
         "defined": defined,
-        "referenced": [v for v in read if v not in defined or v in _NAME.findall(sides[1] if len(sides) > 1 else "")],
+        "referenced": [v for v in read if v not in defined or v in names(right)],
         "calls": named,
         "memory_kinds": [k for k, _, _ in ops],
         "memory_functions": [n for _, n, _ in ops],
         "memory_targets": [v for _, _, v in ops],
-        "field_accesses": [f"{a}.{b}" for a, b in members],
-        "index_variables": list(dict.fromkeys(n for _, i in indexed for n in _NAME.findall(i))),
-        "alias_source": plain[2] if plain and plain[2] not in KEYWORDS else None,
-        "macro_references": list(dict.fromkeys(_MACRO.findall(line))),
+        "field_accesses": [f"{a}.{b}" for a, b in _members(found)],
+        "index_variables": list(dict.fromkeys(n for _, i in _indexed(found) for n in names(i))),
+        "alias_source": alias if alias not in KEYWORDS else None,
+        "macro_references": list(dict.fromkeys(n for n in names(found) if is_macro(n))),
         "call_arguments": [a for n in named for a in arguments(line, n.split("::")[-1])],
-        "condition": guard["e"].strip() or None if guard else None,
-        "returned": back[1].strip() or None if back else None,
+        "condition": _between(line) or None if guard else None,
+        "returned": returned or None,
     }
 
 
+def _between(line: str) -> str:
+    """What stands between a line's first opening and its last closing bracket."""
+    return line[line.index("(") + 1 : line.rindex(")")].strip()
+
+
+def _head(text: str) -> tuple[str, str, str, int] | None:
+    """(type, name, parameters, where it begins) of a function's head that ends a text; read from the right, so its length doesn't matter."""
+    end = len(text.rstrip())
+    while (word := re.search(r"[A-Za-z]+$", text[max(0, end - 16) : end])) and word[0] in _BEHIND:
+        end = len(text[: end - len(word[0])].rstrip())
+    if not end or text[end - 1] != ")":
+        return None
+    depth, at = 0, end - 1
+    while at >= 0:
+        depth += (text[at] == ")") - (text[at] == "(")
+        if depth == 0:
+            break
+        at -= 1
+    stop = len(text[: max(at, 0)].rstrip())
+    begin = stop
+    while begin and (text[begin - 1].isalnum() or text[begin - 1] in "_:~"):
+        begin -= 1
+    name = text[begin:stop].lstrip(":")
+    begin = stop - len(name)
+    if depth or not name or not (name[0].isalpha() or name[0] in "_~"):
+        return None
+    first = begin
+    while first and (text[first - 1].isalnum() or text[first - 1] in "_:<>,*&~ \t\r\n"):
+        first -= 1
+    kind = text[first:begin].strip()
+    if kind and not (kind[0].isalpha() or kind[0] == "_"):
+        kind, first = "", begin
+    return kind, name, text[at + 1 : end - 1], first
+
+
 def functions(text: str) -> list[dict]:
     """Functions of a file: where each begins and ends, its head, and the depth of each of its lines."""
     clean = without_comments(text) or ""
@@ -187,11 +309,12 @@ def functions(text: str) -> list[dict]:
             edge = clean.find("\n", i) + 1 or len(clean)
         elif c == "{":
             if head is None:
-                m = _HEAD.search(clean[edge:i]) if i - edge < 4000 else None
-                if m and m["name"].split("::")[-1] not in KEYWORDS:
+                m = _head(clean[edge:i])
+                if m and m[1].split("::")[-1] not in KEYWORDS:
                     head, start, depth = m, i, 1
-                    first = edge + m.start() + len(m[0]) - len(m[0].lstrip())
-                    out.append({"name": m["name"].split("::")[-1], "qualified_name": m["name"], "return_type": (m["type"] or "").strip() or None, "parameters": parameters(m["params"]), "line": int(line_of[first]) + 1, "body": start})
+                    whole = clean[edge + m[3] : i]
+                    first = edge + m[3] + len(whole) - len(whole.lstrip())
+                    out.append({"name": m[1].split("::")[-1], "qualified_name": m[1], "return_type": m[0] or None, "parameters": parameters(m[2]), "line": int(line_of[first]) + 1, "body": start})
                 else:
                     edge = i + 1  # a namespace, class or initialiser: look inside
             else:

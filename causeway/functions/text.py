@@ -61,28 +61,28 @@ def literal_classes(c: Column) -> Column:
     return F.regexp_replace(out, r"\b(?:0[xX][0-9A-Fa-f]+|\d+)\b", "<int>")
 
 
-_NAME = re.compile(r"<[a-z_0-9]+>|\b[A-Za-z_]\w*\b")
+#: What a word is replaced by, in order: words that are one of a set, then words that have one of some hints in them.
+_EXACT = {w: mark for group, mark in ((NULLS, "<null>"), (COPIES, "<copy_op>"), (ALLOCATIONS, "<alloc_op>"), (FREES, "<free_op>")) for w in group} | {w: "" for w in KEYWORDS}
+_HINTS = [(h, mark) for hints, mark in ((SIZES, "<size_var>"), (BUFFERS, "<buffer_var>")) for h in hints]
+_PIECES = re.compile(r"(<[a-z_0-9]+>)|([^\W\d]\w*)|(\d\w*|\W)", re.ASCII)
 
 
 def _numbered(snippet: str | None) -> str | None:
+    """One pass over marks, words and the rest; words without a class are numbered as they come up."""
     if snippet is None:
         return None
-    seen: dict[str, str] = {}
-
-    def put(m: re.Match) -> str:
-        name = m[0]
-        low = name.lower()
-        if name[0] == "<" or low in KEYWORDS:
-            return name
-        for group, mark in ((NULLS, "<null>"), (COPIES, "<copy_op>"), (ALLOCATIONS, "<alloc_op>"), (FREES, "<free_op>")):
-            if low in group:
-                return mark
-        for hints, mark in ((SIZES, "<size_var>"), (BUFFERS, "<buffer_var>")):
-            if any(h in low for h in hints):
-                return mark
-        return seen.setdefault(low, f"<var{len(seen) + 1}>")
-
-    return " ".join(_NAME.sub(put, snippet).split())
+    numbers: dict[str, str] = {}
+    out = []
+    for mark, word, rest in _PIECES.findall(snippet):
+        low = word.lower()
+        if not word:
+            out.append(mark or rest)
+        elif low in _EXACT:
+            out.append(_EXACT[low] or word)
+        else:
+            hint = next((m for h, m in _HINTS if h in low), None)
+            out.append(hint or numbers.setdefault(low, f"<var{len(numbers) + 1}>"))
+    return " ".join("".join(out).split())
 
 
 @F.pandas_udf(T.StringType())

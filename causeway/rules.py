@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -42,3 +42,8 @@ def clamp(c: Column, low: float = 0.0, high: float = 1.0) -> Column:
 def or_default(c: Column, default: object) -> Column:
     """A zero counts as missing, as in `x or default`."""
     return F.coalesce(F.nullif(c, F.lit(0)), F.lit(default))
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), the value being worked out once however often it is used."""
+    return F.transform(F.array(value), use)[0]
