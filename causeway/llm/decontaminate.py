@@ -1,8 +1,7 @@
 """Benchmark decontamination with DataFrame functions only.
 
-The hashes of all benchmark windows form a set that travels with the plan to every executor. Each document's
-words are scanned once: a position is looked up by its first three words, then by the whole window. What is
-found is verified word for word against the windows themselves.
+The hashes of all benchmark windows form a set that is broadcast. The words of each document are scanned once, and
+each place whose window's hash is in the set is a hit, to be verified word for word against the windows themselves.
 """
 
 from __future__ import annotations
@@ -19,8 +18,10 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 PIECE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 TAIL = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+$"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: So many windows at most go into the plan as a set, and are broadcast to be verified (about 20 MB); more are joined.
-MAX_SET = 50_000
+#: So many hashes at most are broadcast at once (about 32 bytes each); documents are scanned once more for each further part.
+MAX_SET = 2 << 20
+#: So many windows, or texts with hits, are broadcast to verify hits (some 100 bytes each); more are joined by a shuffle.
+SMALL = 100_000
 
 
 def words_of(text: Column) -> Column:
@@ -30,50 +31,57 @@ def words_of(text: Column) -> Column:
 
 
 def windows_of(items: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """item, size, win (its words), h, h3: each item's windows; items without words or id have none."""
+    """item, size, win (its words), h: each item's windows; items without words or id have none."""
     words = items.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("item"), words_of(F.col(text_col)).alias("w")).where(F.size("w") > 0)
     sized = words.withColumn("size", F.least(F.size("w"), F.lit(window)))
-    cut = sized.select("item", "size", F.explode(F.expr("transform(sequence(1, size(w) - size + 1), i -> slice(w, i, size))")).alias("win"))
-    return cut.withColumn("h", F.xxhash64("win")).withColumn("h3", F.xxhash64(*(F.get("win", F.lit(i)) for i in range(3)))).distinct()
+    cut = sized.select("item", "size", F.explode(F.expr(f"transform(sequence(1, size(w) - size + 1), i -> {_window('w', 'i', 'size')})")).alias("win"))
+    hashes = [F.when(F.col("size") == n, F.expr(_hash(n, "win", "1"))) for n in range(1, window + 1)]
+    return cut.withColumn("h", F.coalesce(*hashes)).distinct()
+
+
+def _hash(size: int, words: str, at: str) -> str:
+    """SQL for the hash of `size` words from a place on; word by word, as a slice may cost a copy of the whole array."""
+    return f"xxhash64({size}, {', '.join(f'get({words}, {at} + {k - 1})' for k in range(size))})"
+
+
+def _window(words: str, at: str, size: str) -> str:
+    return f"transform(sequence(0, {size} - 1), k -> get({words}, {at} - 1 + k))"
 
 
 def scan(docs: DataFrame, windows: DataFrame, id_col: str, text_col: str, max_set: int = MAX_SET) -> DataFrame:
-    """id, key, n_words, hits (array of i, size, h, win): the places of each text that look like a window."""
-    sizes = [(r["size"], r["n"]) for r in windows.groupBy("size").agg(F.countDistinct("h").alias("n")).orderBy("size").collect()]  # at most WINDOW rows
+    """id, key, n_words, i, size, h: a row with i = 0 for each document, and one for each place that looks like a window."""
+    sizes = [r["size"] for r in windows.select("size").distinct().orderBy("size").collect()]  # at most WINDOW rows
+    heads = windows.select("h").distinct()
+    parts = max(1, -(-heads.count() // max(1, max_set)))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).select("id", text_key(F.col("t")).alias("key"), words_of(F.col("t")).alias("w"))
-    small = sum(n for _, n in sizes) <= max_set
-    parts = []
-    for size, _ in sizes:
-        tests = []
-        if small:
-            mine = windows.where(F.col("size") == size)
-            listed = lambda c, mine=mine: ", ".join(f"{r[0]}L" if r[0] != -(1 << 63) else "-9223372036854775807L - 1L" for r in mine.select(c).distinct().collect())  # noqa: E731  proven small
-            if size >= 3:
-                tests.append(f"xxhash64(get(w, i - 1), get(w, i), get(w, i + 1)) in ({listed('h3')})")
-            tests.append(f"xxhash64(slice(w, i, {size})) in ({listed('h')})")
-        places = f"filter(sequence(1, size(w) - {size - 1}), i -> {' and '.join(tests) or 'true'})"
-        parts.append(f"if(size(w) < {size}, array(), transform({places}, i -> struct(i as i, {size} as size, xxhash64(slice(w, i, {size})) as h, slice(w, i, {size}) as win)))")
-    kind = "array<struct<i:int,size:int,h:bigint,win:array<string>>>"
-    if not parts:
-        return rows.select("id", "key", F.size("w").alias("n_words"), F.array().cast(kind).alias("hits"))
-    if small:
-        return rows.select("id", "key", F.size("w").alias("n_words"), F.expr(f"cast(flatten(array({', '.join(parts)})) as {kind})").alias("hits"))
-    # too many windows for the plan: the places themselves meet the windows, text by text
-    heads = windows.select("size", "h").distinct()
-    texts = rows.groupBy("key").agg(F.first("w").alias("w"))
-    places = texts.select("key", F.explode(F.expr(f"cast(flatten(array({', '.join(parts)})) as {kind})")).alias("p")).select("key", "p.*")
-    met = places.join(heads, ["size", "h"], "left_semi").groupBy("key").agg(F.collect_list(F.struct("i", "size", "h", "win")).alias("hits"))
-    return rows.select("id", "key", F.size("w").alias("n_words")).join(met, "key", "left").select("id", "key", "n_words", F.coalesce("hits", F.array().cast(kind)).alias("hits"))
-
-
-def verified(scanned: DataFrame, windows: DataFrame, max_set: int = MAX_SET) -> DataFrame:
+    kind = "array<struct<i:int,size:int,h:bigint>>"
+    places = [f"if(size(w) < {n}, array(), transform(sequence(1, size(w) - {n - 1}), i -> struct(i as i, {n} as size, {_hash(n, 'w', 'i')} as h)))" for n in sizes]
+    every = f"cast(flatten(array({', '.join(places)})) as {kind})" if places else f"cast(array() as {kind})"
+
+    def met(found: str, part: int, how: str) -> DataFrame:
+        mine = heads.where(F.pmod("h", F.lit(parts)) == part).withColumn("known", F.lit(True)) if parts > 1 else heads.withColumn("known", F.lit(True))
+        placed = rows.select("id", "key", F.size("w").alias("n_words"), F.explode(F.expr(found)).alias("p")).select("id", "key", "n_words", "p.*")
+        return placed.join(F.broadcast(mine), "h", how)
+
+    first = met(f"concat(cast(array(struct(0, 0, null)) as {kind}), {every})", 0, "left").where("known or i = 0").drop("known")
+    for part in range(1, parts):
+        first = first.unionByName(met(every, part, "left_semi"))
+    return first
+
+
+def _small(df: DataFrame, most: int = SMALL) -> DataFrame:
+    """To be broadcast if its rows are few."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def verified(docs: DataFrame, scanned: DataFrame, windows: DataFrame, text_col: str, scratch: Scratch) -> DataFrame:
     """key, i, size, item of each true occurrence; texts that occur repeatedly are taken once."""
-    texts = scanned.where(F.size("hits") > 0).groupBy("key").agg(F.first("hits").alias("hits"))
-    places = texts.select("key", F.explode("hits").alias("p")).select("key", "p.*")
-    known = windows.select("size", "h", "win", "item")
-    if known.limit(max_set + 1).count() <= max_set:
-        known = F.broadcast(known)
-    return places.join(known, ["size", "h", "win"]).select("key", "i", "size", "item")
+    places = scratch.write(scanned.where("i > 0").select("key", "i", "size", "h").distinct())
+    keys = scratch.write(places.select("key").distinct())
+    texts = docs.select(text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("t")).join(_small(keys), "key", "left_semi").dropDuplicates(["key"])
+    worded = texts.select("key", words_of(F.col("t")).alias("w")).join(places.groupBy("key").agg(F.collect_list(F.struct("i", "size", "h")).alias("ps")), "key")
+    cut = worded.select("key", F.explode(F.expr(f"transform(ps, p -> struct(p.i as i, p.size as size, p.h as h, {_window('w', 'p.i', 'p.size')} as win))")).alias("p")).select("key", "p.*")
+    return cut.join(_small(windows.select("size", "h", "win", "item")), ["size", "h", "win"]).select("key", "i", "size", "item")
 
 
 def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = WINDOW, max_set: int = MAX_SET) -> tuple[DataFrame, DataFrame]:
@@ -81,19 +89,17 @@ def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
 
     items: the distinct item ids as sorted strings. Null and empty texts have no words, no hits. Items without
     id or words find nothing; an id that repeats counts once. Repeated rows each get their row. Empty tables
-    give no rows, or no hits.
+    give no rows, or no hits. Other columns aren't read.
     """
     scratch = Scratch(docs.sparkSession, "decontaminate")
     windows = scratch.write(windows_of(items, item_col, "text", window))
     scanned = scratch.write(scan(docs, windows, id_col, text_col, max_set))
-    true = scratch.write(verified(scanned, windows, max_set))
+    true = scratch.write(verified(docs, scanned, windows, text_col, scratch))
     positions = true.select("key", F.explode(F.expr("sequence(i, i + size - 1)")).alias("p")).distinct().groupBy("key").agg(F.collect_list("p").alias("positions"))
     named = true.select("key", F.col("item").cast("string").alias("item")).distinct().groupBy("key").agg(F.sort_array(F.collect_list("item")).alias("items"))
-    by_text = positions.join(named, "key").select("key", F.size("positions").cast("long").alias("n_hit"), "items")
-    none = scanned.where(F.size("hits") == 0).select("id", "key", "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
-    some = scanned.where(F.size("hits") > 0).select("id", "key", "n_words").join(by_text, "key", "left")
-    some = some.select("id", "key", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
-    return none.unionByName(some), positions
+    by_text = scratch.write(positions.join(named, "key").select("key", F.size("positions").cast("long").alias("n_hit"), "items"))
+    rows = scanned.where("i = 0").select("id", "key", "n_words").join(_small(by_text), "key", "left")
+    return rows.select("id", "key", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items")), positions
 
 
 def digest(docs: DataFrame, items: DataFrame, **kw) -> DataFrame:
@@ -113,12 +119,15 @@ def clean(docs: DataFrame, items: DataFrame, mode: str = "documents", id_col: st
     """The input with contaminated documents removed, or (mode "spans") with the hit words cut out of their texts.
 
     A cut takes the words and what stands before each of them. Rows without hits, null texts among them, stay
-    as they are. All columns stay; of the others only text_col may change.
+    as they are. All columns stay, whatever their names; of the others only text_col may change.
     """
     _, positions = find(docs, items, id_col, text_col, **kw)
+    positions = Scratch(docs.sparkSession, "hits").write(positions)
     key = text_key(F.col(text_col))
     if mode == "documents":
-        return docs.join(positions.select(F.col("key").alias("_key")), key == F.col("_key"), "left_anti")
+        row = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), key.alias("_key"))  # no name of the input can clash
+        kept = row.join(_small(positions.select(F.col("key").alias("_key"))), "_key", "left_anti")
+        return kept.select(*(F.col("_row")[c].alias(c) for c in docs.columns))
     if mode != "spans":
         raise ValueError(f"mode is documents or spans, not {mode}")
     row = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), key.alias("_key")).join(positions.select(F.col("key").alias("_key"), F.col("positions").alias("_hit")), "_key", "left")

@@ -28,12 +28,14 @@ LIST = 12
 ROUNDS, STILL = 4, 0.01
 #: Vectors in a block of a component that is compared as a whole.
 BLOCK = 512
-AUDIT, RECALL, TRIES = 512, 0.999, 3
+#: Vectors compared with all others, the recall below which orders are added, how often at most, and the recall below which there is no result.
+AUDIT, RECALL, TRIES, LEAST = 512, 0.999, 3, 0.9
 
 
 def _matrix(vectors) -> np.ndarray:
     """Unit rows in double precision."""
     x = np.array([np.asarray(v, np.float64) for v in vectors])
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # else squares of very large or small components are lost
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -65,14 +67,15 @@ def seeds(nodes: DataFrame, first: int, orders: int = ORDERS) -> DataFrame:
             rest = b.tail(REACH)
             yield from _close(b)
 
-    kind = f"k int, kind long, at long, node long, vec {nodes.schema['vec'].dataType.simpleString()}"
+    kind = f"k int, kind string, at long, node long, vec {nodes.schema['vec'].dataType.simpleString()}"
     laid = nodes.mapInPandas(spread, kind).repartitionByRange(parts, "k", "kind", "at").sortWithinPartitions("k", "kind", "at", "node")
     return laid.mapInPandas(meet, "u long, v long, sim double").groupBy("u", "v").agg(F.max("sim").alias("sim"))
 
 
 def _close(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
     size = b["vec"].map(len).to_numpy()
-    start = np.flatnonzero(np.r_[True, np.diff(b["k"].to_numpy()) != 0] | np.r_[True, np.diff(b["kind"].to_numpy()) != 0] | np.r_[True, np.diff(size) != 0]).tolist() if len(b) else []
+    turns = lambda x: np.r_[True, x[1:] != x[:-1]]
+    start = np.flatnonzero(turns(b["k"].to_numpy()) | turns(b["kind"].to_numpy()) | turns(size)).tolist() if len(b) else []
     for i, j in zip(start, start[1:] + [len(b)], strict=True):
         x, node = _matrix(b["vec"].iloc[i:j]), b["node"].to_numpy()[i:j]
         for step in range(1, min(REACH, j - i - 1) + 1):
@@ -168,11 +171,12 @@ def _counted(b: pd.DataFrame, names: list[str]) -> Iterator[pd.DataFrame]:
 
 
 def audit(nodes: DataFrame, found: DataFrame, sample: int = AUDIT) -> float:
-    """The share of the true links of `sample` vectors (those whose hashed keys come first) that lie in one component."""
-    picked = nodes.orderBy(F.xxhash64("node", F.lit(3)), "node").limit(sample).select("node", "kind", "vec").collect()
+    """How much of the true links of `sample` vectors (those whose hashed keys come first) lies in one component: the mean share over those that have links."""
+    picked = nodes.select("node").orderBy(F.xxhash64("node", F.lit(3)), "node").limit(sample)
+    picked = nodes.join(F.broadcast(picked), "node", "left_semi").select("node", "kind", "vec").collect()  # AUDIT vectors
     if not picked:
         return 1.0
-    by_kind: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    by_kind: dict[str, tuple[np.ndarray, np.ndarray]] = {}
     for kind in {r.kind for r in picked}:
         mine = [r for r in picked if r.kind == kind]
         by_kind[kind] = (np.array([r.node for r in mine], np.int64), _matrix([r.vec for r in mine]))
@@ -182,44 +186,52 @@ def audit(nodes: DataFrame, found: DataFrame, sample: int = AUDIT) -> float:
             for kind, g in b.groupby("kind"):
                 if kind in by_kind:
                     node, q = by_kind[kind]
-                    i, j = np.nonzero(_matrix(g["vec"]) @ q.T >= LINK)
-                    yield _pairs(g["node"].to_numpy()[i], node[j], np.ones(len(i)), 0)
+                    own = g["node"].to_numpy()
+                    i, j = np.nonzero((_matrix(g["vec"]) @ q.T >= LINK) & (own[:, None] != node))
+                    yield pd.DataFrame({"u": node[j], "v": own[i]})
 
-    true = nodes.select("node", "kind", "vec").mapInPandas(look, "u long, v long, sim double").select("u", "v").distinct()
+    true = nodes.select("node", "kind", "vec").mapInPandas(look, "u long, v long")
     a, b = found.toDF("u", "cu"), found.toDF("v", "cv")
-    got = true.join(a, "u", "left").join(b, "v", "left").agg(F.count("*").alias("n"), F.count_if(F.col("cu") == F.col("cv")).alias("k")).first()
-    return got.k / got.n if got.n else 1.0
+    shares = true.join(a, "u", "left").join(b, "v", "left").groupBy("u").agg((F.count_if(F.col("cu") == F.col("cv")) / F.count("*")).alias("share"))
+    return shares.agg(F.avg("share").alias("r")).first().r or (1.0 if true.isEmpty() else 0.0)
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", orders: int = ORDERS) -> DataFrame:
-    """A row for each input row: id_col, n_links, component_id, kept.
+    """A row for each input row: id_col, n_links, component_id, kept, recall.
 
     Rows link if their labels are equal and not null and the cosine of their vectors, in double precision, is
-    at least LINK. Vectors that are null, empty or zero, or hold null or non-finite components, link with
+    at least LINK, recall being the share of true links that the audit found. Vectors that are null, empty or zero, or hold null or non-finite components, link with
     nothing, and vectors of different lengths never link. Equal vectors are worked on once. A row without id
     is counted as a link by others; component_id is null only if no row of the component has an id. Repeated
-    rows are rows of their own. Other columns aren't read.
+    rows are rows of their own; an empty table gives an empty one. Other columns aren't read. If the audit
+    finds less than LEAST after TRIES times `orders` orders, there is no result but an error.
     """
     spark = vectors.sparkSession
     small_batches(spark)
     scratch = Scratch(spark, "nndescent")
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"), F.col(label_col).alias("label"))
     good = F.col("label").isNotNull() & F.coalesce(_valid(F.col("vec")), F.lit(False))
-    rows = scratch.write(rows.select("id", F.when(good, F.xxhash64("label", "vec")).alias("node"), F.when(good, F.xxhash64("label", F.size("vec"))).alias("kind"), F.when(good, F.col("vec")).alias("vec")))
-    nodes = scratch.write(rows.where("node is not null").groupBy("node").agg(F.first("kind").alias("kind"), F.first("vec").alias("vec"), F.count("*").alias("copies"), F.min("id").alias("least")))
+    told = F.concat_ws("|", F.size("vec").cast("string"), F.col("label").cast("string"))
+    keyed = rows.select("id", F.when(good, F.sha2(F.concat_ws("|", told, F.col("vec").cast("string")), 256)).alias("key"), F.when(good, told).alias("kind"), F.when(good, F.col("vec")).alias("vec"))
+    rows = scratch.write(keyed)
+    # numbers for distinct vectors hold from where they are written
+    nodes = scratch.write(rows.where("key is not null").groupBy("key").agg(F.first("kind").alias("kind"), F.first("vec").alias("vec"), F.count("*").alias("copies"), F.min("id").alias("least")).withColumn("node", F.monotonically_increasing_id()))
     edges = None
     for k in range(TRIES):
         more = seeds(nodes, k * orders, orders)
         edges = more if edges is None else edges.unionByName(more).groupBy("u", "v").agg(F.max("sim").alias("sim"))
         edges = descend(scratch.write(edges), nodes, scratch)
         found = scratch.write(components(edges.where(F.col("sim") >= LINK).select(F.col("u").alias("a"), F.col("v").alias("b")), scratch))
-        if audit(nodes, found) >= RECALL:
+        if (recall := audit(nodes, found)) >= RECALL:
             break
+    if recall < LEAST:
+        raise RuntimeError(f"{TRIES * orders} orders found {recall:.3f} of the audited links, less than {LEAST}")
     linked = enlarge(nodes, found, scratch)
-    known = nodes.select("node", "copies", "least").join(found, "node", "left").join(linked, "node", "left")
-    known = known.select("node", F.coalesce("component", "node").alias("root"), (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), "least")
-    ids = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = known.join(ids, "root").select("node", "n_links", "component_id")
-    out = rows.select("id", "node").join(classes, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
+    known = nodes.select("key", "node", "copies", "least").join(found, "node", "left").join(linked, "node", "left")
+    known = known.select("key", F.coalesce("component", "node").alias("root"), (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), "least")
+    known = scratch.write(known)
+    ids = scratch.write(known.groupBy("root").agg(F.min("least").alias("component_id")))  # apart, so that a hot root's rows can be split
+    classes = known.join(ids, "root").select("key", "n_links", "component_id")
+    out = rows.select("id", "key").join(classes, "key", "left")
+    component = F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component_id"))
+    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"), F.lit(recall).alias("recall"))

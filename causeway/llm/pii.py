@@ -35,7 +35,11 @@ _BLOCK = 256
 
 
 def running_sums(numbers: Column) -> Column:
-    """The sum before each element, in blocks: the work stays near n times the root of n."""
+    """The sum before each element, in blocks: no step copies more than a block, or the sums of all blocks."""
+    return F.transform(F.array(numbers), _sums)[0]  # bound to a name, so that it isn't worked out again for each block
+
+
+def _sums(numbers: Column) -> Column:
     n = F.size(numbers)
     grow = lambda xs: F.aggregate(xs, F.array(F.lit(0)), lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + x))
     blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / _BLOCK).cast("int")), lambda b: F.slice(numbers, b * _BLOCK + 1, F.lit(_BLOCK)))
@@ -113,16 +117,18 @@ def learn(places: DataFrame, scratch: Scratch, rounds: int = ROUNDS, min_seeds:
     patterns, as far as that reaches `trust`.
     """
     edges = scratch.write(places.where("context is not null").groupBy("context", "value").agg(F.max("kind").alias("kind"), F.count("*").alias("n")))
-    seeds = edges.where("kind is not null").select("value", "kind", F.lit(1.0).alias("trust")).distinct()
+    # tables of their own, so that the rows of a hot value or context can be split among tasks
+    exact = "decimal(28,18)"  # sums that don't depend on the order
+    seeds = scratch.write(edges.where("kind is not null").select("value", "kind", F.lit(1.0).alias("trust")).distinct())
     total = edges.groupBy("context").agg(F.count("*").alias("m"))
     trusted = seeds
     patterns = None
     for _ in range(rounds):
         marked = edges.select("context", "value").join(trusted, "value")
-        scored = marked.groupBy("context", "kind").agg(F.sum("trust").alias("s"), F.count("*").alias("k")).where(F.col("k") >= min_seeds).join(total, "context")
+        scored = marked.groupBy("context", "kind").agg(F.sum(F.col("trust").cast(exact)).cast("double").alias("s"), F.count("*").alias("k")).where(F.col("k") >= min_seeds).join(total, "context")
         old, patterns = patterns, scratch.write(scored.select("context", "kind", (F.col("s") / F.col("m")).alias("confidence")).where(F.col("confidence") >= trust))
         met = edges.where("kind is null").join(patterns.withColumnRenamed("kind", "k"), "context").groupBy("value", F.col("k").alias("kind"))
-        new = met.agg((1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("confidence")))))).alias("trust")).where(F.col("trust") >= trust)
+        new = met.agg((1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("confidence"))).cast(exact)).cast("double"))).alias("trust")).where(F.col("trust") >= trust)
         before, trusted = trusted, scratch.write(seeds.unionByName(new))
         if old is not None:
             scratch.discard(old)
@@ -147,7 +153,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     free = (F.coalesce("past", F.lit(0)) <= F.col("start")) & (F.coalesce("next", F.col("end")) >= F.col("end"))
     places = scratch.write(marked.where((F.col("kind") != "token") | free).drop("past", "next"))
     patterns = learn(places.select("context", "value", F.when(F.col("kind") != "token", F.col("kind")).alias("kind")), scratch)
-    best = patterns.groupBy("context").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("found"))
+    best = scratch.write(patterns.groupBy("context").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("found")))
     hits = places.where("kind = 'token'").join(best, "context")
     added = hits.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", F.lit(len(KINDS)).alias("rank"), "end", F.concat(F.lit("context_"), "found").alias("kind"), "value", "context"))).cast(_SPAN).alias("added"))
     none = F.array().cast(_SPAN)
@@ -172,8 +178,8 @@ def mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     Texts without spans, null ones among them, stay as they are. All columns stay.
     """
-    found = find(docs, id_col, text_col).where(F.size("base") + F.size("added") > 0).select("key", F.array_sort(F.concat("base", "added")).alias("spans"))
-    found = found.dropDuplicates(["key"]).select(F.col("key").alias("_key"), _merged(F.col("spans")).alias("_spans"))
+    found = find(docs, id_col, text_col).where(F.size("base") + F.size("added") > 0).dropDuplicates(["key"])
+    found = merged(found.select(F.col("key").alias("_key"), F.explode(F.concat("base", "added")).alias("s")))
     holds = F.coalesce(F.col(text_col).rlike("[0-9@]"), F.lit(False))
     row = docs.where(holds).select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), text_key(F.col(text_col)).alias("_key")).join(found, "_key", "left")
     t = F.col("_row")[text_col]
@@ -183,10 +189,10 @@ def mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return row.select(*(text.alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns)).unionByName(docs.where(~holds))
 
 
-def _merged(spans: Column) -> Column:
-    """Sorted spans -> disjoint (start, end, kind of the first)."""
-    one = lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))
-    last = lambda acc: F.element_at(acc, -1)
-    join = lambda acc, x: F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last(acc)["start"].alias("start"), F.greatest(last(acc)["end"], x["end"]).alias("end"), last(acc)["kind"].alias("kind"))))
-    empty = F.array().cast("array<struct<start:int,end:int,kind:string>>")
-    return F.aggregate(spans, empty, lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(F.concat(F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit("").alias("kind"))), acc), -1)["end"] > x["start"]), F.when(F.size(acc) > 0, join(acc, x))).otherwise(F.array_append(acc, one(x))))
+def merged(spans: DataFrame) -> DataFrame:
+    """(_key, s) -> _key, _spans: disjoint (start, end, kind of the first) in order."""
+    before = "partition by _key order by start, rank, end rows between unbounded preceding and"
+    rows = spans.select("_key", "s.start", "s.rank", "s.end", "s.kind").withColumn("past", F.expr(f"max(end) over ({before} 1 preceding)"))
+    rows = rows.withColumn("part", F.expr(f"count_if(past is null or past <= start) over ({before} current row)"))
+    whole = rows.groupBy("_key", "part").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("kind", F.struct("start", "rank", "end")).alias("kind"))
+    return whole.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("_spans"))

@@ -7,8 +7,8 @@ that differs in one bit at most); the third prunes what the join finds; the four
 
 Texts whose sets of five-word shingles have a Jaccard similarity of 0.8 differ in about ten of 64 bits, some of
 them in sixteen. No chain of segments has a key that is equal, or nearly, at such distances; keep_first(similarity)
-therefore looks at pairs within three bits and, besides, at pairs that share one of their LOW smallest shingle
-hashes (all do but one in ten million). Two fingerprints of 128 bits prune these, and the sets themselves decide.
+therefore looks at pairs within three bits and, besides, at pairs that share one of KEYS small shingle hashes (all
+do but one in ten million). Fingerprints of 128 bits and the LOW smallest hashes prune these, and the sets decide.
 """
 
 from __future__ import annotations
@@ -33,8 +33,13 @@ SEGMENTS, WIDTH, DISTANCE = 4, 16, 3
 #: A bucket of more fingerprints than this takes the way of crowded().
 CROWD = 4096
 #: For texts by similarity: words of a shingle, the least similarity as a fraction, smallest hashes kept of a text, and how many
-#: of 128 bits may differ (at 0.8 it is 19 on average, with a deviation of 4).
-WORDS, OVER, UNDER, LOW, APART = 5, 4, 5, 10, 48
+#: of them it is found by.
+WORDS, OVER, UNDER, LOW, KEYS = 5, 4, 5, 32, 10
+#: How many of 128 bits may differ (at 0.8 it is 19 on average, with a deviation of 4), and the share of the smallest hashes
+#: that two texts must have in common (at 0.8 it is 0.8, with a deviation of 0.07).
+APART, SHARED = 40, 0.4
+#: Hashes that many texts have are used last, as far as so many of them go: they cost work, and miss nothing otherwise.
+COMMON = 1 << 20
 #: Where more texts than MANY share a hash, each is compared with one of them first, STARS times over with another one.
 MANY, STARS = 64, 4
 _TURN = np.uint64(0x9E3779B97F4A7C15)
@@ -182,6 +187,23 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int = WORDS,
     return docs.select(F.col(id_col).cast("long").alias("id"), sketch(F.col(text_col)).alias("s")).select("id", "s.*")
 
 
+def _keys_of(nodes: DataFrame, many: int):
+    """What picks the KEYS hashes that a text is found by: its smallest ones, those that more than `many` texts have last."""
+    often = nodes.select(F.explode("low").alias("key")).groupBy("key").count().where(F.col("count") > many)
+    common = np.array([r.key for r in often.orderBy(F.desc("count"), "key").limit(COMMON).select("key").collect()], np.int64)  # 8 MB at most
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def pick(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for rows in parts:
+            out = []
+            for low in rows:
+                late = np.isin(low, common)
+                out.append(np.concatenate([low[~late], low[late]])[:KEYS])
+            yield pd.Series(out, dtype=object)
+
+    return pick
+
+
 def similar_links(docs: DataFrame, nodes: DataFrame, scratch: Scratch, id_col: str, text_col: str, shingle: int = WORDS, over: int = OVER, under: int = UNDER, many: int = MANY) -> DataFrame:
     """(node, n, fp, more, low), a row for each distinct set of shingles -> (a, b): links that leave the same components as all similar pairs.
 
@@ -205,8 +227,11 @@ def similar_links(docs: DataFrame, nodes: DataFrame, scratch: Scratch, id_col: s
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
         for d in done:
             pairs = pairs.join(d, ["a", "b"], "left_anti")
+        lows = nodes.select("node", "low")
         pairs = scratch.write(pairs)
         done.append(pairs)
+        both = pairs.join(lows.toDF("a", "la"), "a").join(lows.toDF("b", "lb"), "b")
+        pairs = scratch.write(both.where(F.size(F.array_intersect("la", "lb")) >= F.least(F.size("la"), F.size("lb")) * SHARED).select("a", "b"))
         texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
         wanted = pairs.select("a").union(pairs.select("b")).distinct().toDF("id")
         texts = scratch.write(texts.join(wanted, "id", "left_semi").dropDuplicates(["id"]))
@@ -225,7 +250,7 @@ def similar_links(docs: DataFrame, nodes: DataFrame, scratch: Scratch, id_col: s
     prints = scratch.write(nodes.groupBy("fp").agg(F.min("node").alias("least")))
     same = nodes.join(prints, "fp").select(F.col("least").alias("a"), F.col("node").alias("b"))
     near_prints = links(prints.select("fp"), scratch).toDF("x", "y").join(prints.toDF("x", "a"), "x").join(prints.toDF("y", "b"), "y").select("a", "b")
-    met = nodes.select("node", "n", "fp", "more", F.explode("low").alias("key"))
+    met = nodes.select("node", "n", "fp", "more", F.explode(_keys_of(nodes, many)("low")).alias("key"))
     crowds = met.groupBy("key").count().where("count > 1")
     met = scratch.write(met.join(crowds, "key"))
 

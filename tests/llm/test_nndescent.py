@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from causeway.llm import nndescent as N
 from causeway.llm.common import Scratch
@@ -53,7 +54,9 @@ def test_equals_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(N.enlarge, "__defaults__", (block,))
     rows = table()
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<float>, label int, node string, kind int")
-    got = sorted(map(str, map(tuple, N.near_duplicates(df).collect())))
+    out = N.near_duplicates(df).collect()
+    assert {r.recall for r in out} == {1.0}
+    got = sorted(str(tuple(r)[:4]) for r in out)
     assert got == sorted(map(str, brute(rows)))
 
 
@@ -70,7 +73,7 @@ def test_descent_completes_lists(spark):
 
 def test_audit_sees_what_is_missing(spark):
     vecs = [[1.0, 0.0, float(i) / 1000] for i in range(10)]
-    nodes = spark.createDataFrame([(i, 0, v) for i, v in enumerate(vecs)], "node long, kind long, vec array<double>")
+    nodes = spark.createDataFrame([(i, 0, v) for i, v in enumerate(vecs)], "node long, kind int, vec array<double>").withColumn("kind", F.col("kind").cast("string"))
     whole = spark.createDataFrame([(i, 0) for i in range(10)], "node long, component long")
     half = spark.createDataFrame([(i, i // 5) for i in range(10)], "node long, component long")
     assert N.audit(nodes, whole) == 1.0
@@ -81,4 +84,17 @@ def test_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert N.near_duplicates(df).count() == 0
     one = spark.createDataFrame([(3, None, 1)], "vec_id long, embedding array<float>, label int")
-    assert [tuple(r) for r in N.near_duplicates(one).collect()] == [(3, 0, 3, True)]
+    assert [tuple(r) for r in N.near_duplicates(one).collect()] == [(3, 0, 3, True, 1.0)]
+
+
+def test_largest_and_smallest_numbers(spark):
+    rows = [(1, [1e200, 1e200], 0), (2, [2e200, 2e200], 0), (3, [1e-200, 2e-200], 0), (4, [2e-200, 4e-200], 0), (5, [5e-324, 0.0], 0), (6, [1.7e308, 0.0], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert sorted(tuple(r)[:3] for r in N.near_duplicates(df).collect()) == [(1, 1, 1), (2, 1, 1), (3, 1, 3), (4, 1, 3), (5, 1, 5), (6, 1, 5)]
+
+
+def test_low_recall_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(N, "audit", lambda *a: 0.5)
+    df = spark.createDataFrame([(1, [1.0, 0.0], 0), (2, [1.0, 0.01], 0)], "vec_id long, embedding array<double>, label int")
+    with pytest.raises(RuntimeError, match="0.500"):
+        N.near_duplicates(df, orders=1)

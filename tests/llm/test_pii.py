@@ -67,3 +67,58 @@ def test_mask(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert pii.digest(df).count() == 0 and pii.mask(df).count() == 0
+
+
+def test_long_texts_take_time_in_proportion(spark):
+    import time
+
+    df = spark.createDataFrame([(1, "1 " * 75_000), (2, "my mail is a@b.co " * 8_000)], "doc_id long, text string")
+    start = time.time()
+    got = {r.doc_id: r.n_email for r in pii.digest(df).collect()}
+    assert got == {1: 0, 2: 8_000}
+    assert {r.doc_id: r.text.count("[EMAIL]") for r in pii.mask(df).collect()} == {1: 0, 2: 8_000}
+    assert time.time() - start < 180
+
+
+def plain_learn(places, rounds=pii.ROUNDS, least=pii.MIN_SEEDS, trust=pii.TRUST):
+    """The graph of contexts and values with dictionaries: (context, kind) -> confidence."""
+    kinds, values = {}, {}
+    for context, value, kind in places:
+        if context is not None:
+            values.setdefault(context, set()).add(value)
+            if kind is not None:
+                kinds[context, value] = max(kind, kinds.get((context, value), kind))
+    seeds = {(v, k): 1.0 for (_, v), k in kinds.items()}
+    trusted, patterns = dict(seeds), {}
+    for _ in range(rounds):
+        patterns = {}
+        for c, vs in values.items():
+            for kind in {k for _, k in trusted}:
+                mine = [trusted[v, kind] for v in vs if (v, kind) in trusted]
+                if len(mine) >= least and sum(mine) / len(vs) >= trust:
+                    patterns[c, kind] = sum(mine) / len(vs)
+        miss = {}
+        for (c, kind), p in patterns.items():
+            for v in values[c]:
+                if (c, v) not in kinds:
+                    miss[v, kind] = miss.get((v, kind), 1.0) * max(1e-9, 1 - p)
+        trusted = dict(seeds)
+        for k, m in miss.items():
+            if 1 - m >= trust:
+                trusted[k] = max(trusted.get(k, 0.0), 1 - m) if k not in seeds else trusted[k]
+    return patterns
+
+
+def test_learning_equals_plain_graph(spark):
+    from causeway.llm.common import Scratch
+
+    r = random.Random(6)
+    places = []
+    for _ in range(600):
+        c, v = f"c{r.randint(0, 11)}", f"v{r.randint(0, 59)}"
+        n = int(v[1:])
+        places.append((None if r.random() < 0.05 else c, v, "email" if n < 22 else "phone" if n < 40 else None))
+    places = [p for p in places if p[0] is None or int(p[0][1:]) % 3 != 0 or p[2] != "phone"]
+    df = spark.createDataFrame(places, "context string, value string, kind string")
+    got = {(x.context, x.kind): round(x.confidence, 9) for x in pii.learn(df, Scratch(spark, "t"), trust=0.4).collect()}
+    assert got == {k: round(v, 9) for k, v in plain_learn(places, trust=0.4).items()} and got

@@ -68,3 +68,42 @@ def test_edges(spark):
     rows = Q.score(d, empty).collect()
     assert len({r.tail_prob for r in rows}) == 1
     assert Q.score(d.limit(0), model).count() == 0 and Q.select(d.limit(0), lab).count() == 0
+
+
+def plain_likelihood(w, theta, rows, grades):
+    """The penalised log likelihood, row by row, from P(grade = k) = P(grade > k - 1) - P(grade > k)."""
+    total = -Q.L2 / 2 * float((w * w).sum())
+    for r, g in zip(rows, grades, strict=True):
+        x = sum(w[c] for c in r)
+        above = [1.0, *(1 / (1 + np.exp(t - x)) for t in theta), 0.0]
+        total += float(np.log(above[g] - above[g + 1]))
+    return total
+
+
+def test_fit_is_a_maximum_of_the_plain_likelihood():
+    r = np.random.default_rng(2)
+    rows = [np.array(sorted(r.choice(30, r.integers(1, 8), replace=False)), np.int32) for _ in range(400)]
+    grades = np.array([min(2, max(0, int(len(x) / 3 + (3 in x) - (5 in x) + r.normal() / 2))) for x in rows])
+    w, theta = Q.fit(rows, grades, steps=1500)
+    best = plain_likelihood(w, theta, rows, grades)
+    for i in range(30):
+        for step in (-0.02, 0.02):
+            v = w.copy()
+            v[i] += step
+            assert plain_likelihood(v, theta, rows, grades) < best + 1e-3
+    for i in range(2):
+        for step in (-0.02, 0.02):
+            t = theta.copy()
+            t[i] += step
+            assert plain_likelihood(w, t, rows, grades) < best + 1e-3
+
+
+def test_scores_equal_plain_sums(spark):
+    docs, labels = corpus(150)
+    d, lab = frames(spark, docs, labels)
+    w, theta = Q.train(d, lab)
+    for r in Q.score(d, (w, theta)).collect():
+        x = sum(float(np.float32(w[Q.bucket(t)])) for t in Q.tokens(docs[r.doc_id][1]))
+        tail = [1 / (1 + np.exp(t - x)) for t in theta]
+        assert abs(r.tail_prob - tail[1]) < 1e-9 and abs(r.expected_grade - sum(tail)) < 1e-9
+        assert r.keep == (r.tail_prob >= Q.CUT)
