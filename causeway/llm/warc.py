@@ -172,9 +172,9 @@ def write(pages: DataFrame, root: str, id_col: str = "page_id", url_col: str = "
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha2("html", 256)).withColumn("size", F.octet_length("html"))
     # ids first: no task sends more than SAMPLE_ROWS of them, and their pages are cut before they are sent
-    ids = pages.where(F.col(html_col).isNotNull()).select(F.col(id_col).alias("id")).distinct().orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS)
+    ids = pages.where(F.col(html_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id")).distinct().orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS)
     cut = pages.where(F.col(html_col).isNotNull()).select(F.col(id_col).alias("id"), F.substring(html_col, 1, SAMPLE_BYTES).alias("s"))
-    some = cut.join(F.broadcast(ids), F.col("id").eqNullSafe(ids["id"]), "left_semi").groupBy("id").agg(F.min("s").alias("s")).orderBy(F.xxhash64("id"), "id")
+    some = cut.join(F.broadcast(ids), "id", "left_semi").groupBy("id").agg(F.min("s").alias("s")).orderBy(F.xxhash64("id"), "id")
     samples = [r.s.encode()[:SAMPLE_BYTES] for r in some.collect()]  # SAMPLE_ROWS rows at most
     trained = dictionary(samples)
     scratch = Scratch(spark, "warc")
