@@ -71,11 +71,17 @@ def diff_parse(spark, sf_dir):
 
 def patch_intent(spark, sf_dir):
     lines = diff_parse(spark, sf_dir).withColumn("message", F.lit("Fix overflow in size computation"))
-    return scoring.patch_intent(lines, ["patch_id"], "message")
+    out = scoring.patch_intent(lines, ["patch_id"], "message")
+    return out.select(*(F.round(c, 4).alias(c) if kind == "double" else F.col(c) for c, kind in out.dtypes))
+
+
+def _flat(df: DataFrame) -> DataFrame:
+    """Lists as one text each."""
+    return df.select(*(F.array_join(c, ">").alias(c) if kind == "array<string>" else F.col(c) for c, kind in df.dtypes))
 
 
 def lex_facts(spark, sf_dir):
-    return lexer.facts(spark.createDataFrame([("r", "lib/store.c", SOURCE)], "repo_id string, path string, content string"))
+    return _flat(lexer.facts(spark.createDataFrame([("r", "lib/store.c", SOURCE)], "repo_id string, path string, content string")))
 
 
 def template_normalise(spark, sf_dir):
@@ -120,7 +126,7 @@ def root_cause_ranking(spark, sf_dir):
 
 def causal_chains(spark, sf_dir):
     nodes, edges, reports = graph_tables(spark)
-    return plan.chains(plan.candidates(nodes, edges, reports), nodes, edges)
+    return _flat(plan.chains(plan.candidates(nodes, edges, reports), nodes, edges))
 
 
 def stream_resume(spark, sf_dir):

@@ -352,9 +352,9 @@ def _file_facts(repo: str, path: str, text: str) -> list[dict]:
             code = part.strip().strip("{}").strip()
             here = max(0, depth - part.lstrip()[:1].count("}"))
             if code:
-                s = statement(raw.strip() if raw.strip() else part)
+                s = statement(part)  # without comments
                 rows.append(common | {"fact": "statement", "statement_id": f"{fid}:{number}", "line": number, "text": raw.strip(), "block_depth": here} | s)
-                rows += [common | {"fact": "call", "statement_id": f"{fid}:{number}", "line": number, "callee": n.split("::")[-1], "arguments": arguments(raw, n.split("::")[-1])} for n in s["calls"]]
+                rows += [common | {"fact": "call", "statement_id": f"{fid}:{number}", "line": number, "callee": n.split("::")[-1], "arguments": arguments(part, n.split("::")[-1])} for n in s["calls"]]
             for j, c in enumerate(part):
                 if kind[at + j] == CODE and c in "{}":
                     depth += 1 if c == "{" else -1

@@ -46,8 +46,8 @@ def test_calibration_wins(spark, tables):
 def test_chains(spark, tables):
     rows = fixtures.causal_chains(spark, "").collect()
     best = {r.bug_id: r for r in rows if r["rank"] == 1}
-    assert best["n"].path == ["n1", "n2", "n3"] and best["n"].relations == ["data_flow", "call_argument"]
-    assert best["u"].path == ["u1", "u2"] and best["u"].relations == ["ownership_transfer"]
+    assert best["n"].path == "n1>n2>n3" and best["n"].relations == "data_flow>call_argument"
+    assert best["u"].path == "u1>u2" and best["u"].relations == "ownership_transfer"
     assert all(0 <= r.score <= 1 for r in rows)
 
 

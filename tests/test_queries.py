@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from causeway import fixtures, queries
+from causeway import expected, fixtures, literal, queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -27,12 +27,16 @@ def plain(v):
     return str(v)
 
 
-@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+SQL = queries.ORACLE_SQL | expected.ORACLE_SQL
+FOUND = queries.QUERIES | fixtures.QUERIES | literal.QUERIES
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_same_rows_as_sql(spark, db, name):
-    cursor = db.execute(queries.ORACLE_SQL[name])
+    cursor = db.execute(SQL[name])
     names = [d[0] for d in cursor.description]
     want = sorted(tuple(map(plain, r)) for r in cursor.fetchall())
-    got = queries.QUERIES[name](spark, SF)
+    got = FOUND[name](spark, SF)
     assert sorted(got.columns) == sorted(names)
     assert sorted(tuple(map(plain, r)) for r in got.select(names).collect()) == want
 
@@ -52,7 +56,7 @@ def test_entry(spark):
 
 def test_all_have_names():
     found = __spark_entry__.queries()
-    assert set(queries.QUERIES) | set(fixtures.QUERIES) <= set(found)
+    assert set(FOUND) <= set(found)
     assert all(re.fullmatch(r"\w+", q) for q in found)
 
 
