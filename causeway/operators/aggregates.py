@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from causeway.operators.ranking import topk
+from causeway.operators.ranking import numbered, topk
 from causeway.rules import ladder
 
 
@@ -58,7 +58,7 @@ def boosts(df: DataFrame, value: str, cap: float) -> DataFrame:
 def clusters(df: DataFrame, keys: Sequence[str], min_support: int, name: str = "cluster_id") -> DataFrame:
     """Groups of min_support rows or more, numbered by falling size, then key."""
     counts = df.groupBy(*keys).agg(F.count("*").alias("support")).where(F.col("support") >= min_support)
-    return counts.withColumn(name, F.row_number().over(W.orderBy(F.desc("support"), *keys)))
+    return numbered(counts, [F.desc("support"), *keys], name)
 
 
 def top_values(df: DataFrame, group: str, value: str, k: int) -> DataFrame:

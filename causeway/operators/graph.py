@@ -6,6 +6,7 @@ import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from causeway.operators.ranking import topk
@@ -50,27 +51,32 @@ def bounded_paths(edges: DataFrame, starts: DataFrame, ends: DataFrame, max_dept
     """(g, start, path, rank): simple paths from a start to its graph's end, at most max_paths of them and max_depth links long.
 
     They come in the order of a depth-first search that tries nearer nodes first, then relations by priority, then
-    ids: each step adds (distance, priority, id) to a sort key. A path is dropped as soon as what is left of it can't fit.
+    ids: each step adds (distance, priority, id) to a sort key. A path is dropped as soon as what is left of it can't
+    fit, or max_paths others come before it for sure. A path is sure to reach the end if it has come nearer with its
+    last step than ever before: the nearest way on from there meets no node that it has passed.
     """
-    back = distances(edges, ends, max_depth)
+    back = cut_lineage(distances(edges, ends, max_depth))
     near = back.select("g", F.col("node").alias("dst"), "distance")
     rank = priority if priority is not None else F.lit(0)
-    links = edges.withColumn("_p", rank).join(near, ["g", "dst"]).select("g", "src", "dst", "distance", "_p")
-    ways = starts.select("g", F.col("node").alias("start"), F.col("node").alias("at"), F.array(F.col("node")).alias("path"), F.array().cast("array<struct<d:int,p:int,n:string>>").alias("key"))
+    links = edges.withColumn("_p", rank).join(near, ["g", "dst"]).groupBy("g", "src", "dst", "distance").agg(F.min("_p").alias("_p"))
+    links = cut_lineage(links)
+    begun = starts.select("g", "node").distinct().join(back, ["g", "node"])  # what can't reach the end has no path
+    ways = begun.select("g", F.col("node").alias("start"), F.col("node").alias("at"), F.array(F.col("node")).alias("path"), F.array().cast("array<struct<d:int,p:int,n:string>>").alias("key"), F.col("distance").alias("least"))
     goal = ends.select("g", F.col("node").alias("goal"))
     done = None
+    order = W.partitionBy("g", "start").orderBy("key").rowsBetween(W.unboundedPreceding, -1)
     for depth in range(1, max_depth + 1):
         step = ways.join(links.withColumnRenamed("src", "at"), ["g", "at"])
         step = step.where(~F.array_contains("path", F.col("dst")) & (F.lit(depth) + F.col("distance") <= max_depth))
         key = F.concat("key", F.array(F.struct(F.col("distance").cast("int").alias("d"), F.col("_p").cast("int").alias("p"), F.col("dst").cast("string").alias("n"))))
-        ways = step.select("g", "start", F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path"), key.alias("key")).join(goal, "g", "left")
-        here = ways.where("at = goal").drop("goal")
-        done = here if done is None else done.unionByName(here)
-        ways = cut_lineage(ways.where("at <> goal").drop("goal"))
+        ways = step.select("g", "start", F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path"), key.alias("key"), F.least("least", "distance").alias("least"), (F.col("distance") < F.col("least")).alias("sure")).join(goal, "g", "left")
+        ways = ways.withColumn("done", F.coalesce(F.col("at") == F.col("goal"), F.lit(False))).drop("goal").withColumn("sure", F.col("sure") | F.col("done"))
+        pool = ways if done is None else ways.unionByName(done)
+        pool = cut_lineage(pool.withColumn("n", F.coalesce(F.sum(F.col("sure").cast("int")).over(order), F.lit(0))).where(F.col("n") < max_paths).drop("n"))
+        done, ways = pool.where("done"), pool.where("not done").drop("sure", "done")
         if ways.isEmpty():
             break
-    one = done.groupBy("g", "start", "path").agg(F.min("key").alias("key"))
-    return topk(one, ["g", "start"], ["key"], max_paths).select("g", "start", "path", "rank")
+    return topk(done, ["g", "start"], ["key"], max_paths).select("g", "start", "path", "rank")
 
 
 def reach(defs: DataFrame, uses: DataFrame, starts: DataFrame, max_rounds: int | None = None) -> DataFrame:

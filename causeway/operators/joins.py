@@ -11,11 +11,14 @@ from causeway.operators.ranking import keep_best
 
 #: A side is broadcast only if it was counted and has no more rows than this.
 SMALL = 100_000
+#: Characters of JSON that may be broadcast.
+SMALL_BYTES = 32 << 20
 
 
-def small(df: DataFrame, rows: int = SMALL) -> DataFrame:
-    """The frame, marked for broadcast if it has few rows; larger ones are left to the optimizer."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = SMALL, size: int = SMALL_BYTES) -> DataFrame:
+    """The frame, marked for broadcast if its rows are few and, as text, not large; others are left to the optimizer."""
+    n, length = df.limit(rows + 1).agg(F.count("*"), F.sum(F.length(F.to_json(F.struct(*df.columns))))).first()
+    return F.broadcast(df) if n <= rows and (length or 0) <= size else df
 
 
 def unique_match(left: DataFrame, right: DataFrame, key: str, target: str) -> DataFrame:

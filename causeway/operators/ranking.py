@@ -63,16 +63,21 @@ def balanced(df: DataFrame, group: Cols, kind: Cols, order: Cols, size: int, nam
     return topk(seen, group, ["_tier", *order], size, name).drop("_tier")
 
 
-def shard(df: DataFrame, order: Cols, n: int, name: str = "shard") -> DataFrame:
-    """Round robin over a total order: row i goes to i mod n.
+def numbered(df: DataFrame, order: Cols, name: str) -> DataFrame:
+    """Rows numbered from 1 in a total order.
 
     Positions come from a range partitioning and partition sizes, not from one sorted task.
     """
     laid = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
     sizes = laid.groupBy("_p").agg(F.count("*").alias("_n"))
     before = sizes.select("_p", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    numbered = laid.withColumn("_i", F.row_number().over(W.partitionBy("_p").orderBy(*order)) - 1)
-    return numbered.join(F.broadcast(before), "_p").withColumn(name, ((F.col("_before") + F.col("_i")) % n).cast("int")).drop("_p", "_i", "_before")
+    placed = laid.withColumn("_i", F.row_number().over(W.partitionBy("_p").orderBy(*order)))
+    return placed.join(F.broadcast(before), "_p").withColumn(name, (F.col("_before") + F.col("_i")).cast("int")).drop("_p", "_i", "_before")
+
+
+def shard(df: DataFrame, order: Cols, n: int, name: str = "shard") -> DataFrame:
+    """Round robin over a total order: row i goes to i mod n."""
+    return numbered(df, order, name).withColumn(name, F.pmod(F.col(name) - 1, F.lit(n)))
 
 
 def hash_sample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:

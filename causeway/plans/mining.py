@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from causeway.functions import text, urls
 from causeway.operators import aggregates as A
-from causeway.operators.ranking import topk
+from causeway.operators.ranking import numbered, topk
 from causeway.rules import any_of, ladder
 
 
@@ -60,8 +60,7 @@ def patterns(annotations: DataFrame, min_support: int = 2, examples: int = 8, te
     top = top.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "template"))), lambda x: x["template"]).alias("templates"))
     best = topk(o.select(*key, "cve_id", "confidence").distinct(), key, [F.desc("confidence"), "cve_id"], examples)
     best = best.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "cve_id"))), lambda x: x["cve_id"]).alias("examples"))
-    numbered = head.withColumn("pattern_id", F.row_number().over(W.orderBy(F.desc("support_count"), *key)))
-    return numbered.join(top, key).join(best, key)
+    return numbered(head, [F.desc("support_count"), *key], "pattern_id").join(top, key).join(best, key)
 
 
 def feature_rules(rows: DataFrame, key: list[str], features: list[str], share: float = 0.6) -> DataFrame:

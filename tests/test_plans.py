@@ -98,3 +98,54 @@ def test_null_is_not_false(spark):
 
     df = spark.createDataFrame([Row(i=1, f=True), Row(i=2, f=False), Row(i=3, f=None)])
     assert [r.i for r in df.where(is_not(F.col("f"), False)).orderBy("i").collect()] == [1, 3]
+
+
+def test_bounded_paths_on_a_dense_graph(spark):
+    """200 nodes, each linked to the next forty: far more paths than could be listed, and the first ones are wanted."""
+    from causeway.operators import graph
+
+    edges = spark.createDataFrame([("x", f"n{i:03d}", f"n{j:03d}") for i in range(200) for j in range(i + 1, min(200, i + 41))], "g string, src string, dst string")
+    ends = spark.createDataFrame([("x", "n199")], "g string, node string")
+    got = graph.bounded_paths(edges, spark.createDataFrame([("x", "n000"), ("x", "n150")], "g string, node string"), ends, 8, 3).collect()
+    paths = {(r.start, r["rank"]): r.path for r in got}
+    assert len(paths) == 6
+    # nearest first: 0 to 199 takes five links of up to 40; ties by name
+    assert paths["n000", 1] == ["n000", "n039", "n079", "n119", "n159", "n199"]
+    assert paths["n150", 1] == ["n150", "n159", "n199"] and paths["n150", 2] == ["n150", "n159", "n160", "n199"]
+
+
+def test_bounded_paths_with_loops_equal_a_search(spark):
+    import random
+
+    from causeway.operators import graph
+
+    r = random.Random(7)
+    links = sorted({(f"n{r.randrange(9)}", f"n{r.randrange(9)}") for _ in range(30)})
+    links = [(a, b) for a, b in links if a != b]
+    out = {}
+    for a, b in links:
+        out.setdefault(a, []).append(b)
+    far = {"n0": 0}
+    for _ in range(9):
+        for a, b in links:
+            if b in far:
+                far[a] = min(far.get(a, 99), far[b] + 1)
+
+    def search(path, found):
+        if path[-1] == "n0" and len(path) > 1:
+            found.append(path)
+        elif path[-1] != "n0":
+            for b in sorted((b for b in out.get(path[-1], []) if b in far and b not in path), key=lambda b: (far[b], b)):
+                if len(path) + far[b] <= 6:
+                    search([*path, b], found)
+        return found
+
+    want = {}
+    for s in sorted(far):
+        if s != "n0":
+            for i, p in enumerate(search([s], [])[:3], 1):
+                want[s, i] = p
+    edges = spark.createDataFrame([("g", a, b) for a, b in links], "g string, src string, dst string")
+    starts = spark.createDataFrame([("g", s) for s in sorted(far) if s != "n0"], "g string, node string")
+    got = graph.bounded_paths(edges, starts, spark.createDataFrame([("g", "n0")], "g string, node string"), 6, 3).collect()
+    assert {(x.start, x["rank"]): x.path for x in got} == want
