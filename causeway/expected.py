@@ -282,6 +282,109 @@ ROWS: dict[str, tuple[str, list[tuple]]] = {
             (3, 2, 9, 16, 'size', 'guard'),
         ],
     ),
+    "initial_labels": (
+        "id string, label string, explanation string",
+        [
+            ('a', 'symptom', 'This location is close to the observable failure and mostly consumes already-propagated state.'),
+            ('b', 'symptom', 'This location is close to the observable failure and mostly consumes already-propagated state.'),
+            ('c', 'propagation', 'This statement participates in propagation toward the trigger but is less likely to be the original state introduction site.'),
+            ('d', 'root_cause_candidate', 'This upstream statement introduces or updates x, y and matches the size heuristic.'),
+            ('e', 'root_cause_candidate', 'This upstream statement likely introduces state that later propagates to the trigger through relevant state.'),
+            ('f', 'propagation', 'This statement participates in propagation toward the trigger but is less likely to be the original state introduction site.'),
+        ],
+    ),
+    "expert_prior": (
+        "id string, expert_id string, expert_rca_prior_score double, pattern_score double",
+        [
+            ('n1', 'e1', 0.6292, 0.550336),
+            ('n2', 'e2', 0.2992, 1.0),
+            ('n3', None, 0.0, 0.3),
+            ('n4', 'e1', 0.1542, 0.212336),
+        ],
+    ),
+    "patched_chains": (
+        "bug_id string, old_rank int, root_rank int, score double, alignment double, patch_supported boolean, rank int",
+        [
+            ('b', 1, 2, 0.84, 0.0, False, 2),
+            ('b', 2, 1, 0.96, 0.66, True, 1),
+            ('b', 3, 3, 0.62, 0.72, True, 3),
+            ('c', 1, 1, 1.0, 1.0, True, 1),
+        ],
+    ),
+    "crash_reports": (
+        "id string, state string, target string, testcase string",
+        [
+            ('a', 'read_chunk,ns::Image<T>::load(int)', 'png_fuzz', '123456'),
+            ('b', '', None, None),
+            ('c', '', None, None),
+            ('d', 'f', None, None),
+        ],
+    ),
+    "function_name_variants": (
+        "name string, variants string",
+        [
+            ('int run', 'int run|run'),
+            ('ns::Image<T>::load(int)', 'ns::Image::load(int)|load'),
+            ('plain', 'plain'),
+        ],
+    ),
+    "prediction_counts": (
+        "n bigint, nonempty bigint, encoded bigint, diff_like bigint, code_like bigint",
+        [
+            (6, 4, 1, 2, 1),
+        ],
+    ),
+    "kept_records": (
+        "cve_id string, recommended_action string, keep boolean",
+        [
+            ('v1', 'keep', True),
+            ('v2', 'drop', False),
+            ('v3', 'keep_with_lower_confidence', True),
+            ('v4', 'not_validated', True),
+        ],
+    ),
+    "validation_counts": (
+        "label string, recommended_action string, n bigint, kept bigint, confidence double",
+        [
+            ('noisy', 'drop', 1, 0, None),
+            ('valid', 'keep', 2, 2, 0.65),
+            ('valid', 'manual_review', 1, 0, 0.1),
+        ],
+    ),
+    "ablation_variants": (
+        "id int, chains string, candidates string, variant string",
+        [
+            (1, 'c', 'p', 'full'),
+            (1, 'c', None, 'without_candidates'),
+            (1, None, 'p', 'without_chains'),
+        ],
+    ),
+    "repository_paths": (
+        "cve_id string, repo_url string, project string, path string",
+        [
+            ('v1', 'u1', 'p1', '/own'),
+            ('v2', 'u1', 'p1', '/url'),
+            ('v3', 'u9', 'p1', '/project'),
+            ('v4', None, None, None),
+        ],
+    ),
+    "case_patterns": (
+        "id string, pattern string, operation string",
+        [
+            ('a', 'own_pattern', 'state_update'),
+            ('b', 'invalid_initialization', 'initialization'),
+            ('c', 'ownership_or_lifetime_operation', 'lifetime_management'),
+            ('d', 'validation_or_guard_issue', 'guard_check'),
+            ('e', 'invalid_state_update', 'state_update'),
+        ],
+    ),
+    "unfixed_sources": (
+        "id string, source string",
+        [
+            ('n', None),
+            ('s', 'a|broken|old|#ifdef OTHER|b|#endif|'),
+        ],
+    ),
 }
 
 

@@ -135,3 +135,28 @@ def stable_hash(c: Column) -> Column:
     return F.sha2(c, 256)
 
 
+
+
+def without_fixes(text: str | None, macro: str = "MAGMA_ENABLE_FIXES") -> str | None:
+    """Source as it is with a macro undefined: of branches on it those are kept that don't have the fix; other directives stay."""
+    if text is None:
+        return None
+    out, stack = [], []  # of each open branch on the macro: whether its lines are kept
+    for line in text.split("\n"):
+        words = line.strip().removeprefix("#").split() if line.strip().startswith("#") else []
+        what, name = (words + ["", ""])[:2]
+        if what in ("ifdef", "ifndef") and name == macro:
+            stack.append(what == "ifndef")
+        elif stack and what == "else":
+            stack[-1] = not stack[-1]
+        elif stack and what == "endif":
+            stack.pop()
+        elif all(stack):
+            out.append(line)
+    return "\n".join(out)
+
+
+@F.pandas_udf(T.StringType())
+def unfixed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for s in parts:
+        yield s.map(without_fixes)

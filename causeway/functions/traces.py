@@ -164,3 +164,35 @@ def diagnostics(df: DataFrame, ids: list[str], text: str) -> DataFrame:
     message = ladder([(rest.startswith(w), F.trim(F.substr(rest, F.lit(len(w) + 1)))) for w in ("error:", "fatal error:")])
     told = rows.select(*ids, "line_no", F.when(~F.col("line").startswith(" "), place(head)).alias("p"), message.alias("message"))
     return told.where("p.column is not null and message is not null").select(*ids, "line_no", "p.file", "p.line", "p.column", "message")
+
+
+def crash_state(text: Column, most: int = 10) -> Column:
+    """The names listed under `Crash State:`, up to an empty line or the next heading."""
+
+    def listed(lines: Column) -> Column:
+        head = F.array_position(F.transform(lines, lambda x: F.endswith(F.lower(F.rtrim(x)), F.lit("crash state:"))), True).cast("int")
+        rest = bound(head, lambda h: F.when(h > 0, F.slice(lines, h + 1, F.greatest(F.size(lines) - h, F.lit(0)))))
+        ends = lambda x: (F.trim(x) == "") | F.lower(x).contains("sanitizer:") | F.lower(x).contains("recommended security severity:")
+        cut = bound(rest, lambda r: bound(F.array_position(F.transform(r, ends), True).cast("int"), lambda stop: F.when(stop > 0, F.slice(r, F.lit(1), stop - 1))))
+        return F.slice(F.filter(F.transform(cut, lambda x: F.trim(x)), lambda x: ~x.startswith("#")), 1, most)
+
+    return F.coalesce(bound(F.split(text, r"\r\n|\n"), listed), F.array().cast("array<string>"))
+
+
+def name_variants(name: Column) -> Column:
+    """A function's name without template arguments, its last part without what stands in brackets, and that part's last word."""
+    whole = F.trim(F.regexp_replace(name, "<[^>]*>", ""))
+    last = lambda w: F.trim(F.substring_index(F.trim(F.substring_index(w, "::", -1)), "(", 1))
+    return bound(whole, lambda w: bound(last(w), lambda x: F.array_distinct(F.filter(F.array(w, x, F.substring_index(x, " ", -1)), lambda v: v != ""))))
+
+
+def fuzz_target(text: Column) -> Column:
+    line = F.get(F.filter(F.split(text, r"\r\n|\n"), lambda x: x.startswith("Fuzz Target:")), F.lit(0))
+    return F.nullif(F.get(F.filter(F.split(F.substr(line, F.lit(13)), r"\s+"), lambda w: w != ""), F.lit(0)), F.lit(""))
+
+
+def testcase_id(text: Column) -> Column:
+    """The number of the test case that a download link names."""
+    mark = "/download?testcase_id="
+    after = F.substr(text, F.instr(text, mark) + len(mark))
+    return F.when(F.instr(text, mark) > 0, F.nullif(F.regexp_extract(after, "^[0-9]+", 0), F.lit("")))

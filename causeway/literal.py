@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from causeway.fixtures import DEBUGGER, TRACE, diff_parse
-from causeway.functions import diffs
-from causeway.plans import cases, cves, judgments, refinement
+from causeway.functions import diffs, text, traces
+from causeway.operators import scoring
+from causeway.plans import cases, cves, evaluation, judgments, rank, refinement
 
 SPECS = [
     ("c1", '{"build_cmd":"make","build":{"build_cmd":"old","build_dir":"out"},"run_cmd":"./a","cmd":"./b","stack_trace_path":"t.txt","runtime_evidence":{"stack_trace_path":"own.txt"},"fix_commit":"abc","sanitizer_report":%s,"trigger_point":{"file":"lib/store.c","line":41,"operation":"write"}}' % __import__("json").dumps(TRACE)),
@@ -185,7 +186,84 @@ def pattern_library_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cves.library_summary(spark.createDataFrame(rows, "pattern_id int, category string, operation_type string, support_count long"))
 
 
+def initial_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ("is_trigger_node", "pure_use_site", "defines_value_used_later", "changes_object_state", "affects_control_flow", "is_return_statement", "is_call_forwarding_statement")
+    rows = [
+        ("a", 0, 0.9, "none", ["x"], [True] + [False] * 6), ("b", 1, 0.9, "none", [], [False, True, True] + [False] * 4), ("c", 3, 0.9, "none", [], [False, False, True, False, False, True, False]),
+        ("d", 1, 0.55, "size", ["x", "y", "z"], [False, False, False, False, True, False, False]), ("e", 2, 0.1, "none", [], [False, False, False, True, False, False, False]), ("f", 1, 0.1, "size", [], [False, False, True, False, False, False, False]),
+    ]
+    df = spark.createDataFrame(rows, "id string, distance int, bug_pattern_score double, pattern string, entities array<string>, flags array<boolean>")
+    f = {n: F.col("flags")[i] for i, n in enumerate(names)} | {"distance": F.col("distance"), "bug_pattern_score": F.col("bug_pattern_score"), "cve_pattern_prior_score": F.lit(0.0), "expert_rca_prior_score": F.lit(None).cast("double")}
+    return df.select("id", scoring.initial_label(f).alias("label"), "pattern", "entities").select("id", "label", scoring.explanation(F.col("label"), F.col("pattern"), F.col("entities")).alias("explanation"))
+
+
+def expert_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = [("n1", "Integer Overflow", "unknown", ["size", "copy"], 0.5), ("n2", "none", "free_call", ["zzz"], 0.99), ("n3", "none", "", ["nothing"], 0.3), ("n4", "odd", "odd", ["size", "copy", "more", "else"], 0.2)]
+    e = [("e1", ["incorrect_size_computation"], ["length_calculation"], ["size", "buffer"], 0.9), ("e2", ["ownership_or_lifetime_operation"], ["ownership_transfer"], ["copy"], 0.5)]
+    out = scoring.expert_matches(spark.createDataFrame(c, "id string, pattern string, operation string, words array<string>, pattern_score double"), spark.createDataFrame(e, "entry_id string, categories array<string>, operations array<string>, words array<string>, confidence double"), ["id"])
+    return out.select("id", "expert_id", "expert_rca_prior_score", F.round("pattern_score", 6).alias("pattern_score"))
+
+
+def patched_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chains = spark.createDataFrame([("b", 1, 1, 0.8), ("b", 2, 2, 0.8), ("b", 3, 3, 0.5), ("c", 1, 1, 0.99)], "bug_id string, rank int, root_rank int, score double")
+    before = spark.createDataFrame([("b", 1, "n1"), ("b", 2, "n2"), ("c", 1, "m1")], "bug_id string, rank int, node_id string")
+    after = spark.createDataFrame([("b", 1, "n2", 0.5), ("b", 2, "n1", 0.0), ("c", 1, "m1", 1.0)], "bug_id string, rank int, node_id string, patch_alignment_score double")
+    hits = spark.createDataFrame([("b", 2, 2), ("b", 3, 9)], "bug_id string, rank int, n int")
+    return rank.chains_with_patch(chains, before, after, hits, spark.createDataFrame([("b", "direct_fix"), ("c", "unknown")], "bug_id string, intent string"))
+
+
+REPORT = "Fuzz Target: png_fuzz x\nCrash State:\n  read_chunk\n  # skipped\n  ns::Image<T>::load(int)\n\nother\nhttps://oss.example/download?testcase_id=123456&x\n"
+
+
+def crash_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = spark.createDataFrame([("a", REPORT), ("b", "Crash State:\nonly"), ("c", None), ("d", "Crash state:\nf\nSanitizer: address")], "id string, report string")
+    return df.select("id", F.array_join(traces.crash_state(F.col("report")), ",").alias("state"), traces.fuzz_target(F.col("report")).alias("target"), traces.testcase_id(F.col("report")).alias("testcase"))
+
+
+def function_name_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = spark.createDataFrame([("ns::Image<T>::load(int)",), ("int run",), ("plain",)], "name string")
+    return df.select("name", F.array_join(traces.name_variants(F.col("name")), "|").alias("variants"))
+
+
+def prediction_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [("diff --git a b",), (" ",), (None,), ("<S2SV_start> if (x) return;",), ("--- a\n+++ b\n@@ 1",), ("freedom iffy",)]
+    return evaluation.prediction_quality(spark.createDataFrame(rows, "prediction string"))
+
+
+def kept_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = spark.createDataFrame([("v1",), ("v2",), ("v3",), ("v4",)], "cve_id string")
+    said = spark.createDataFrame([("v1", "valid", "keep", 0.4), ("v1", "valid", "drop", 0.3), ("v2", "noisy", "drop", 0.9), ("v3", "broad", "keep_with_lower_confidence", 0.5)], "cve_id string, label string, recommended_action string, confidence double")
+    return evaluation.keep_recommended(records, said, "cve_id")
+
+
+def validation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [("valid", "keep", 0.5), ("valid", "keep", 0.8), ("noisy", "drop", None), ("valid", "manual_review", 0.1)]
+    return evaluation.validation_summary(spark.createDataFrame(rows, "label string, recommended_action string, confidence double"))
+
+
+def ablation_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.variants(spark.createDataFrame([(1, "c", "p")], "id int, chains string, candidates string"), ["chains", "candidates"])
+
+
+def repository_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = spark.createDataFrame([("v1", "u1", "p1"), ("v2", "u1", "p1"), ("v3", "u9", "p1"), ("v4", None, None)], "cve_id string, repo_url string, project string")
+    by_cve = spark.createDataFrame([("v1", "/own")], "cve_id string, path string")
+    return cves.repo_path(records, by_cve, spark.createDataFrame([("u1", "/url"), ("p1", "/project")], "name string, path string"))
+
+
+def case_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [("a", ["none", "own_pattern"], "x"), ("b", [], "Uninitialized size"), ("c", None, "double-free"), ("d", ["unknown"], "a NULL thing"), ("e", [], "odd")]
+    p = cves.case_pattern(F.coalesce("matched", F.array().cast("array<string>")), F.col("text"))
+    return spark.createDataFrame(rows, "id string, matched array<string>, text string").select("id", p.alias("pattern")).select("id", "pattern", cves.case_operation(F.col("pattern")).alias("operation"))
+
+
+def unfixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = "a\n#ifdef MAGMA_ENABLE_FIXES\nfixed\n#else\nbroken\n#endif\n# ifndef MAGMA_ENABLE_FIXES\nold\n#endif\n#ifdef OTHER\nb\n#endif\n"
+    df = spark.createDataFrame([("s", source), ("n", None)], "id string, source string")
+    return df.select("id", F.replace(text.unfixed("source"), F.lit("\n"), F.lit("|")).alias("source"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (case_reports, config_overlay, artifact_check, judged_candidates, prompt_keys, validated_replies, refinement_plan, query_terms, rescored_candidates, refinement_starts, refined_dataset_rows, record_inference, fix_commit_candidates, patch_types, patch_anchors, anchor_traits, patch_relations, changed_lines, hunk_parts, pattern_library_summary)
+    for f in (case_reports, config_overlay, artifact_check, judged_candidates, prompt_keys, validated_replies, refinement_plan, query_terms, rescored_candidates, refinement_starts, refined_dataset_rows, record_inference, fix_commit_candidates, patch_types, patch_anchors, anchor_traits, patch_relations, changed_lines, hunk_parts, pattern_library_summary, initial_labels, expert_prior, patched_chains, crash_reports, function_name_variants, prediction_counts, kept_records, validation_counts, ablation_variants, repository_paths, case_patterns, unfixed_sources)
 }

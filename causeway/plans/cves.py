@@ -226,3 +226,30 @@ def library_summary(patterns: DataFrame) -> DataFrame:
     counts = lambda c: patterns.groupBy(c).agg(F.count("*").alias("n")).agg(F.max_by(c, F.struct("n", c)))
     one = patterns.agg(F.count("*").alias("patterns"), F.min("support_count").alias("least"), F.max("support_count").alias("most"), F.sum("support_count").alias("total"))
     return one.crossJoin(counts("category").toDF("category")).crossJoin(counts("operation_type").toDF("operation_type"))
+
+
+def repo_path(records: DataFrame, by_cve: DataFrame, by_name: DataFrame) -> DataFrame:
+    """Records with the path of their repository: by cve_id, else by URL, else by project."""
+    a = by_cve.select("cve_id", F.col("path").alias("_a")).dropDuplicates(["cve_id"])
+    n = by_name.dropDuplicates(["name"])
+    out = records.join(a, "cve_id", "left").join(n.select(F.col("name").alias("repo_url"), F.col("path").alias("_b")), "repo_url", "left").join(n.select(F.col("name").alias("project"), F.col("path").alias("_c")), "project", "left")
+    return out.select(*records.columns, F.coalesce("_a", "_b", "_c").alias("path"))
+
+
+#: Words of a case's texts and the pattern and operation that they stand for, in the order in which they are tried.
+CASE_PATTERNS = (
+    ("invalid_initialization", "initialization", ("uninitialized", "initialize", "initialization")),
+    ("incorrect_size_computation", "length_calculation", ("size", "length", "index", "bounds", "overflow")),
+    ("ownership_or_lifetime_operation", "lifetime_management", ("free", "use-after-free", "lifetime", "double-free")),
+    ("validation_or_guard_issue", "guard_check", ("null", "guard", "check", "validation")),
+)
+
+
+def case_pattern(matched: Column, text: Column) -> Column:
+    """The first matched pattern that says something, else what the texts of a case speak of."""
+    said = F.get(F.filter(matched, lambda p: p.isNotNull() & ~p.isin("", "none", "unknown")), F.lit(0))
+    return F.coalesce(said, ladder([(any_of(F.lower(text), words), p) for p, _, words in CASE_PATTERNS], "invalid_state_update"))
+
+
+def case_operation(pattern: Column) -> Column:
+    return ladder([(pattern == p, o) for p, o, _ in CASE_PATTERNS], "state_update")

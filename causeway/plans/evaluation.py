@@ -79,3 +79,34 @@ def judged_confidence(model: Column, reasoning: Column, density: Column, agrees:
     quality = ladder([(F.length(reasoning) >= 160, 1.0), (F.length(reasoning) >= 60, 0.7), (F.length(reasoning) > 0, 0.4)], 0.0)
     total = 0.55 * model + 0.15 * quality + 0.15 * density + F.when(agrees.isNull(), 0.05).when(agrees, 0.1).otherwise(-0.15) - F.when(truthy(fallback), 0.35).otherwise(0.0)
     return F.least(F.greatest(total, F.lit(0.0)), F.lit(1.0))
+
+
+def prediction_quality(rows: DataFrame, text: str = "prediction") -> DataFrame:
+    """One row: how many predictions there are, are not blank, are encoded, look like diffs, or like code."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    words = F.split(t, r"\W+")
+    code = F.arrays_overlap(words, F.array(*map(F.lit, ("if", "return", "for", "while", "malloc", "free", "sizeof"))))
+    diff = t.startswith("diff --git") | (t.contains("--- ") & t.contains("+++ ") & t.contains("@@"))
+    return rows.agg(F.count("*").alias("n"), F.count_if(F.trim(t) != "").alias("nonempty"), F.count_if(t.contains("<S2SV_")).alias("encoded"), F.count_if(diff).alias("diff_like"), F.count_if(code).alias("code_like"))
+
+
+def keep_recommended(records: DataFrame, validations: DataFrame, key: str, drop: bool = False) -> DataFrame:
+    """Records with what a validation recommends; one without a validation is kept. With drop, what isn't to be kept goes."""
+    said = validations.groupBy(key).agg(F.max_by("recommended_action", "confidence").alias("recommended_action"))
+    out = records.join(said, key, "left").withColumn("recommended_action", F.coalesce("recommended_action", F.lit("not_validated")))
+    out = out.withColumn("keep", F.col("recommended_action").isin("keep", "keep_with_lower_confidence", "not_validated"))
+    return out.where("keep") if drop else out
+
+
+def validation_summary(validations: DataFrame) -> DataFrame:
+    """(label, recommended_action, n, kept, confidence) over validations."""
+    kept = F.col("recommended_action").isin("keep", "keep_with_lower_confidence")
+    return validations.groupBy("label", "recommended_action").agg(F.count("*").alias("n"), F.count_if(kept).alias("kept"), F.round(F.avg("confidence"), 4).alias("confidence"))
+
+
+def variants(results: DataFrame, parts: list[str]) -> DataFrame:
+    """Each result once whole and once without each of the parts, for ablation."""
+    out = results.withColumn("variant", F.lit("full"))
+    for p in parts:
+        out = out.unionByName(results.withColumn(p, F.lit(None).cast(results.schema[p].dataType)).withColumn("variant", F.lit(f"without_{p}")))
+    return out

@@ -159,3 +159,18 @@ def refine_with_patch(ranked: DataFrame, diff: DataFrame, intent: DataFrame) ->
     df = df.withColumn("patch_alignment_score", scoring.patch_alignment(truthy(F.col("_e")), truthy(F.col("_s")), truthy(F.col("_c")), both, F.lit(False), F.coalesce("intent", F.lit("unknown")), F.col("label")))
     df = df.withColumn("score", F.least(F.col("score") + scoring.patch_boost(F.col("patch_alignment_score")), F.lit(1.0))).drop("_e", "_s", "_c", "_w", "rank")
     return topk(df, ["bug_id"], [F.desc(scoring.label_priority(F.col("label"))), F.desc("score"), "line", "file", "node_id"], 1 << 30)
+
+
+def chains_with_patch(chains: DataFrame, before: DataFrame, after: DataFrame, hits: DataFrame, intent: DataFrame) -> DataFrame:
+    """Chains (bug_id, rank, root_rank, score) after a patch: re-ranked by score, ties as they stood.
+
+    A chain's root is found by its rank among the old candidates, its node, and that node's new rank; hits: (bug_id,
+    rank, n), the steps of a chain that the patch touches.
+    """
+    old = before.select("bug_id", F.col("rank").alias("root_rank"), "node_id")
+    new = after.select("bug_id", "node_id", F.col("rank").alias("_new"), F.col("patch_alignment_score").alias("_a"))
+    both = chains.join(old, ["bug_id", "root_rank"], "left").join(new, ["bug_id", "node_id"], "left").join(hits.select("bug_id", "rank", F.col("n").alias("_n")), ["bug_id", "rank"], "left").join(intent.select("bug_id", "intent"), "bug_id", "left")
+    align, n = F.coalesce("_a", F.lit(0.0)), F.coalesce("_n", F.lit(0))
+    boost = F.least(align * 0.08, F.lit(0.12)) + F.least(0.04 * n, F.lit(0.12)) + F.when(truthy(F.col("intent") == "direct_fix") & F.col("_new").isNotNull(), 0.04).otherwise(0.0)
+    lifted = both.select("bug_id", F.col("rank").alias("old_rank"), F.coalesce("_new", "root_rank").alias("root_rank"), F.round(F.least(F.col("score") + boost, F.lit(1.0)), 6).alias("score"), F.round(F.least(align + 0.08 * n, F.lit(1.0)), 4).alias("alignment"), ((n > 0) | (align >= 0.3)).alias("patch_supported"))
+    return topk(lifted, ["bug_id"], [F.desc("score"), "old_rank"], 1 << 30)
