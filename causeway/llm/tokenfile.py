@@ -28,7 +28,7 @@ FILE_BYTES = 24 << 20
 ROWS = 1_000
 STRIPE_BYTES = 8 << 20
 #: Words kept by a worker, the longest of them, and how many new ones are encoded in one text.
-_CACHE, _LONGEST, _GROUP = 800_000, 64, 1_000
+_CACHE, _LONGEST, _GROUP = 1_200_000, 64, 1_000
 MARK, MARK_BYTE = "~", b"~"
 _LOWER = bytes(32 if c == 10 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Words that no step before the model changes or splits: small letters of Latin-1.
