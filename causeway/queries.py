@@ -190,16 +190,6 @@ def cluster_min_support(spark, d):
     return A.clusters(t(spark, d, "part"), ["p_brand", "p_type"], 3)
 
 
-@query("""
-select source, template, n, cast(rank as int) as rank from (
-  select source, template, count(*) as n, row_number() over (partition by source order by count(*) desc, template) as rank
-  from (select source, substr(text, 1, 6) as template from documents) group by source, template) where rank <= 3
-""")
-def top_templates_per_cluster(spark, d):
-    df = t(spark, d, "documents").select("source", F.substring("text", 1, 6).alias("template"))
-    return A.top_values(df, "source", "template", 3)
-
-
 @query("""
 select o_custkey, n, mode, round(top / n, 4) as share from (
   select o_custkey, cast(sum(k) as bigint) as n, max(k) as top, arg_min(o_orderstatus, (-k, o_orderstatus)) as mode
@@ -467,10 +457,9 @@ select conv_id, turn, string_agg(role, ',' order by o) as around from (select a.
 """)
 def line_window(spark, d):
     c = t(spark, d, "conversations").select("conv_id", "turn", "role")
-    lines = c.select(F.col("conv_id").alias("file"), F.col("turn").alias("line_no"), F.col("role").alias("text"))
-    wide = c.select("conv_id", "turn", F.explode(F.sequence(F.col("turn") - 1, F.col("turn") + 1)).alias("line_no"))
-    met = wide.join(lines.withColumnRenamed("file", "conv_id"), ["conv_id", "line_no"])
-    return met.groupBy("conv_id", "turn").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), ",").alias("around"))
+    lines = c.select(F.col("conv_id").alias("file"), (F.col("turn") + 1).alias("line_no"), F.col("role").alias("text"))
+    around = J.window_text(c.withColumn("line", F.col("turn") + 1), lines, "conv_id", "line", 1, 1, ["conv_id", "turn"])
+    return around.select("conv_id", "turn", F.translate("window", "\n", ",").alias("around"))
 
 
 # scores
@@ -504,16 +493,6 @@ def path_prefix_proximity(spark, d):
     return pages.crossJoin(F.broadcast(first)).select("page_id", C.proximity(F.col("a"), F.col("b")).alias("score"))
 
 
-@query("""
-with q as (select item_id, list_distinct(list_filter(string_split(lower(text), ' '), lambda x: length(x) > 2)) as w from benchmark),
-dw as (select distinct doc_id, w from (select doc_id, unnest(string_split(lower(text), ' ')) as w from documents where n_chars < 600) where length(w) > 2)
-select item_id, doc_id, round(k / len(w), 4) as score from (select item_id, doc_id, k, w, row_number() over (partition by item_id order by k / len(w) desc, doc_id) as rn from (
-  select q.item_id, dw.doc_id, any_value(q.w) as w, count(*) as k from (select item_id, w, unnest(w) as word from q) q join dw on dw.w = q.word group by q.item_id, dw.doc_id)) where rn = 1
-""")
-def token_overlap(spark, d):
-    return _token_overlap(t(spark, d, "benchmark"), t(spark, d, "documents").where("n_chars < 600"))
-
-
 def _token_overlap(items, documents):
     tok = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), " "), lambda x: F.length(x) > 2))
     q = items.select("item_id", tok("text").alias("w"))
@@ -528,8 +507,7 @@ dw as (select distinct doc_id, w from (select doc_id, unnest(string_split(lower(
 select item_id, doc_id, round(k / len(w), 4) as score from (select item_id, doc_id, k, w, row_number() over (partition by item_id order by k / len(w) desc, doc_id) as rn from (
   select q.item_id, dw.doc_id, any_value(q.w) as w, count(*) as k from (select item_id, w, unnest(w) as word from q) q join dw on dw.w = q.word group by q.item_id, dw.doc_id)) where rn = 1
 """)
-def token_overlap_whole(spark, d):
-    """token_overlap over all documents, whatever their length."""
+def token_overlap(spark, d):
     return _token_overlap(t(spark, d, "benchmark"), t(spark, d, "documents"))
 
 
@@ -553,19 +531,11 @@ def _advisory_sql(texts):
 
 #: Advisory texts made from the documents: a phrase by id, and the document's own words.
 _PHRASES = ("use after free", "double free of the buffer", "null pointer", "integer overflow in memory", "integer wrap", "heap overflow of length", "stack overflow", "out of bounds read", "does not validate", "divide by zero", "nothing said")
-_ADVISORY_TEXT = "select doc_id, concat(" + "case cast(doc_id % 11 as int) " + " ".join(f"when {i} then '{p}'" for i, p in enumerate(_PHRASES)) + " end, ' ', lower(substr(text, 1, 40))) as text from documents"
+_ADVISORY_TEXT = "select doc_id, concat(" + "case cast(doc_id % 11 as int) " + " ".join(f"when {i} then '{p}'" for i, p in enumerate(_PHRASES)) + " end, ' ', lower(text)) as text from documents"
 
 
 @query(_advisory_sql(_ADVISORY_TEXT))
 def severity_text_rules(spark, d):
-    phrase = F.element_at(F.array(*map(F.lit, _PHRASES)), (F.col("doc_id") % 11 + 1).cast("int"))
-    df = t(spark, d, "documents").select("doc_id", F.concat(phrase, F.lit(" "), F.lower(F.substring("text", 1, 40))).alias("text"))
-    return df.select("doc_id", C.advisory_class(F.col("text"), F.array().cast("array<string>")).alias("c")).select("doc_id", "c.*")
-
-
-@query(_advisory_sql(_ADVISORY_TEXT.replace("substr(text, 1, 40)", "text")))
-def severity_text_rules_whole(spark, d):
-    """severity_text_rules on whole texts."""
     phrase = F.element_at(F.array(*map(F.lit, _PHRASES)), (F.col("doc_id") % 11 + 1).cast("int"))
     df = t(spark, d, "documents").select("doc_id", F.concat(phrase, F.lit(" "), F.lower(F.coalesce("text", F.lit("")))).alias("text"))
     return df.select("doc_id", C.advisory_class(F.col("text"), F.array().cast("array<string>")).alias("c")).select("doc_id", "c.*")
@@ -576,8 +546,7 @@ select source, template, n, cast(rank as int) as rank from (
   select source, template, count(*) as n, row_number() over (partition by source order by count(*) desc, template) as rank
   from (select source, regexp_replace(regexp_replace(text, '"[^"\n]*"', '<str>', 'g'), '\b[0-9]+\b', '<int>', 'g') as template from documents) group by source, template) where rank <= 3
 """)
-def top_templates_whole(spark, d):
-    """top_templates_per_cluster by the templates of whole texts."""
+def top_templates_per_cluster(spark, d):
     df = t(spark, d, "documents").select("source", _literals(F.col("text")).alias("template"))
     return A.top_values(df, "source", "template", 3)
 
@@ -626,27 +595,13 @@ def bounded_paths(spark, d):
     return got.select("g", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), "rank")
 
 
-@query("""
-with recursive w as (select conv_id as g, turn as stmt, list_distinct(string_split(lower(substr(text, 1, 60)), ' ')) as names from conversations),
-x as (select g, stmt, unnest(names) as name from w), e as (select distinct a.g, a.stmt as src, b.stmt as dst from x a join x b on a.g = b.g and a.name = b.name and a.stmt < b.stmt and length(a.name) > 3),
-s as (select conv_id as g, max(turn) as stmt from conversations group by conv_id),
-r as (select g, stmt from s union select e.g, e.src from e join r on e.g = r.g and e.dst = r.stmt) select g, stmt from r
-""")
-def slice_reach(spark, d):
-    c = t(spark, d, "conversations").select(F.col("conv_id").alias("g"), F.col("turn").alias("stmt"), F.col("turn").alias("line"), F.explode(F.array_distinct(F.split(F.lower(F.substring("text", 1, 60)), " "))).alias("name"))
-    names = c.where("length(name) > 3")
-    starts = _last_turns(spark, d).select("g", F.col("node").alias("stmt"))
-    return G.reach(names, names, starts)
-
-
 @query("""
 with recursive w as (select conv_id as g, turn as stmt, list_distinct(string_split(lower(text), ' ')) as names from conversations),
 x as (select g, stmt, unnest(names) as name from w), e as (select distinct a.g, a.stmt as src, b.stmt as dst from x a join x b on a.g = b.g and a.name = b.name and a.stmt < b.stmt and length(a.name) > 3),
 s as (select conv_id as g, max(turn) as stmt from conversations group by conv_id),
 r as (select g, stmt from s union select e.g, e.src from e join r on e.g = r.g and e.dst = r.stmt) select g, stmt from r
 """)
-def slice_reach_whole(spark, d):
-    """slice_reach with the names of whole texts."""
+def slice_reach(spark, d):
     c = t(spark, d, "conversations").select(F.col("conv_id").alias("g"), F.col("turn").alias("stmt"), F.col("turn").alias("line"), F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("name"))
     names = c.where("length(name) > 3")
     return G.reach(names, names, _last_turns(spark, d).select("g", F.col("node").alias("stmt")))
@@ -669,19 +624,10 @@ def json_field(spark, d):
     return t(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-@query("""
-select doc_id, regexp_replace(regexp_replace(substr(text, 1, 200), '"[^"\\n]*"', '<str>', 'g'), '\\b[0-9]+\\b', '<int>', 'g') as template from documents where regexp_matches(text, '[0-9]')
-""")
-def literal_template(spark, d):
-    df = t(spark, d, "documents").where(F.col("text").rlike("[0-9]")).select("doc_id", F.substring("text", 1, 200).alias("s"))
-    return df.select("doc_id", F.regexp_replace(F.regexp_replace("s", '"[^"\n]*"', "<str>"), r"(?<![\p{L}\p{N}_])[0-9]+(?![\p{L}\p{N}_])|\b[0-9]+\b", "<int>").alias("template"))
-
-
 @query("""
 select doc_id, regexp_replace(regexp_replace(text, '"[^"\\n]*"', '<str>', 'g'), '\\b[0-9]+\\b', '<int>', 'g') as template from documents where regexp_matches(text, '[0-9]')
 """)
-def literal_template_whole(spark, d):
-    """literal_template of whole texts."""
+def literal_template(spark, d):
     return t(spark, d, "documents").where(F.col("text").rlike("[0-9]")).select("doc_id", _literals(F.col("text")).alias("template"))
 
 
