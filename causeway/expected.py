@@ -385,6 +385,22 @@ ROWS: dict[str, tuple[str, list[tuple]]] = {
             ('s', 'a|broken|old|#ifdef OTHER|b|#endif|'),
         ],
     ),
+    "feed_records": (
+        "cve_id string, description string, cwes string, refs string, project string, source_kind string",
+        [
+            ('CVE-2021-1', 'new', 'CWE-416', 'https://h/1', None, 'nvd'),
+            ('CVE-2021-2', 'old', 'CWE-787', 'https://www.h.org', None, 'nvd'),
+            ('CVE-2021-4', None, 'CWE-20', 'http://h/x', 'p', 'project_advisory'),
+        ],
+    ),
+    "feed_products": (
+        "cve_id string, cpe_uri string, vendor string, product string, version string",
+        [
+            ('CVE-2021-1', 'cpe:2.3:a:v:p:1.0:*', 'v', 'p', '1.0'),
+            ('CVE-2021-1', 'cpe:2.3:a:v:q:*:*', 'v', 'q', None),
+            ('CVE-2021-2', 'cpe:2.3:a:w:r:2:*', 'w', 'r', '2'),
+        ],
+    ),
 }
 
 

@@ -12,6 +12,7 @@ from causeway.fixtures import DEBUGGER, TRACE, diff_parse
 from causeway.functions import diffs, text, traces
 from causeway.operators import scoring
 from causeway.plans import cases, cves, evaluation, judgments, rank, refinement
+from causeway.sources import readers
 
 SPECS = [
     ("c1", '{"build_cmd":"make","build":{"build_cmd":"old","build_dir":"out"},"run_cmd":"./a","cmd":"./b","stack_trace_path":"t.txt","runtime_evidence":{"stack_trace_path":"own.txt"},"fix_commit":"abc","sanitizer_report":%s,"trigger_point":{"file":"lib/store.c","line":41,"operation":"write"}}' % __import__("json").dumps(TRACE)),
@@ -263,7 +264,23 @@ def unfixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("id", F.replace(text.unfixed("source"), F.lit("\n"), F.lit("|")).alias("source"))
 
 
+def feed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frame = lambda v: spark.createDataFrame([(x,) for x in v], "v string")
+    return readers.records(nvd=frame(FEEDS), project=frame(['{"cve_id":"cve-2021-4","project":"p","cwes":["cwe-20"],"references":["hxxp://h/x"]}'])).select("cve_id", "description", F.array_join("cwes", ",").alias("cwes"), F.array_join("references", ",").alias("refs"), "project", "source_kind")
+
+
+FEEDS = [
+    '{"vulnerabilities":[{"cve":{"id":"CVE-2021-1","descriptions":[{"lang":"en","value":"new"}],"weaknesses":[{"description":[{"value":"CWE-416"}]}],"references":[{"url":"https://h/1"}],"configurations":[{"nodes":[{"cpeMatch":[{"criteria":"cpe:2.3:a:v:p:1.0:*"}],"children":[{"cpeMatch":[{"criteria":"cpe:2.3:a:v:q:*:*"}]}]}]}]}}]}',
+    '{"CVE_Items":[{"cve":{"CVE_data_meta":{"ID":"CVE-2021-2"},"description":{"description_data":[{"lang":"en","value":"old"}]},"problemtype":{"problemtype_data":[{"description":[{"value":"CWE-787"}]}]},"references":{"reference_data":[{"url":"www.h.org"}]}},"configurations":{"nodes":[{"children":[{"cpe_match":[{"cpe23Uri":"cpe:2.3:a:w:r:2:*"},{"cpe23Uri":"cpe:2.3:a:w:r:2:*"}]}]}]}},{"cve":{}}]}',
+    "not json",
+]
+
+
+def feed_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.affected(spark.createDataFrame([(x,) for x in FEEDS], "v string"), "v")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (case_reports, config_overlay, artifact_check, judged_candidates, prompt_keys, validated_replies, refinement_plan, query_terms, rescored_candidates, refinement_starts, refined_dataset_rows, record_inference, fix_commit_candidates, patch_types, patch_anchors, anchor_traits, patch_relations, changed_lines, hunk_parts, pattern_library_summary, initial_labels, expert_prior, patched_chains, crash_reports, function_name_variants, prediction_counts, kept_records, validation_counts, ablation_variants, repository_paths, case_patterns, unfixed_sources)
+    for f in (case_reports, config_overlay, artifact_check, judged_candidates, prompt_keys, validated_replies, refinement_plan, query_terms, rescored_candidates, refinement_starts, refined_dataset_rows, record_inference, fix_commit_candidates, patch_types, patch_anchors, anchor_traits, patch_relations, changed_lines, hunk_parts, pattern_library_summary, initial_labels, expert_prior, patched_chains, crash_reports, function_name_variants, prediction_counts, kept_records, validation_counts, ablation_variants, repository_paths, case_patterns, unfixed_sources, feed_records, feed_products)
 }

@@ -71,10 +71,30 @@ def cve_list(df: DataFrame, text: str) -> DataFrame:
     return v.where("v.cveMetadata.cveId is not null").select(*_record(F.col("v.cveMetadata.cveId"), _english(flat(lambda b: b["descriptions"])), cwes, refs, "cvelist_v5", product))
 
 
+_SAID = "array<struct<lang:string,value:string>>"
+#: The older shape of the feed.
+NVD_1 = f"struct<CVE_Items:array<struct<cve:struct<CVE_data_meta:struct<ID:string>,description:struct<description_data:{_SAID}>,problemtype:struct<problemtype_data:array<struct<description:{_SAID}>>>,references:struct<reference_data:array<struct<url:string>>>>>>>"
+
+
 def nvd(df: DataFrame, text: str) -> DataFrame:
+    """Records of feeds of either shape."""
     v = df.select(F.explode(F.from_json(text, NVD)["vulnerabilities"]["cve"]).alias("c")).where("c.id is not null")
-    cwes = F.transform(F.flatten(F.filter(F.col("c.weaknesses.description"), lambda x: x.isNotNull())), lambda x: x["value"])
-    return v.select(*_record(F.col("c.id"), _english(F.col("c.descriptions")), cwes, F.col("c.references.url"), "nvd"))
+    listed = lambda of: F.transform(F.flatten(F.filter(of, lambda x: x.isNotNull())), lambda x: x["value"])
+    new = v.select(*_record(F.col("c.id"), _english(F.col("c.descriptions")), listed(F.col("c.weaknesses.description")), F.col("c.references.url"), "nvd"))
+    w = df.select(F.explode(F.from_json(text, NVD_1)["CVE_Items"]["cve"]).alias("c")).where("c.CVE_data_meta.ID is not null")
+    old = w.select(*_record(F.col("c.CVE_data_meta.ID"), _english(F.col("c.description.description_data")), listed(F.col("c.problemtype.problemtype_data.description")), F.col("c.references.reference_data.url"), "nvd"))
+    return new.unionByName(old)
+
+
+def affected(df: DataFrame, text: str) -> DataFrame:
+    """(cve_id, cpe_uri, vendor, product, version) of all products that feeds name, however deep in their nodes, each once."""
+    items = F.concat(*(F.coalesce(F.from_json(F.get_json_object(text, f"$.{k}"), "array<string>"), F.array().cast("array<string>")) for k in ("vulnerabilities", "CVE_Items")))
+    item = df.select(F.explode(items).alias("i"))
+    cve = F.coalesce(F.get_json_object("i", "$.cve.id"), F.get_json_object("i", "$.cve.CVE_data_meta.ID"))
+    nodes = F.coalesce(F.get_json_object("i", "$.cve.configurations"), F.get_json_object("i", "$.configurations"))
+    names = F.array_distinct(F.regexp_extract_all(nodes, F.lit(r'"(?:criteria|cpe23Uri)"\s*:\s*"([^"\\]*)"'), F.lit(1)))
+    rows = item.select(F.upper(F.trim(cve)).alias("cve_id"), F.explode(names).alias("cpe_uri")).where("cve_id is not null")
+    return rows.select("cve_id", "cpe_uri", urls.cpe(F.col("cpe_uri")).alias("c")).select("cve_id", "cpe_uri", "c.*")
 
 
 def github_advisories(df: DataFrame, text: str) -> DataFrame:
@@ -86,8 +106,10 @@ def github_advisories(df: DataFrame, text: str) -> DataFrame:
 
 
 def project_advisories(df: DataFrame, text: str) -> DataFrame:
+    """Records of a list, of an object that holds one, or of a single object."""
     wrapped = F.from_json(text, f"struct<records:{PROJECT}>")["records"]
-    v = df.select(F.explode(F.when(F.ltrim(text).startswith("["), F.from_json(text, PROJECT)).otherwise(wrapped)).alias("a")).where("a.cve_id is not null")
+    alone = F.from_json(F.concat(F.lit("["), F.col(text), F.lit("]")), PROJECT)
+    v = df.select(F.explode(F.when(F.ltrim(text).startswith("["), F.from_json(text, PROJECT)).otherwise(F.coalesce(wrapped, alone))).alias("a")).where("a.cve_id is not null")
     return v.select(*_record(F.col("a.cve_id"), F.col("a.description"), F.col("a.cwes"), F.col("a.references"), "project_advisory", F.col("a.project"), F.col("a.repo_url"), F.col("a.language")))
 
 
