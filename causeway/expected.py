@@ -152,8 +152,8 @@ ROWS: dict[str, tuple[str, list[tuple]]] = {
     "validated_replies": (
         "id string, verdict string, merge string, confidence double, assessments string, ranks string, passed boolean",
         [
-            ('a', 'accept', 'merge', 0.9, '2/root_cause,1/symptom', '2', True),
-            ('b', 'accept_with_lower_confidence', 'merge_with_lower_confidence', 1.0, '', '3,1', True),
+            ('a', 'accept', 'replace_original', 0.9, '2/root_cause,1/symptom_or_noise', '2', True),
+            ('b', 'accept_with_lower_confidence', 'append_as_alternative', 1.0, '', '3,1', True),
             ('c', 'manual_review', 'do_not_merge', 0.0, '1/plausible_root_cause', '1', False),
             ('d', 'accept', 'do_not_merge', 0.9, '', '1', False),
         ],

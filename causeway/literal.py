@@ -56,8 +56,8 @@ def prompt_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def validated_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [
-        ("a", "Accept", "merge", "0.9", [("2", "Root Cause", "0.8"), ("x", "symptom", "1"), ("1", "symptom", "0.9")], None),
-        ("b", "accept_with_lower_confidence", "merge-with-lower-confidence", "7", [], ["3", "3", "y", "1"]),
+        ("a", "Accept", "replace_original", "0.9", [("2", "Root Cause", "0.8"), ("x", "propagation", "1"), ("1", "Symptom or noise", "0.9")], None),
+        ("b", "accept_with_lower_confidence", "append-as-alternative", "7", [], ["3", "3", "y", "1"]),
         ("c", "what?", None, "nan?", [("1", "plausible_root_cause", "0.6")], None),
         ("d", "accept", "do_not_merge", "0.9", None, ["1"]),
     ]

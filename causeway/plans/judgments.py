@@ -14,8 +14,10 @@ from causeway.rules import clamp, ladder
 #: Labels of a candidate in replies, and what they stand for.
 LABELS = {"root_cause": "root_cause_candidate", "propagation": "propagation", "symptom": "symptom"}
 INTENTS = ("direct_fix", "defensive_guard", "compensating_check", "cleanup", "refactor", "unknown")
-VERDICTS = ("accept", "accept_with_lower_confidence", "reject", "manual_review")
-MERGES = ("merge", "merge_with_lower_confidence", "do_not_merge")
+VERDICTS = ("accept", "accept_with_lower_confidence", "manual_review", "reject")
+QUALITIES = ("strong_improvement", "plausible_improvement", "plausible_but_broad", "no_clear_improvement", "likely_wrong")
+MERGES = ("replace_original", "append_as_alternative", "do_not_merge")
+ASSESSMENTS = ("root_cause", "plausible_root_cause", "propagation", "symptom_or_noise", "uncertain")
 #: Weights of the parts of a calibrated confidence.
 CALIBRATION = {"model": 0.55, "reasoning": 0.15, "evidence": 0.15, "patch": 0.05, "parsed": 0.1, "unparsed": -0.15, "fallback": -0.35}
 
@@ -88,8 +90,7 @@ def validated(replies: DataFrame, least: float = 0.65) -> DataFrame:
 
     The best ranks are those that are named, or else the first three of likely assessments. At most eight assessments and five ranks stay.
     """
-    labels = ("root_cause", "plausible_root_cause", "symptom", "not_root_cause", "uncertain")
-    item = lambda x: F.struct(x["rank"].try_cast("int").alias("rank"), choice(x["label"], labels, "uncertain").alias("label"), confidence(x["confidence"]).alias("confidence"))
+    item = lambda x: F.struct(x["rank"].try_cast("int").alias("rank"), choice(x["label"], ASSESSMENTS, "uncertain").alias("label"), confidence(x["confidence"]).alias("confidence"))
     items = F.filter(F.transform(F.coalesce("assessments", F.array().cast("array<struct<rank:string,label:string,confidence:string>>")), item), lambda x: x["rank"].isNotNull())
     named = F.array_distinct(F.filter(F.transform(F.coalesce("best", F.array().cast("array<string>")), lambda r: r.try_cast("int")), lambda r: r.isNotNull()))
     likely = F.slice(F.transform(F.filter("items", lambda x: x["label"].isin("root_cause", "plausible_root_cause") & (x["confidence"] >= 0.55)), lambda x: x["rank"]), 1, 3)
@@ -105,6 +106,10 @@ def mean_of_known(*parts: Column) -> Column:
     return F.round(clamp(F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda a, x: a + x) / F.size(known)).otherwise(0.0)), 6)
 
 
+def quality_label(value: Column) -> Column:
+    return choice(value, QUALITIES, "no_clear_improvement")
+
+
 def accepted_report(judged: DataFrame, label: str = "accept", least: float = 0.8) -> DataFrame:
     """(dimension, value, n) over accepted rows: verdict, merge, and bins of confidence."""
     kept = judged.where((F.col("verdict") == label) & (F.col("confidence") >= least))

@@ -10,10 +10,21 @@ from causeway.rules import any_of, clamp, ladder, truthy
 
 #: Relations to a patch that make a candidate worth another look.
 NEAR_PATCH = ("patch_anchor_overlap", "patched_statement", "same_function_as_patch")
+#: Classes of bugs that are worth most, words of a reply that cast doubt on a place or a pattern, that speak of
+#: symptoms, and of what lies around a function; patterns that say little.
+HIGH_VALUE = (
+    "buffer_overflow", "heap_buffer_overflow", "stack_buffer_overflow", "out_of_bounds_read", "out_of_bounds_write", "use_after_free",
+    "double_free", "null_dereference", "integer_overflow", "integer_underflow", "memory_corruption", "type_confusion",
+)
+LOCATION_DOUBTS = ("location", "outside patched", "unrelated file", "not clearly", "does not clearly", "weak", "mismatch", "patch")
+PATTERN_DOUBTS = ("overbroad", "too broad", "generic", "pattern", "vulnerability class", "incorrect size", "wrong")
+SYMPTOMS = ("symptom", "downstream", "use site", "crash", "visible", "consumed")
+AROUND = ("caller", "callee", "interprocedural", "data flow", "control flow", "state", "lifetime", "ownership")
+GENERIC = ("", "none", "unknown", "incorrect_size_computation")
 PATCH_ACTIONS = ("rerun_slice_from_patch_context", "demote_symptoms_and_search_upstream")
 
 
-def candidate_action(label: Column, relation: Column, blob: Column, weak: tuple[str, ...]) -> Column:
+def candidate_action(label: Column, relation: Column, blob: Column, weak: tuple[str, ...] = LOCATION_DOUBTS) -> Column:
     """What a judged candidate is to become; weak: phrases that say its place is doubtful."""
     return ladder([
         (label == "correct", "retain_candidate"),
@@ -24,7 +35,7 @@ def candidate_action(label: Column, relation: Column, blob: Column, weak: tuple[
     ], "recheck_with_more_context")
 
 
-def pattern_action(label: Column, action: Column, pattern: Column, blob: Column, weak: tuple[str, ...]) -> Column:
+def pattern_action(label: Column, action: Column, pattern: Column, blob: Column, weak: tuple[str, ...] = PATTERN_DOUBTS) -> Column:
     """The same for its pattern."""
     return ladder([
         (label.isin("weak_or_noisy", "likely_incorrect") | (action == "drop"), "avoid_or_split_pattern"),
@@ -33,7 +44,7 @@ def pattern_action(label: Column, action: Column, pattern: Column, blob: Column,
     ], "keep_pattern_signal")
 
 
-def primary_action(recommended: Column, confidence: Column, relations: Column, candidate_actions: Column, pattern_actions: Column, blob: Column, assessment: Column, bug_class: Column, high: tuple[str, ...], symptom: tuple[str, ...], weak: tuple[str, ...], context: tuple[str, ...]) -> Column:
+def primary_action(recommended: Column, confidence: Column, relations: Column, candidate_actions: Column, pattern_actions: Column, blob: Column, assessment: Column, bug_class: Column, high: tuple[str, ...] = HIGH_VALUE, symptom: tuple[str, ...] = SYMPTOMS, weak: tuple[str, ...] = LOCATION_DOUBTS, context: tuple[str, ...] = AROUND) -> Column:
     """What is to be done with a record, from what its candidates need."""
     has = lambda c, v: truthy(F.array_contains(c, v))
     return ladder([
@@ -47,7 +58,7 @@ def primary_action(recommended: Column, confidence: Column, relations: Column, c
     ], "manual_review")
 
 
-def priority(confidence: Column, action: Column, bug_class: Column, candidate_actions: Column, blob: Column, high: tuple[str, ...]) -> Column:
+def priority(confidence: Column, action: Column, bug_class: Column, candidate_actions: Column, blob: Column, high: tuple[str, ...] = HIGH_VALUE) -> Column:
     """0 to 100: how soon a record is worth the work."""
     has = lambda *v: truthy(F.arrays_overlap(candidate_actions, F.array(*map(F.lit, v))))
     add = lambda c, v: F.when(truthy(c), v).otherwise(0.0)
@@ -82,14 +93,17 @@ def rescored(candidates: DataFrame, actions: DataFrame, record: str = "cve_id")
 
     candidates: record, file, line, function, score, pattern and the flags of the patch's neighbourhood; actions:
     record, seq, file, line, function, old_refinement, old_pattern, primary_action, specific. The first action at a
-    candidate's place counts; an action without a function fits any.
+    candidate's place counts; an action without a function fits any. With bug_class and query_terms (array) in
+    actions, candidates of that class are lifted too.
     """
     c, a = candidates.alias("c"), actions.alias("a")
     here = (F.col(f"c.{record}") == F.col(f"a.{record}")) & (F.col("c.file") == F.col("a.file")) & (F.col("c.line") == F.col("a.line"))
     fits = F.col("a.function").isNull() | F.col("c.function").isNull() | (F.col("a.function") == F.col("c.function"))
     key = [f"c.{record}", "c.file", "c.line", "c.function"]
     first = c.join(a, here & fits).groupBy(*key).agg(F.min_by(F.struct("a.old_refinement", "a.old_pattern"), "a.seq").alias("old"))
-    by_record = actions.groupBy(record).agg(F.min_by("primary_action", "seq").alias("primary_action"))
+    classed = {"bug_class", "query_terms"} <= set(actions.columns)
+    more = [F.min_by(c, "seq").alias(f"_{c}") for c in ("bug_class", "query_terms") if classed]
+    by_record = actions.groupBy(record).agg(F.min_by("primary_action", "seq").alias("primary_action"), *more)
     same = lambda n: F.col(f"x.{n}").eqNullSafe(F.col(f"y.{n}"))
     both = candidates.alias("x").join(first.alias("y"), same(record) & same("file") & same("line") & same("function"), "left").select("x.*", "y.old").join(by_record, record, "left")
     flag = lambda c, v: F.when(truthy(F.col(c)), v).otherwise(0.0)
@@ -97,9 +111,12 @@ def rescored(candidates: DataFrame, actions: DataFrame, record: str = "cve_id")
     bonus = F.when(old == "retain_candidate", 0.22).when(old == "promote_for_recheck", 0.14).otherwise(0.0)
     bonus = bonus + flag("patch_anchor_overlap", 0.08) + flag("defines_value_later_fixed", 0.08) + flag("missing_check_replaced", 0.08) + flag("incorrect_computation_replaced", 0.07)
     bonus = bonus + F.when(truthy(F.col("same_function_as_patch")), 0.12).when(truthy(F.col("same_file_as_patch")), 0.06).otherwise(0.0)
+    if classed:  # the class that the record is thought to be of shows in the plan's words or the candidate's pattern
+        meant = F.array_contains("_query_terms", F.col("_bug_class")) | F.contains(F.col("pattern"), F.col("_bug_class"))
+        bonus = bonus + F.when(truthy(F.col("_bug_class").isin(*HIGH_VALUE) & meant), 0.05).otherwise(0.0)
     outside = ~truthy(F.col("same_function_as_patch")) & ~truthy(F.col("same_file_as_patch")) & truthy(F.col("primary_action").isin(*PATCH_ACTIONS))
     penalty = F.when(old.isin("replace_candidate", "demote_symptom_or_noise"), 0.32).otherwise(0.0) + F.when(outside, 0.08).otherwise(0.0)
-    penalty = penalty + F.when(truthy(F.col("old.old_pattern") == "specialize_pattern") & F.col("pattern").isin("none", "unknown", "incorrect_size_computation"), 0.05).otherwise(0.0)
+    penalty = penalty + F.when(truthy(F.col("old.old_pattern") == "specialize_pattern") & F.coalesce("pattern", F.lit("")).isin(*GENERIC), 0.05).otherwise(0.0)
     return both.select(*candidates.columns, F.round(bonus, 4).alias("bonus"), F.round(penalty, 4).alias("penalty"), F.round(clamp(F.col("score") + bonus - penalty), 6).alias("refined_score"))
 
 
