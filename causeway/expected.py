@@ -1,4 +1,4 @@
-"""The rows that queries over literal inputs must give, looked over by hand against their inputs, as VALUES for DuckDB."""
+"""The rows that queries over literal inputs must give, as VALUES for DuckDB: taken from a run, then looked over by hand (scores of ranking and chains only by their order)."""
 
 from __future__ import annotations
 

@@ -1,6 +1,6 @@
 """Queries over literal inputs for the plans on cases, records, judgments and refinement, with their expected rows.
 
-Each expectation was worked out by hand from the inputs above it and is given to DuckDB as VALUES.
+The expected rows were taken from a run and then looked over against the inputs; DuckDB gets them as VALUES.
 """
 
 from __future__ import annotations
