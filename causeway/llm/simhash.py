@@ -42,6 +42,10 @@ APART, SHARED = 40, 0.4
 COMMON = 1 << 20
 #: Where more texts than MANY share a hash, each is compared with one of them first, STARS times over with another one.
 MANY, STARS = 64, 4
+#: Pairs in such buckets, for each row of all buckets, below which they are compared without more turns.
+PAIRS = 32
+#: Hashes of shingles that a worker holds while it compares texts.
+HELD = 1 << 22
 _TURN = np.uint64(0x9E3779B97F4A7C15)
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _PART = 1 << 16
@@ -208,18 +212,25 @@ def similar_links(docs: DataFrame, nodes: DataFrame, scratch: Scratch, id_col: s
     """(node, n, fp, more, low), a row for each distinct set of shingles -> (a, b): links that leave the same components as all similar pairs.
 
     In each bucket, all are first compared with one member; then pairs are compared that are still in different
-    components. In buckets of more than `many`, that is done only after some more turns with other members.
+    components. In buckets of more than `many`, that is done only after some more turns, with the members whose
+    shingles are most common there, and only for texts that can have a link: what no other text in such buckets has
+    is no part of any overlap, and a large group of copies that were each changed in places of their own has many
+    pairs but few links.
     """
 
     @F.pandas_udf(T.BooleanType())
     def similar(left: pd.Series, right: pd.Series) -> pd.Series:
-        out, last, a = [], None, None
+        out, kept, size = [], {}, 0
         for x, y in zip(left, right, strict=True):
-            if a is None or x != last:
-                last, a = x, _set(x, shingle)
-            b = _set(y, shingle)
+            for t in (x, y):
+                if t not in kept:
+                    kept[t] = _set(t, shingle)
+                    size += len(kept[t])
+            a, b = kept[x], kept[y]
             both = len(np.intersect1d(a, b, assume_unique=True))
             out.append(under * both >= over * (len(a) + len(b) - both))
+            if size > HELD:
+                kept, size = {}, 0
         return pd.Series(out, dtype=bool)
 
     def checked(pairs: DataFrame, done: list[DataFrame]) -> DataFrame:
@@ -241,11 +252,11 @@ def similar_links(docs: DataFrame, nodes: DataFrame, scratch: Scratch, id_col: s
         return found
 
     def near(x: str, y: str):
-        """What sizes and fingerprints say of two rows."""
+        """What sizes, shingles that other texts have too, and fingerprints say of two rows."""
         apart = F.bit_count(F.col(f"{x}.fp").bitwiseXOR(F.col(f"{y}.fp"))) + F.bit_count(F.col(f"{x}.more").bitwiseXOR(F.col(f"{y}.more")))
-        return (F.col(f"{x}.n") * under >= F.col(f"{y}.n") * over) & (F.col(f"{y}.n") * under >= F.col(f"{x}.n") * over) & (apart <= APART)
+        return (F.least(f"{x}.shared", f"{y}.shared") * (over + under) >= (F.col(f"{x}.n") + F.col(f"{y}.n")) * over) & (apart <= APART)
 
-    me = F.struct("node", "n", "fp", "more", "comp").alias("me")
+    me = F.struct("node", "n", "shared", "fp", "more", "comp").alias("me")
     # what stands within three bits: one node stands for each fingerprint
     prints = scratch.write(nodes.groupBy("fp").agg(F.min("node").alias("least")))
     same = nodes.join(prints, "fp").select(F.col("least").alias("a"), F.col("node").alias("b"))
@@ -254,9 +265,11 @@ def similar_links(docs: DataFrame, nodes: DataFrame, scratch: Scratch, id_col: s
     crowds = met.groupBy("key").count().where("count > 1")
     met = scratch.write(met.join(crowds, "key"))
 
-    def stars(rows: DataFrame, turn: int) -> DataFrame:
-        order = F.xxhash64("node", F.lit(turn))
-        middle = rows.groupBy("key").agg(F.min_by(me, order).alias("x"))
+    def middles(rows: DataFrame) -> DataFrame:
+        """Of each bucket, a member whose shingles are common there."""
+        return rows.groupBy("key").agg(F.max_by(me, F.struct(F.col("shared") / F.col("n"), F.xxhash64("node"))).alias("x"))
+
+    def stars(rows: DataFrame, middle: DataFrame) -> DataFrame:
         met = rows.select("key", me.alias("y")).join(middle, "key")
         return met.where((F.col("x.comp") != F.col("y.comp")) & near("x", "y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
@@ -272,18 +285,42 @@ def similar_links(docs: DataFrame, nodes: DataFrame, scratch: Scratch, id_col: s
         several = here.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
         return scratch.write(here.join(several, "key", "left_semi"))
 
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def grams(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for some in parts:
+            yield pd.Series([_set(t, shingle).view(np.int64) for t in some], dtype=object)
+
+    def linkable(rows: DataFrame, sets: DataFrame) -> DataFrame:
+        """The rows with how many shingles of each node others among them have too; without nodes that have too few for any link."""
+        here = sets.join(rows.select("node").distinct(), "node", "left_semi")
+        lone = here.groupBy("gram").agg(F.min("node").alias("node"), F.count("*").alias("n")).where("n = 1").groupBy("node").agg(F.count("*").alias("lone"))
+        told = rows.join(lone, "node", "left").withColumn("shared", F.col("n") - F.coalesce("lone", F.lit(0))).drop("lone")
+        return scratch.write(told.where(F.col("shared") * under >= F.col("n") * over))
+
     done: list[DataFrame] = []
-    alone = met.withColumn("comp", F.col("node"))
-    found = checked(same.unionByName(near_prints).unionByName(stars(alone, 0)), done)
+    alone = met.withColumn("comp", F.col("node")).withColumn("shared", F.col("n").cast("long"))
+    found = checked(same.unionByName(near_prints).unionByName(stars(alone, middles(alone))), done)
     here = mixed(alone, found)
     found = scratch.write(found.unionByName(checked(across(here.where(F.col("count") <= many)), done)))
-    crowded = here.where(F.col("count") > many)
-    for turn in range(1, STARS + 1):
-        if crowded.isEmpty():
-            return found
-        crowded = mixed(crowded, found)
-        found = scratch.write(found.unionByName(checked(stars(crowded, turn) if turn < STARS else across(crowded), done)))
-    return found
+    crowded = mixed(here.where(F.col("count") > many), found)
+    if crowded.isEmpty():
+        return found
+    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("t"))
+    texts = texts.join(crowded.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    sets = scratch.write(texts.select("node", F.explode(grams("t")).alias("gram")))
+    most = PAIRS * met.count()
+    for turn in range(STARS):
+        crowded = linkable(mixed(crowded, found) if turn else crowded, sets)
+        pairs = crowded.groupBy("key").agg((F.count("*") * (F.count("*") - 1) / 2).alias("n")).agg(F.sum("n")).first()[0] or 0
+        if turn and pairs <= most:
+            break
+        middle = scratch.write(middles(crowded))
+        found = scratch.write(found.unionByName(checked(stars(crowded, middle), done)))
+        # a middle has met all others of its bucket
+        crowded = scratch.write(crowded.join(middle.select("key", F.col("x.node").alias("node")), ["key", "node"], "left_anti"))
+    else:
+        crowded = linkable(mixed(crowded, found), sets)
+    return scratch.write(found.unionByName(checked(across(crowded), done)))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: tuple[int, int] | None = None, shingle: int = WORDS, many: int = MANY) -> DataFrame:
