@@ -113,7 +113,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, steps: int = STEPS, l2: floa
     w, parts = np.zeros(len(used)), []
     for i in range(0, len(rows), _CHUNK):  # what a step holds besides the features stays small
         some = [place[r][place[r] >= 0] for r in rows[i : i + _CHUNK]]
-        parts.append((i, i + len(some), np.concatenate(some), np.repeat(np.arange(len(some), dtype=np.int32), [len(r) for r in some])))
+        parts.append((i, i + len(some), np.concatenate(some), np.repeat(np.arange(len(some), dtype=np.int16), [len(r) for r in some])))
     b, logs = theta[0], np.log(np.diff(theta))  # theta = b, b + exp(logs[0]), ...: always rising
     params = [w, np.array([b]), logs]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
@@ -157,7 +157,10 @@ def tails(x: np.ndarray, theta: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rated: int = MAX_RATED) -> tuple[np.ndarray, np.ndarray]:
-    """Fit on at most max_rated rated documents; ratings without id or grade don't count, of repeated ones the lowest does."""
+    """Fit on at most max_rated rated documents; ratings without id or grade don't count, of repeated ones the lowest does.
+
+    The fit is one task on an executor, whatever the input: the driver gets the weights only.
+    """
     rated = labels.select(F.col(id_col).alias("_id"), grade(F.col("quality"), F.col("toxic")).alias("_grade")).where("_id is not null and _grade is not null")
     rated = rated.groupBy("_id").agg(F.min("_grade").alias("_grade")).orderBy(F.xxhash64("_id"), "_id").limit(max_rated)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(rated), "_id").select("_id", "_grade", "_text")
@@ -167,8 +170,20 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for part in parts:
             yield pd.DataFrame({"id": part["_id"], "grade": part["_grade"], "cols": [columns(t, known).tobytes() for t in part["_text"]]})
 
-    rows = texts.mapInPandas(features, "id long, grade int, cols binary").groupBy("id").agg(F.min(F.struct("grade", "cols")).alias("r")).orderBy("id").collect()
-    return fit([np.frombuffer(r.r.cols, np.int32) for r in rows], np.array([r.r.grade for r in rows], np.int64))
+    def fitted(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, grades = [], []
+        for part in parts:
+            rows += [np.frombuffer(c, np.int32) for c in part["cols"]]
+            grades += part["grade"].tolist()
+        w, theta = fit(rows, np.array(grades, np.int64))
+        yield pd.DataFrame({"w": [w.tobytes()], "theta": [theta.tobytes()]})
+
+    small_batches(docs.sparkSession)
+    rows = texts.mapInPandas(features, "id long, grade int, cols binary").groupBy("id").agg(F.min(F.struct("grade", "cols")).alias("r")).select("id", "r.*")
+    got = rows.coalesce(1).sortWithinPartitions("id").mapInPandas(fitted, "w binary, theta binary").collect()  # 2 MB
+    if not got:
+        return fit([], np.array([], np.int64))
+    return np.frombuffer(got[0].w), np.frombuffer(got[0].theta)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], id_col: str = "doc_id", text_col: str = "text", cut: float = CUT) -> DataFrame:
