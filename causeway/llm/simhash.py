@@ -44,6 +44,9 @@ COMMON = 1 << 20
 MANY, STARS = 64, 4
 #: Pairs in such buckets, for each row of all buckets, below which they are compared without more turns.
 PAIRS = 32
+#: Words of 64 bits that tell of how many shingles of a set, odd or even, fall on each bit: as many bits as differ between
+#: two sets, at least, shingles are in one of them only.
+ODD = 16
 #: Hashes of shingles that a worker holds while it compares texts.
 HELD = 1 << 22
 _TURN = np.uint64(0x9E3779B97F4A7C15)
@@ -174,6 +177,11 @@ def _set(text: str | None, shingle: int) -> np.ndarray:
     return np.unique(_hashes(text, shingle))
 
 
+def _odd(hashes: np.ndarray) -> np.ndarray:
+    at = (hashes & np.uint64(64 * ODD - 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=64 * ODD) & 1).view(np.int64)
+
+
 def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int = WORDS, low: int = LOW) -> DataFrame:
     """id, key (a digest of the set of shingles), n (its size), fp and more (128 bits of fingerprint), low (its smallest hashes)."""
     kind = T.StructType([T.StructField("key", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("fp", T.LongType()), T.StructField("more", T.LongType()), T.StructField("low", T.ArrayType(T.LongType()))])
@@ -243,12 +251,11 @@ def similar_links(docs: DataFrame, nodes: DataFrame, scratch: Scratch, id_col: s
         done.append(pairs)
         both = pairs.join(lows.toDF("a", "la"), "a").join(lows.toDF("b", "lb"), "b")
         pairs = scratch.write(both.where(F.size(F.array_intersect("la", "lb")) >= F.least(F.size("la"), F.size("lb")) * SHARED).select("a", "b"))
-        texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
         wanted = pairs.select("a").union(pairs.select("b")).distinct().toDF("id")
-        texts = scratch.write(texts.join(wanted, "id", "left_semi").dropDuplicates(["id"]))
-        both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
+        some = scratch.write(texts.join(wanted, "id", "left_semi"))
+        both = pairs.join(some.toDF("a", "ta"), "a").join(some.toDF("b", "tb"), "b")
         found = scratch.write(both.where(similar("ta", "tb")).select("a", "b"))
-        scratch.discard(texts)
+        scratch.discard(some)
         return found
 
     def near(x: str, y: str):
@@ -264,6 +271,11 @@ def similar_links(docs: DataFrame, nodes: DataFrame, scratch: Scratch, id_col: s
     met = nodes.select("node", "n", "fp", "more", F.explode(_keys_of(nodes, many)("low")).alias("key"))
     crowds = met.groupBy("key").count().where("count > 1")
     met = scratch.write(met.join(crowds, "key"))
+    by_print = scratch.write(same.unionByName(near_prints).where("a <> b"))
+    # only these can be in pairs: all texts move once
+    able = met.select("node").union(by_print.select("a")).union(by_print.select("b")).distinct().toDF("id")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
+    texts = scratch.write(texts.join(able, "id", "left_semi").dropDuplicates(["id"]))
 
     def middles(rows: DataFrame) -> DataFrame:
         """Of each bucket, a member whose shingles are common there."""
@@ -273,9 +285,15 @@ def similar_links(docs: DataFrame, nodes: DataFrame, scratch: Scratch, id_col: s
         met = rows.select("key", me.alias("y")).join(middle, "key")
         return met.where((F.col("x.comp") != F.col("y.comp")) & near("x", "y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
-    def across(rows: DataFrame) -> DataFrame:
-        x, y = rows.select("key", me.alias("x")), rows.select("key", me.alias("y"))
-        met = x.join(y, "key").where((F.col("x.comp") < F.col("y.comp")) & near("x", "y"))
+    def across(rows: DataFrame, odd: int = 0) -> DataFrame:
+        """Pairs of different components; with `odd` columns of parities, no more shingles may be in one set only than links allow."""
+        told = F.struct("node", "n", "shared", "fp", "more", "comp", *(f"o{i}" for i in range(odd)))
+        x, y = rows.select("key", told.alias("x")), rows.select("key", told.alias("y"))
+        good = (F.col("x.comp") < F.col("y.comp")) & near("x", "y")
+        if odd:
+            differ = sum((F.bit_count(F.col(f"x.o{i}").bitwiseXOR(F.col(f"y.o{i}"))) for i in range(odd)), F.lit(0))
+            good = good & (differ * (over + under) <= (F.col("x.n") + F.col("y.n")) * (under - over))
+        met = x.join(y, "key").where(good)
         return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
     def mixed(rows: DataFrame, found: DataFrame) -> DataFrame:
@@ -285,6 +303,11 @@ def similar_links(docs: DataFrame, nodes: DataFrame, scratch: Scratch, id_col: s
         several = here.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
         return scratch.write(here.join(several, "key", "left_semi"))
 
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def parities(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for some in parts:
+            yield pd.Series([_odd(_set(t, shingle)) for t in some], dtype=object)
+
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def grams(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for some in parts:
@@ -299,15 +322,14 @@ def similar_links(docs: DataFrame, nodes: DataFrame, scratch: Scratch, id_col: s
 
     done: list[DataFrame] = []
     alone = met.withColumn("comp", F.col("node")).withColumn("shared", F.col("n").cast("long"))
-    found = checked(same.unionByName(near_prints).unionByName(stars(alone, middles(alone))), done)
+    found = checked(by_print.unionByName(stars(alone, middles(alone))), done)
     here = mixed(alone, found)
     found = scratch.write(found.unionByName(checked(across(here.where(F.col("count") <= many)), done)))
     crowded = mixed(here.where(F.col("count") > many), found)
     if crowded.isEmpty():
         return found
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("t"))
-    texts = texts.join(crowded.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
-    sets = scratch.write(texts.select("node", F.explode(grams("t")).alias("gram")))
+    mine = texts.withColumnRenamed("id", "node").join(crowded.select("node").distinct(), "node", "left_semi")
+    sets = scratch.write(mine.select("node", F.explode(grams("t")).alias("gram")))
     most = PAIRS * met.count()
     for turn in range(STARS):
         crowded = linkable(mixed(crowded, found) if turn else crowded, sets)
@@ -320,7 +342,9 @@ def similar_links(docs: DataFrame, nodes: DataFrame, scratch: Scratch, id_col: s
         crowded = scratch.write(crowded.join(middle.select("key", F.col("x.node").alias("node")), ["key", "node"], "left_anti"))
     else:
         crowded = linkable(mixed(crowded, found), sets)
-    return scratch.write(found.unionByName(checked(across(crowded), done)))
+    mine = mine.join(crowded.select("node").distinct(), "node", "left_semi").select("node", parities("t").alias("o"))
+    crowded = scratch.write(crowded.join(mine.select("node", *(F.col("o")[i].alias(f"o{i}") for i in range(ODD))), "node"))
+    return scratch.write(found.unionByName(checked(across(crowded, ODD), done)))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: tuple[int, int] | None = None, shingle: int = WORDS, many: int = MANY) -> DataFrame:

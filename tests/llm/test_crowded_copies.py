@@ -47,3 +47,17 @@ def test_few_pairs_and_no_link_lost(spark, monkeypatch, changes):
         least = [min(least[j] for j in like[i]) for i in range(len(texts))]
     assert got == {i for i, x in enumerate(least) if i == x}
     assert max(seen) < 10 * len(texts)
+
+
+@pytest.mark.parametrize("changes", [6, 8])
+def test_hardly_more_pairs_than_links(spark, monkeypatch, changes):
+    """Changed so little that each could have a link, but no two of them do."""
+    test_few_pairs_and_no_link_lost(spark, monkeypatch, changes)
+
+
+def test_parities_never_exceed_the_difference():
+    r = random.Random(3)
+    for n in (0, 1, 30, 400, 5000):
+        a, b = (S._set(" ".join(f"v{r.randrange(90)}" for _ in range(n)), 2) for _ in "ab")
+        bits = sum(int(x).bit_count() for x in (S._odd(a) ^ S._odd(b)).view("uint64"))
+        assert bits <= len(set(a.tolist()) ^ set(b.tolist()))
