@@ -20,6 +20,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -31,9 +33,9 @@ from causeway.llm.common import Scratch, small_batches
 ORDER = 3
 #: Counts up to this are discounted.
 GT = 5
-BLOCK_TOKENS = 1 << 20
+BLOCK_TOKENS = 5 << 17
 #: Tokens of the input for each partition of a table.
-PART_TOKENS = 1 << 21
+PART_TOKENS = 1 << 20
 FOLDS, HELD_OUT = 7, 2
 #: Sums of probabilities travel as whole multiples of 2 ** -UNIT.
 UNIT = 48
@@ -43,15 +45,20 @@ END = xxhash.xxh64_intdigest(b" end", 0)
 #: Keys of the contexts of first words, by order.
 START = [np.uint64(xxhash.xxh64_intdigest(b" start %d" % k, 0)) for k in range(64)]
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_ASK = "at int, kind int, part int, block long, keys binary, a binary, b binary, asked binary"
-_NAMES = ["at", "kind", "part", "block", "keys", "a", "b", "asked"]
-_ANSWER = "block long, kind int, part int, a binary, b binary, first binary, stats array<double>"
+#: Bytes of a batch sent to Python: a few blocks, or many questions.
+BATCH_BYTES = 1 << 20
+#: Of gaps between keys, counts, floating numbers and sums of UNIT, so many low bytes of each stand together; the rest, mostly zeros,
+#: stands in a column of its own.
+GAP, COUNT, FLOAT, SUM = 6, 1, 8, UNIT // 8
+_ASK = "at int, kind int, part int, block long, keys binary, keys_up binary, a binary, a_up binary, b binary, b_up binary, asked binary"
+_ANSWER = "block long, kind int, part int, a binary, a_up binary, b binary, b_up binary, first binary, stats array<double>"
+_TOLD = "array<struct<kind int, size int, a binary, b binary, first binary, stats array<double>>>"
 
 
 def _pack(a: np.ndarray) -> bytes:
     """Bytes of a's numbers, byte plane after byte plane, compressed."""
     a = np.ascontiguousarray(a)
-    return zstandard.ZstdCompressor(level=1).compress(a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()) if len(a) else b""
+    return zstandard.ZstdCompressor(level=1).compress(a.view(np.uint8).reshape(len(a), -1).T.tobytes()) if len(a) else b""
 
 
 def _unpack(data: bytes, kind) -> np.ndarray:
@@ -120,27 +127,78 @@ def _from_bits(data: bytes, n: int) -> np.ndarray:
     return np.unpackbits(_unpack(data, np.uint8))[:n].astype(bool)
 
 
-def _part_of(keys: np.ndarray, parts: int) -> np.ndarray:
-    return ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+def _least(parts: int) -> np.ndarray:
+    """The least key of each partition."""
+    n = np.uint64(parts)
+    return ((np.arange(parts, dtype=np.uint64) << np.uint64(32)) + n - np.uint64(1)) // n << np.uint64(32)
 
 
 def _cuts(keys: np.ndarray, parts: int) -> np.ndarray:
     """Where each partition's keys begin among sorted ones, and their number at the end."""
-    return np.searchsorted(_part_of(keys, parts), np.arange(parts + 1))
+    return np.append(np.searchsorted(keys, _least(parts)), len(keys))
 
 
-def _asks(block: int, kind: int, first: int, keys: np.ndarray, a: np.ndarray, b: np.ndarray, asked: np.ndarray, parts: int) -> pd.DataFrame:
-    """A row for each partition that has some of the sorted keys."""
+def _size(*numbers: np.ndarray) -> int:
+    """Bytes that hold each of the whole numbers."""
+    return max([1, *((int(x.max()).bit_length() + 7) // 8 for x in numbers if len(x))])
+
+
+def _pieces(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """A binary column from the bytes of all rows and where they part, from 0 on."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All rows' bytes, and each row's number of them."""
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int32)
+    return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None else np.empty(0, np.uint8), np.diff(ends).astype(np.int64)
+
+
+def _split(numbers: np.ndarray, low: int, ends: np.ndarray) -> list[pa.Array]:
+    """Numbers of 64 bits as two columns: each row's `low` low bytes of them, and their other bytes as far as any isn't zero."""
+    planes = numbers.view(np.uint8).reshape(-1, 8)
+    up = max(0, _size(numbers) - low) if low < 8 else 0
+    return [_pieces(np.ascontiguousarray(planes[:, i:j]).ravel(), ends * (j - i)) for i, j in ((0, low), (low, low + up))]
+
+
+def _joined(rows: pa.Table, column: str, low: int) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of such columns, and how many a row has."""
+    data, lens = _bytes(_column(rows, column))
+    n = lens // low
+    out = np.zeros((int(n.sum()), 8), np.uint8)
+    out[:, :low] = data.reshape(-1, low)
+    data, lens = _bytes(_column(rows, column + "_up"))
+    size = lens // np.maximum(n, 1)
+    for w in np.unique(size[size > 0]).tolist():
+        out[np.repeat(size == w, n), low : low + w] = data[np.repeat(size == w, lens)].reshape(-1, w)
+    return out.view(np.uint64).ravel(), n
+
+
+def _column(rows: pa.Table, name: str) -> pa.Array:
+    return rows[name].combine_chunks() if rows.num_rows else pa.array([], rows.schema.field(name).type)
+
+
+def _asks(block: int, kind: int, first: int, keys: np.ndarray, a: np.ndarray, b: np.ndarray, asked: np.ndarray, parts: int) -> pa.RecordBatch:
+    """A row for each partition that has some of the sorted keys. All rows are cut from the same buffers: a row costs next to nothing."""
     cut = _cuts(keys, parts)
-    rows = []
-    for p in range(parts):
-        i, j = cut[p], cut[p + 1]
-        if i < j:
-            rows.append((first + p, kind, p, block, _gaps(keys[i:j]), _pack(a[i:j]), _pack(b[i:j]), _bits(asked[i:j])))
-    return pd.DataFrame(rows, columns=_NAMES)
+    full = np.flatnonzero(np.diff(cut))
+    ends = np.append(cut[full], len(keys))
+    gaps = np.diff(keys, prepend=np.uint64(0))
+    gaps[ends[:-1]] = keys[ends[:-1]] - _least(parts)[full]
+    low, same = (COUNT, COUNT) if kind > 0 else (FLOAT, SUM), lambda x: pa.array(np.full(len(full), x, np.int32))
+    columns = [pa.array((first + full).astype(np.int32)), same(kind), pa.array(full.astype(np.int32)), pa.array(np.full(len(full), block, np.int64)), *_split(gaps, GAP, ends)]
+    columns += [x for c, k in zip((a, b), low, strict=True) for x in _split(c.view(np.uint64), k, ends)]
+    return pa.RecordBatch.from_arrays([*columns, _pieces(asked.view(np.uint8), ends if len(asked) else ends * 0)], _names(_ASK))
 
 
-def _answered(rows: pd.DataFrame) -> pd.DataFrame:
+def _told(at: int, kind: int, part: int, block: int, stats: list[float]) -> pa.RecordBatch:
+    """A row without keys: statistics, to be added up."""
+    numbers = [pa.array([x], pa.int32()) for x in (at, kind, part)]
+    return pa.RecordBatch.from_arrays([*numbers, pa.array([block], pa.int64()), *(pa.array([x], pa.binary()) for x in (b"", b"", np.array(stats).tobytes(), b"", b"", b"", b""))], _names(_ASK))
+
+
+def _answered(rows: pa.Table, parts: int) -> Iterator[pa.RecordBatch]:
     """One partition's answers.
 
     Of n-grams (kind > 0): their counts in training and in held-out documents over all blocks, and which block is
@@ -148,31 +206,87 @@ def _answered(rows: pd.DataFrame) -> pd.DataFrame:
     n-grams leave over 1 - the lower orders' probabilities of them (or 1 over that, if nothing is left), and
     whether something is left.
     """
-    kind, part = int(rows["kind"].iloc[0]), int(rows["part"].iloc[0])
-    told = [_unpack(x, np.float64) for x, k in zip(rows["a"], rows["keys"], strict=True) if not k]
-    rows = rows[rows["keys"].map(len) > 0].sort_values("block")
-    keys = [_from_gaps(k) for k in rows["keys"]]
-    u, index, at = np.unique(np.concatenate([np.empty(0, np.uint64), *keys]), return_index=True, return_inverse=True)
-    out, i = [], 0
+    kind, part = rows["kind"][0].as_py(), rows["part"][0].as_py()
+    rows = rows.sort_by("block").combine_chunks()
+    empty = _bytes(_column(rows, "keys"))[1] == 0
+    told = [np.frombuffer(x, np.float64) for x in rows.filter(pa.array(empty))["a"].to_pylist()]
+    rows = rows.filter(pa.array(~empty))
+    block = _column(rows, "block")
+    gaps, n = _joined(rows, "keys", GAP)
+    ends = np.append(0, n.cumsum())
+    keys = gaps.cumsum(dtype=np.uint64)
+    keys += np.repeat(_least(parts)[part] - keys[ends[:-1]] + gaps[ends[:-1]], n)
+    order = np.argsort(keys)
+    new = np.append(True, np.diff(keys[order]) > 0)[: len(keys)]
+    at = np.empty(len(keys), np.int64)
+    at[order] = new.cumsum() - 1
+    a, b = (_joined(rows, c, k)[0] for c, k in zip("ab", (COUNT, COUNT) if kind > 0 else (FLOAT, SUM), strict=True))
+    same = lambda k, x: pa.array(np.full(k, x, np.int32))
+    head = [block, same(len(block), kind), same(len(block), part)]
+    none = pa.nulls(len(block), pa.list_(pa.float64()))
     if kind > 0:
-        a, b = (np.bincount(at, np.concatenate([np.empty(0), *(_unpack(x, np.uint32) for x in rows[c])]), minlength=len(u)).astype(np.uint64) for c in "ab")
-        first = np.zeros(len(at), bool)
-        first[index] = True
-        for block, k in zip(rows["block"], keys, strict=True):
-            j = i + len(k)
-            out.append((int(block), kind, part, _pack(a[at[i:j]]), _pack(b[at[i:j]]), _bits(first[i:j]), []))
-            i = j
-        out.append((-1, kind, part, b"", b"", b"", list(np.sum([_statistics(a), *told], axis=0))))
+        a, b = (np.bincount(at, x, minlength=int(new.sum())).astype(np.uint64) for x in (a, b))
+        first = np.zeros(len(at), np.uint8)
+        if len(at):
+            first[np.minimum.reduceat(order, np.flatnonzero(new))] = 1
+        yield pa.RecordBatch.from_arrays([*head, *_split(a[at], COUNT, ends), *_split(b[at], COUNT, ends), _pieces(first, ends), none], _names(_ANSWER))
+        stats = [float(x) for x in np.sum([_statistics(a), *told], axis=0)]
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), same(1, kind), same(1, part), *[pa.array([b""], pa.binary())] * 5, pa.array([stats], pa.list_(pa.float64()))], _names(_ANSWER))
     else:
-        left = np.bincount(at, np.concatenate([_unpack(x, np.float64) for x in rows["a"]]), minlength=len(u))
-        lower = np.bincount(at, np.concatenate([_unpack(x, np.uint64) for x in rows["b"]]).astype(np.float64), minlength=len(u)) / (1 << UNIT)
+        left = np.bincount(at, a.view(np.float64), minlength=int(new.sum()))
+        lower = np.bincount(at, b.astype(np.float64), minlength=len(left)) / (1 << UNIT)
         share = np.where(left > 0, left, 1.0) / np.maximum(1 - lower, 1e-300)
-        for block, k, asked in zip(rows["block"], keys, rows["asked"], strict=True):
-            j = i + len(k)
-            mine = at[i:j][_from_bits(asked, len(k))]
-            out.append((int(block), kind, part, _pack(share[mine]), b"", _bits(left[mine] > 0), []))
-            i = j
-    return pd.DataFrame(out, columns=["block", "kind", "part", "a", "b", "first", "stats"])
+        asked = _bytes(_column(rows, "asked"))[0].astype(bool)
+        mine, ends = at[asked], np.append(0, asked.cumsum())[ends]
+        empty = _pieces(np.empty(0, np.uint8), ends * 0)
+        yield pa.RecordBatch.from_arrays([*head, _pieces(share[mine].view(np.uint8), ends * 8), empty, empty, empty, _pieces((left[mine] > 0).view(np.uint8), ends), none], _names(_ANSWER))
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.RecordBatch]:
+    """Answers in the order of blocks, kinds and partitions -> a row a block, with one answer of each kind."""
+
+    def packed(rows: list[pa.RecordBatch]) -> dict:
+        t = pa.Table.from_batches(rows)
+        kind = t["kind"][0].as_py()
+        a, b = (_joined(t, c, COUNT if kind > 0 else FLOAT)[0] for c in "ab")
+        size = _size(a, b)
+        numbers = {k: _pack(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :size])) for k, x in (("a", a), ("b", b))}
+        stats = [x for x in t["stats"].to_pylist() if x is not None]
+        return {"kind": kind, "size": size, **numbers, "first": _bits(_bytes(_column(t, "first"))[0]), "stats": [float(x) for x in np.sum(stats, axis=0)] if stats else None}
+
+    def row(block: int, found: list[dict]) -> pa.RecordBatch:
+        kind = pa.list_(pa.struct([("kind", pa.int32()), ("size", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("first", pa.binary()), ("stats", pa.list_(pa.float64()))]))
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([found], kind)], ["block", name])
+
+    last, rows, found = None, [], []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        block, kind = batch["block"].to_numpy(), batch["kind"].to_numpy()
+        edges = [0, *(np.flatnonzero((np.diff(block) != 0) | (np.diff(kind) != 0)) + 1).tolist(), batch.num_rows]
+        for i, j in zip(edges, edges[1:], strict=False):
+            now = (int(block[i]), int(kind[i]))
+            if last is not None and now != last:
+                found.append(packed(rows))
+                rows = []
+                if now[0] != last[0]:
+                    yield row(last[0], found)
+                    found = []
+            last = now
+            rows.append(batch.slice(i, j - i))
+    if last is not None:
+        yield row(last[0], [*found, packed(rows)])
+
+
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows, whose lists of numbers are arrays."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield {c: x[i].values.to_numpy(zero_copy_only=False) if c in ("held", "lens") else x[i].as_py() for c, x in zip(batch.schema.names, batch.columns, strict=True)}
 
 
 def _statistics(r: np.ndarray) -> list[float]:
@@ -224,11 +338,11 @@ class Block:
     training) and other (in held-out documents) over all blocks, and first (whether this block speaks for it).
     """
 
-    def __init__(self, row, parts: int):
-        self.number, self.parts = int(row.block), parts
-        word, tok = _from_gaps(row.keys), _unpack(row.toks, np.uint32).astype(np.int32)
-        self.lens = np.asarray(row.lens, np.int64)
-        self.held = np.repeat(np.asarray(row.held, bool), self.lens)
+    def __init__(self, row: dict, parts: int):
+        self.number, self.parts = int(row["block"]), parts
+        word, tok = _from_gaps(row["keys"]), _unpack(row["toks"], np.uint32).astype(np.int32)
+        self.lens = np.asarray(row["lens"], np.int64)
+        self.held = np.repeat(np.asarray(row["held"], bool), self.lens)
         self.starts = self.lens.cumsum() - self.lens
         self.word, self.keys, self.at = word[tok], [word], [tok]
         self.count: list[np.ndarray] = []
@@ -269,20 +383,21 @@ class Block:
         out[self.at[-1]] = elsewhere & self.before(elsewhere, True)
         return out
 
-    def learn(self, answers: list) -> None:
-        """Counts of the highest order from the answers."""
+    def learn(self, answer: dict | None) -> None:
+        """Counts of the highest order from the answer."""
         asked = self.shared()
         self.count.append((own := self.own())[0])
         self.other.append(own[1])
         self.first.append(~asked)
-        sizes = np.diff(_cuts(self.keys[-1][asked], self.parts))
-        for name, kind in (("count", "a"), ("other", "b")):
-            got = np.concatenate([_unpack(x[kind], np.uint64) for x in answers] or [np.empty(0, np.uint64)]).astype(np.int64)
+        for name, c in (("count", "a"), ("other", "b")):
+            got = _unpacked(answer, c)
             if len(got) != asked.sum():
                 raise ValueError(f"{len(got)} answers to {asked.sum()} questions")
-            getattr(self, name)[-1][asked] = got
-        bits = [_from_bits(x["first"], int(sizes[x["part"]])) for x in answers]
-        self.first[-1][asked] = np.concatenate(bits or [np.empty(0, bool)])
+            all_of = getattr(self, name)
+            all_of[-1][asked] = got
+            if len(all_of[-1]) and all_of[-1].max() < 1 << 31:
+                all_of[-1] = all_of[-1].astype(np.int32)
+        self.first[-1][asked] = _from_bits(answer["first"], int(asked.sum())) if answer else False
 
     @property
     def documents(self) -> int:
@@ -325,37 +440,38 @@ class Block:
         out[at[(r == 0) | (seen[at] > self.sure(d))]] = True
         return out & (seen > 0)
 
-    def above(self, level: int, lower: np.ndarray, d: np.ndarray, answers: list) -> np.ndarray:
-        """Each token's probability at an order from that below and the answers about its contexts."""
+    def above(self, level: int, lower: np.ndarray, d: np.ndarray, answer: dict | None) -> np.ndarray:
+        """Each token's probability at an order from that below and the answer about its contexts."""
         keys, at, seen, _ = self.contexts(level)
         place = np.flatnonzero(self.asks(level, at, seen, d))
-        got = np.concatenate([_unpack(x["a"], np.float64) for x in answers] or [np.empty(0)])
+        got = _unpacked(answer, "a").view(np.float64)
         if len(got) != len(place):
             raise ValueError(f"{len(got)} answers to {len(place)} questions")
-        sizes = np.diff(_cuts(keys[place], self.parts))
-        bits = [_from_bits(x["first"], int(sizes[x["part"]])) for x in answers]
         share, some = np.ones(len(seen)), np.ones(len(seen), bool)
-        share[place], some[place] = got, np.concatenate(bits or [np.empty(0, bool)])
+        share[place], some[place] = got, _from_bits(answer["first"], len(place)) if answer else False
         r, n = self.count[level - 1][self.at[level - 1]], seen[at]
         whole = np.maximum(n + ~some[at], 1).astype(np.float64)
         return np.where(r > 0, _mass(r, d) / whole, np.where(n > 0, share[at] / whole, 1.0) * lower)
 
 
-def _by_kind(answers) -> dict[int, list]:
-    out: dict[int, list] = {}
-    for a in sorted(answers, key=lambda a: (a["kind"], a["part"])):
-        out.setdefault(a["kind"], []).append(a)
-    return out
+def _unpacked(answer: dict | None, column: str) -> np.ndarray:
+    """An answer's numbers, as 64 bits each."""
+    if not answer or not answer[column]:
+        return np.empty(0, np.int64)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(answer[column]), np.uint8).reshape(answer["size"], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : len(planes)] = planes.T
+    return out.view(np.int64).ravel()
 
 
-def _known(row, level: int, parts: int) -> tuple[Block, dict[int, list]]:
-    """A block with the counts of its n-grams up to `level`, and the answers about contexts."""
-    given = _by_kind(a for c in row._fields if c.startswith("answers") and getattr(row, c) is not None for a in getattr(row, c))
+def _known(row: dict, level: int, parts: int) -> tuple[Block, dict[int, dict]]:
+    """A block with the counts of its n-grams up to `level`, and the answers by kind."""
+    given = {a["kind"]: a for c in row if c.startswith("answers") and row[c] is not None for a in row[c]}
     block = Block(row, parts)
     for k in range(1, level + 1):
         if k > 1:
             block.longer()
-        block.learn(given.get(k, []))
+        block.learn(given.get(k))
     return block, given
 
 
@@ -393,31 +509,26 @@ class Tables:
 
     def exchange(self, ask, kinds: int) -> None:
         """Every block's questions, and their answers in one more table. ask: a block's row -> frames of questions."""
-        spark, most = self.spark, "spark.sql.execution.arrow.maxRecordsPerBatch"
-        asks = self.blocks().mapInPandas(lambda batches: (f for b in batches for row in b.itertuples(index=False) for f in ask(row)), _ASK)
-        laid = asks.repartitionById(max(1, kinds * self.parts), F.col("at")).drop("at")
+        spark, parts = self.spark, self.parts
+        asks = self.blocks().drop("ids").mapInArrow(lambda batches: (f for row in _rows(batches) for f in ask(row) if f.num_rows), _ASK)
+        laid = asks.repartitionById(max(1, kinds * parts), F.col("at")).drop("at")
 
-        def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            rows = [b for b in batches if len(b)]
+        def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows = [b for b in batches if b.num_rows]
             if rows:
-                for _, mine in pd.concat(rows, ignore_index=True).groupby("kind"):
-                    yield _answered(mine)
-
-        name = f"{self.label}_{len(self.names)}"
-        out = laid.mapInPandas(answer, _ANSWER).repartition(self.buckets, "block")
-        out = out.groupBy("block").agg(F.collect_list(F.struct("kind", "part", "a", "b", "first", "stats")).alias(f"answers{len(self.names)}"))
-        before = spark.conf.get(most)
-        spark.conf.set(most, "1")
-        try:
-            out.write.bucketBy(self.buckets, "block").saveAsTable(name)
-        finally:
-            spark.conf.set(most, before)
+                t = pa.Table.from_batches(rows)
+                for k in np.unique(t["kind"].to_numpy()).tolist():
+                    yield from _answered(t.filter(pa.compute.equal(t["kind"], k)), parts)
+
+        name, told = f"{self.label}_{len(self.names)}", f"answers{len(self.names)}"
+        out = laid.mapInArrow(answer, _ANSWER).repartition(self.buckets, "block").sortWithinPartitions("block", "kind", "part")
+        out.mapInArrow(lambda batches: _gathered(batches, told), f"block long, {told} {_TOLD}").write.bucketBy(self.buckets, "block").saveAsTable(name)
         self.names.append(name)
         del asks, laid, out
         _rid(spark)
 
     def statistics(self, level: int) -> list[float]:
-        """Sums over the partitions of an order, a row a partition."""
+        """Sums over the partitions of an order."""
         i = len(self.names) - 1
         rows = self.spark.table(self.names[i]).where("block = -1").select(F.explode(f"answers{i}").alias("a")).where(F.col("a.kind") == level)
         got = rows.agg(*(F.sum(F.col("a.stats")[k]).alias(f"s{k}") for k in range(GT + 3))).first()
@@ -428,10 +539,10 @@ class Tables:
             self.spark.sql(f"drop table if exists {name}")
 
 
-def _probabilities(block: Block, given: dict[int, list], level: int, uni: Unigrams, d: tuple) -> np.ndarray:
+def _probabilities(block: Block, given: dict[int, dict], level: int, uni: Unigrams, d: tuple) -> np.ndarray:
     p = uni(block.count[0][block.at[0]])
     for k in range(2, level + 1):
-        p = block.above(k, p, d[k - 1], given.get(-k, []))
+        p = block.above(k, p, d[k - 1], given.get(-k))
     return p
 
 
@@ -444,7 +555,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     table gives an empty one. Other columns aren't read.
     """
     spark = docs.sparkSession
-    most = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    most = "spark.sql.execution.arrow.maxBytesPerBatch"
     before = spark.conf.get(most)
     small_batches(spark)
     scratch = Scratch(spark, "katz")
@@ -457,7 +568,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
         # with fewer buckets than a shuffle has partitions, the planner would shuffle the blocks as well
         rows.mapInPandas(lambda batches: _blocks(batches, block_tokens), kind).write.bucketBy(tables.buckets, "block").saveAsTable(label)
         tables.parts = parts = max(1, -(-(spark.table(label).agg(F.sum("n")).first()[0] or 0) // part_tokens))
-        spark.conf.set(most, "1")
+        spark.conf.set(most, str(BATCH_BYTES))
         d: list[np.ndarray] = []
         stats: list[list[float]] = []
 
@@ -465,7 +576,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
             """What a block asks: about n-grams of `level` (0: none) and contexts of `of_level` (0: none)."""
             ways, uni = tuple(d), Unigrams(stats[0], d[0]) if d else None
 
-            def ask(row) -> Iterator[pd.DataFrame]:
+            def ask(row: dict) -> Iterator[pa.RecordBatch]:
                 block, given = _known(row, level - 1 if level else of_level, parts)
                 if of_level:
                     keys, left, units, asked = block.gives(of_level, _probabilities(block, given, of_level - 1, uni, ways), ways[of_level - 1])
@@ -475,10 +586,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
                         block.longer()
                     want = block.shared()
                     a, b = block.own()
-                    rest = _pack(np.array(_statistics(a[~want])))  # what nobody is asked about, to be added up
                     one = block.number % parts
-                    yield pd.DataFrame([(one, level, one, block.number, b"", rest, b"", b"")], columns=_NAMES)
-                    yield _asks(block.number, level, 0, block.keys[-1][want], a[want].astype(np.uint32), b[want].astype(np.uint32), np.zeros(0, bool), parts)
+                    yield _told(one, level, one, block.number, _statistics(a[~want]))  # what nobody is asked about
+                    if level == order:
+                        b[:] = 0  # no longer n-gram has one of these as its context
+                    yield _asks(block.number, level, 0, block.keys[-1][want], a[want], b[want], np.zeros(0, bool), parts)
 
             return ask
 
@@ -490,18 +602,18 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
             tables.exchange(questions(0, order), 1)
         ways, uni, (total, known) = tuple(d), Unigrams(stats[0], d[0]), stats[0][:2]
 
-        def rate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                for row in b.itertuples(index=False):
-                    block, given = _known(row, order, parts)
-                    n = len(block.lens)
-                    doc = np.repeat(np.arange(n, dtype=np.int32), block.lens)
-                    c = block.count[0][block.at[0]]
-                    base = np.bincount(doc, np.log10((c + 1) / (total + known + 1)), minlength=n)
-                    p = _probabilities(block, given, order, uni, ways)
-                    yield pd.DataFrame({"id": pd.Series(list(row.ids), dtype=object), "held_out": np.asarray(row.held, bool), "n_tokens": block.lens, "n_known": np.bincount(doc, c > 0, minlength=n).astype(np.int64), "train_tokens": int(total), "base_score": base, "score": np.bincount(doc, np.log10(p), minlength=n)})
-
-        out = scratch.write(tables.blocks().mapInPandas(rate, "id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"))
+        def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for row in _rows(batches):
+                block, given = _known(row, order, parts)
+                n = len(block.lens)
+                doc = np.repeat(np.arange(n, dtype=np.int32), block.lens)
+                c = block.count[0][block.at[0]]
+                base = np.bincount(doc, np.log10((c + 1) / (total + known + 1)), minlength=n)
+                p = _probabilities(block, given, order, uni, ways)
+                numbers = {"n_tokens": block.lens, "n_known": np.bincount(doc, c > 0, minlength=n).astype(np.int64), "train_tokens": np.full(n, int(total)), "base_score": base, "score": np.bincount(doc, np.log10(p), minlength=n)}
+                yield pa.RecordBatch.from_pydict({"id": pa.array(row["ids"], pa.string()), "held_out": np.asarray(row["held"], bool), **numbers})
+
+        out = scratch.write(tables.blocks().mapInArrow(rate, "id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"))
     finally:
         spark.conf.set(most, before)
         tables.drop()
