@@ -314,9 +314,8 @@ def similar_links(docs: DataFrame, nodes: DataFrame, scratch: Scratch, id_col: s
             yield pd.Series([_set(t, shingle).view(np.int64) for t in some], dtype=object)
 
     def linkable(rows: DataFrame, sets: DataFrame) -> DataFrame:
-        """The rows with how many shingles of each node others among them have too; without nodes that have too few for any link."""
-        here = sets.join(rows.select("node").distinct(), "node", "left_semi")
-        lone = here.groupBy("gram").agg(F.min("node").alias("node"), F.count("*").alias("n")).where("n = 1").groupBy("node").agg(F.count("*").alias("lone"))
+        """The rows with how many shingles of each node other nodes have too, by the nodes' sets; without nodes that have too few for any link."""
+        lone = sets.groupBy("gram").agg(F.min("node").alias("node"), F.count("*").alias("n")).where("n = 1").groupBy("node").agg(F.count("*").alias("lone"))
         told = rows.join(lone, "node", "left").withColumn("shared", F.col("n") - F.coalesce("lone", F.lit(0))).drop("lone")
         return scratch.write(told.where(F.col("shared") * under >= F.col("n") * over))
 
@@ -330,9 +329,20 @@ def similar_links(docs: DataFrame, nodes: DataFrame, scratch: Scratch, id_col: s
         return found
     mine = texts.withColumnRenamed("id", "node").join(crowded.select("node").distinct(), "node", "left_semi")
     sets = scratch.write(mine.select("node", F.explode(grams("t")).alias("gram")))
-    most = PAIRS * met.count()
+    most, counted = PAIRS * met.count(), 0
+
+    def pruned(rows: DataFrame, turn: int) -> DataFrame:
+        """linkable(), worked out anew only where half of the nodes have gone: what was shared then is no less than what is now, and
+        all turns together read no more than twice the first one's shingles."""
+        nonlocal counted
+        now = rows.select("node").distinct().count()
+        if turn and 2 * now > counted:
+            return rows
+        counted = now
+        return linkable(rows, sets.join(rows.select("node").distinct(), "node", "left_semi") if turn else sets)
+
     for turn in range(STARS):
-        crowded = linkable(mixed(crowded, found) if turn else crowded, sets)
+        crowded = pruned(mixed(crowded, found) if turn else crowded, turn)
         pairs = crowded.groupBy("key").agg((F.count("*") * (F.count("*") - 1) / 2).alias("n")).agg(F.sum("n")).first()[0] or 0
         if turn and pairs <= most:
             break
@@ -341,7 +351,7 @@ def similar_links(docs: DataFrame, nodes: DataFrame, scratch: Scratch, id_col: s
         # a middle has met all others of its bucket
         crowded = scratch.write(crowded.join(middle.select("key", F.col("x.node").alias("node")), ["key", "node"], "left_anti"))
     else:
-        crowded = linkable(mixed(crowded, found), sets)
+        crowded = pruned(mixed(crowded, found), STARS)
     mine = mine.join(crowded.select("node").distinct(), "node", "left_semi").select("node", parities("t").alias("o"))
     crowded = scratch.write(crowded.join(mine.select("node", *(F.col("o")[i].alias(f"o{i}") for i in range(ODD))), "node"))
     return scratch.write(found.unionByName(checked(across(crowded, ODD), done)))
