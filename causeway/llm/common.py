@@ -41,10 +41,13 @@ class Recent:
     def __init__(self, most: int):
         self.young, self.old, self.most = {}, {}, most // 2
 
-    def missing(self, keys: set) -> list:
-        """The keys that aren't known, in order; known ones are in young afterwards, until the next call."""
+    def turn(self) -> None:
         if len(self.young) > self.most:
             self.young, self.old = {}, self.young
+
+    def missing(self, keys: set) -> list:
+        """The keys that aren't known, in order; known ones are in young afterwards, until the next call."""
+        self.turn()
         young, old, out = self.young, self.old, []
         for k in keys.difference(young):
             if k in old:

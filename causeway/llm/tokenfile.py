@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,9 +32,11 @@ STRIPE_BYTES = 8 << 20
 _CACHE, _LONGEST, _GROUP = 800_000, 64, 1_000
 MARK, MARK_BYTE = "~", b"~"
 _LOWER = bytes(32 if c == 10 else c + 32 if 65 <= c <= 90 else c for c in range(256))
-#: Words that no step before the model changes or splits: small letters of Latin-1.
-_SMALL = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
-_STOPS = (b".", b",")
+#: Words that no step before the model changes or splits, small letters of Latin-1, and ASCII marks after them, which are a token of
+#: their own; the apostrophe may make one with letters, and special tokens have "<|".
+_ENDED = re.compile("([a-z\u00df-\u00f6\u00f8-\u00ff]+)([!-&(-/:;=>?@[-`{}]*)")
+#: Texts whose words are told apart at once.
+_TEXTS = 512
 
 
 def default_path() -> str:
@@ -69,7 +72,7 @@ class WordEncoder:
 
         made = json.loads(data)
         suffix, split = made["model"].get("end_of_word_suffix"), made.get("pre_tokenizer") or {}
-        if not suffix or made["model"].get("dropout") or split.get("type") != "Sequence" or "p{L}" not in str(split) or any(x["type"] not in ("NFC", "Lowercase", "Replace") for x in (made.get("normalizer") or {}).get("normalizers", [])):
+        if not suffix or made["model"].get("dropout") or split.get("type") != "Sequence" or r"|[^\s\p{L}\p{N}]+" not in str(split).replace("\\\\", "\\") or any(x["type"] not in ("NFC", "Lowercase", "Replace") for x in (made.get("normalizer") or {}).get("normalizers", [])):
             return None, None
         level = [x for x in split["pretokenizers"] if x["type"] == "ByteLevel"]
         made |= {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, *level]}}
@@ -88,13 +91,18 @@ class WordEncoder:
 
     def _learn(self, words: list[bytes]) -> None:
         if self.model is not None:
-            # a full stop or comma after letters is a token of its own
-            stopped = [w for w in words if w[-1:] in _STOPS and _SMALL.fullmatch(w[:-1].decode("utf-8"))]
-            stems = {w[:-1] for w in stopped}
-            small = [t for w in stems.union(words) - stems.intersection(self.known) if _SMALL.fullmatch(t := w.decode("utf-8"))]
-            self._letters(sorted(small))
-            self._plain([x for x in _STOPS if x not in self.known])
-            self.known.update((w, self.known[w[:-1]] + self.known[w[-1:]]) for w in stopped if w[:-1] in self.known)
+            found = list(map(_ENDED.fullmatch, b"\n".join(words).decode("utf-8").split("\n"))) if words else []
+            parts = [(w, m[1].encode(), m[2].encode()) for w, m in zip(words, found, strict=True) if m and m[2]]
+            known, old = self.known, self.recent.old
+            small = {m[1] for m in found if m and not m[2]}
+            for stem in {stem for _, stem, _ in parts}.difference(known):
+                if stem in old:
+                    known[stem] = old[stem]
+                else:
+                    small.add(stem.decode("utf-8"))
+            self._letters(list(small))
+            self._plain(sorted({x for _, _, x in parts}.difference(known)))
+            known.update((w, known[stem] + known[x]) for w, stem, x in parts if stem in known)
         self._plain([w for w in words if w not in self.known])
 
     def _plain(self, words: list[bytes]) -> None:
@@ -140,6 +148,45 @@ class WordEncoder:
                 known.pop(x, None)
         return out
 
+    def column(self, texts: pa.Array, end: int) -> pa.Array:
+        """Each text's ids with `end` after them, as lists. Words are told apart in Arrow; Python sees each one once a batch."""
+        offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        data = texts.buffers()[2].slice(offsets[0], offsets[-1] - offsets[0]).to_pybytes() if texts.buffers()[2] else b""
+        offsets = offsets - offsets[0]
+        low = data.translate(_LOWER)
+        if b"<|" in data:
+            edges = offsets.tolist()
+            low = b"".join(x.replace(b"\n", b" ") if b"<|" in (x := data[i:j]) else low[i:j] for i, j in zip(edges, edges[1:], strict=False))
+        letters = np.frombuffer(low, np.uint8)
+        space = letters == 32
+        # a word ends at a space, or where its text ends, which comes before a space at the same place
+        ends = np.sort(np.concatenate([2 * offsets[1:], 2 * np.flatnonzero(space) + 1]), kind="stable")
+        last = np.flatnonzero(ends % 2 == 0)
+        at = np.append(0, ends // 2 - (ends % 2).cumsum() + ends % 2).astype(np.int32)  # without the spaces
+        coded = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(at), pa.py_buffer(letters[~space])]).dictionary_encode()
+        del data, low, letters, space, ends, at
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self.recent.turn()
+        known, old = self.known, self.recent.old
+        found = list(map(known.get, words))
+        places = [i for i, x in enumerate(found) if x is None]
+        for i in places:
+            if (x := old.get(words[i])) is not None:
+                found[i] = known[words[i]] = x
+        places = [i for i in places if found[i] is None]
+        new = [words[i] for i in places]
+        self._learn(new)
+        for i in places:
+            found[i] = known[words[i]]
+        for x in new:
+            if len(x) > _LONGEST:
+                known.pop(x, None)
+        lens = np.fromiter(map(len, found), np.int64, len(found))
+        of_word = pa.Array.from_buffers(pa.large_binary(), len(found), [None, pa.py_buffer(np.append(0, lens.cumsum())), pa.py_buffer(b"".join(found))])
+        ids = np.frombuffer(of_word.take(coded.indices).buffers()[2] or b"", "<i4")
+        sizes = (lens // 4)[coded.indices.to_numpy()].cumsum()[last]
+        return pa.ListArray.from_arrays(pa.array(np.append(0, sizes + np.arange(1, len(last) + 1)).astype(np.int32)), pa.array(np.insert(ids[: sizes[-1]] if len(last) else ids, sizes, end).astype(np.int32)))
+
 
 _ENCODERS: dict[str, WordEncoder] = {}
 
@@ -165,19 +212,21 @@ def write(docs: DataFrame, path: str, model_path: str | None = None, id_col: str
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     files = max(1, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // file_bytes))
 
-    def encode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        tail = np.array([end], "<i4").tobytes()
         encoder, first, number = encoder_of(shared.value), 0, TaskContext.get().partitionId()
         for part in parts:
-            ids = [np.frombuffer(x + tail, "<i4") for x in encoder(part["text"].tolist())]
-            sizes = np.array([len(x) for x in ids], np.int64)
-            before = first + np.cumsum(sizes) - sizes
-            first += int(sizes.sum())
-            yield pd.DataFrame({"part": number, "doc_id": part["doc_id"], "first": before, "n_tokens": sizes, "ids": ids})
+            for at in range(0, part.num_rows, _TEXTS):
+                some = part.slice(at, _TEXTS)
+                ids = encoder.column(some["text"], end)
+                before = ids.offsets.to_numpy().astype(np.int64)
+                columns = [pa.array(np.full(some.num_rows, number, np.int32)), some["doc_id"], pa.array(first + before[:-1]), pa.array(np.diff(before)), ids]
+                first += int(before[-1])
+                yield pa.RecordBatch.from_arrays(columns, ["part", "doc_id", "first", "n_tokens", "ids"])
+                pa.default_memory_pool().release_unused()
 
     laid = rows.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text").select(F.col("doc_id").cast("string"), "text")
-    out = laid.mapInPandas(encode, "part int, doc_id string, first long, n_tokens long, ids array<int>").withColumn("doc_id", F.col("doc_id").cast("long"))
+    out = laid.mapInArrow(encode, "part int, doc_id string, first long, n_tokens long, ids array<int>").withColumn("doc_id", F.col("doc_id").cast("long"))
     settings = {"orc.bloom.filter.columns": "doc_id", "orc.create.index": "true", "orc.row.index.stride": str(ROWS), "orc.stripe.size": str(STRIPE_BYTES), "compression": "zstd"}
     out.write.options(**settings).orc(path)
 
