@@ -8,9 +8,10 @@ one place below the unigrams.
 Documents are cut into blocks of tokens, which stay where they are. Order by order, a block asks for its distinct
 n-grams, with its own counts; tables partitioned by n-gram hash add up what all blocks bring and answer each
 block in its order. An n-gram isn't asked for if no other block has its context, or its last words: its counts
-are known then. Contexts are asked for what their n-grams leave, by blocks that need it; only contexts that
-occur in held-out text, or may have no discounted n-gram, get anything. No key meets more than one row a block,
-however frequent it is, and no vocabulary is held anywhere as a whole.
+are known then. Contexts are asked for what their n-grams leave, by blocks that have an unseen n-gram of theirs;
+by others, if it isn't certain, only for whether anything is left. Only contexts that occur in held-out text, or
+may have no discounted n-gram, get anything. No key meets more than one row a block, however frequent it is, and
+no vocabulary is held anywhere as a whole.
 """
 
 from __future__ import annotations
@@ -50,6 +51,8 @@ BATCH_BYTES = 1 << 20
 #: Of gaps between keys, counts, floating numbers and sums of UNIT, so many low bytes of each stand together; the rest, mostly zeros,
 #: stands in a column of its own.
 GAP, COUNT, FLOAT, SUM = 6, 1, 8, UNIT // 8
+#: What is asked of a context: nothing, whether something is left, or how much as well.
+NOTHING, WHETHER, SHARE = range(3)
 _ASK = "at int, kind int, part int, block long, keys binary, keys_up binary, a binary, a_up binary, b binary, b_up binary, asked binary"
 _ANSWER = "block long, kind int, part int, a binary, a_up binary, b binary, b_up binary, first binary, stats array<double>"
 _TOLD = "array<struct<kind int, size int, a binary, b binary, first binary, stats array<double>>>"
@@ -202,9 +205,9 @@ def _answered(rows: pa.Table, parts: int) -> Iterator[pa.RecordBatch]:
     """One partition's answers.
 
     Of n-grams (kind > 0): their counts in training and in held-out documents over all blocks, and which block is
-    the first that asked; besides, a row of statistics. Of contexts (kind < 0), to those who ask: what their
-    n-grams leave over 1 - the lower orders' probabilities of them (or 1 over that, if nothing is left), and
-    whether something is left.
+    the first that asked; besides, a row of statistics. Of contexts (kind < 0), to those who ask: whether their
+    n-grams leave something, and, if asked for, what they leave over 1 - the lower orders' probabilities of them
+    (or 1 over that, if nothing is left).
     """
     kind, part = rows["kind"][0].as_py(), rows["part"][0].as_py()
     rows = rows.sort_by("block").combine_chunks()
@@ -236,10 +239,11 @@ def _answered(rows: pa.Table, parts: int) -> Iterator[pa.RecordBatch]:
         left = np.bincount(at, a.view(np.float64), minlength=int(new.sum()))
         lower = np.bincount(at, b.astype(np.float64), minlength=len(left)) / (1 << UNIT)
         share = np.where(left > 0, left, 1.0) / np.maximum(1 - lower, 1e-300)
-        asked = _bytes(_column(rows, "asked"))[0].astype(bool)
-        mine, ends = at[asked], np.append(0, asked.cumsum())[ends]
+        asked = _bytes(_column(rows, "asked"))[0]
+        wide, some = asked == SHARE, asked > NOTHING
+        to = lambda mask: np.append(0, mask.cumsum())[ends]
         empty = _pieces(np.empty(0, np.uint8), ends * 0)
-        yield pa.RecordBatch.from_arrays([*head, _pieces(share[mine].view(np.uint8), ends * 8), empty, empty, empty, _pieces((left[mine] > 0).view(np.uint8), ends), none], _names(_ANSWER))
+        yield pa.RecordBatch.from_arrays([*head, _pieces(share[at[wide]].view(np.uint8), to(wide) * 8), empty, empty, empty, _pieces((left[at[some]] > 0).view(np.uint8), to(some)), none], _names(_ANSWER))
 
 
 def _gathered(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.RecordBatch]:
@@ -426,7 +430,7 @@ class Block:
         units = np.bincount(where, np.rint(lower[one[mine]] * (1 << UNIT)), minlength=len(keys)).astype(np.uint64)  # at most 2 ** UNIT: exact
         brings = np.bincount(where, minlength=len(keys)) > 0
         asked = self.asks(level, at, seen, d)
-        some = brings | asked
+        some = brings | (asked > NOTHING)
         return keys[some], left[some], units[some], asked[some]
 
     @staticmethod
@@ -435,20 +439,24 @@ class Block:
         return GT if (d[1:] < 1).all() else 0
 
     def asks(self, level: int, at: np.ndarray, seen: np.ndarray, d: np.ndarray) -> np.ndarray:
+        """What this block asks of each context: its share for an n-gram that training hasn't seen, else at most whether something is left."""
         r = self.count[level - 1][self.at[level - 1]]
-        out = np.zeros(len(seen), bool)
-        out[at[(r == 0) | (seen[at] > self.sure(d))]] = True
-        return out & (seen > 0)
+        out = np.full(len(seen), NOTHING, np.uint8)
+        out[at[seen[at] > self.sure(d)]] = WHETHER
+        out[at[r == 0]] = SHARE
+        out[seen == 0] = NOTHING
+        return out
 
     def above(self, level: int, lower: np.ndarray, d: np.ndarray, answer: dict | None) -> np.ndarray:
         """Each token's probability at an order from that below and the answer about its contexts."""
         keys, at, seen, _ = self.contexts(level)
-        place = np.flatnonzero(self.asks(level, at, seen, d))
+        asked = self.asks(level, at, seen, d)
+        place, wide = np.flatnonzero(asked), np.flatnonzero(asked == SHARE)
         got = _unpacked(answer, "a").view(np.float64)
-        if len(got) != len(place):
-            raise ValueError(f"{len(got)} answers to {len(place)} questions")
+        if len(got) != len(wide) or (len(place) and not answer):
+            raise ValueError(f"{len(got)} answers to {len(wide)} questions of {len(place)}")
         share, some = np.ones(len(seen)), np.ones(len(seen), bool)
-        share[place], some[place] = got, _from_bits(answer["first"], len(place)) if answer else False
+        share[wide], some[place] = got, _from_bits(answer["first"], len(place)) if answer else False
         r, n = self.count[level - 1][self.at[level - 1]], seen[at]
         whole = np.maximum(n + ~some[at], 1).astype(np.float64)
         return np.where(r > 0, _mass(r, d) / whole, np.where(n > 0, share[at] / whole, 1.0) * lower)
