@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,10 +17,15 @@ SMALL = 100_000
 SMALL_BYTES = 32 << 20
 
 
+def few(df: DataFrame, rows: int = SMALL, size: int = SMALL_BYTES) -> bool:
+    """Whether the rows are few and, as text, not large."""
+    n, length = df.limit(rows + 1).agg(F.count("*"), F.sum(F.length(F.to_json(F.struct(*df.columns))))).first()
+    return n <= rows and (length or 0) <= size
+
+
 def small(df: DataFrame, rows: int = SMALL, size: int = SMALL_BYTES) -> DataFrame:
     """The frame, marked for broadcast if its rows are few and, as text, not large; others are left to the optimizer."""
-    n, length = df.limit(rows + 1).agg(F.count("*"), F.sum(F.length(F.to_json(F.struct(*df.columns))))).first()
-    return F.broadcast(df) if n <= rows and (length or 0) <= size else df
+    return F.broadcast(df) if few(df, rows, size) else df
 
 
 def unique_match(left: DataFrame, right: DataFrame, key: str, target: str) -> DataFrame:
@@ -77,6 +84,27 @@ def best_match(rows: DataFrame, library: DataFrame, pairs: Sequence[tuple[str, s
     return keep_best(met.withColumn("score", score), ids, [F.desc("score"), *order])
 
 
+def best_agreement(rows: DataFrame, library: DataFrame, pairs: Sequence[tuple[str, str]], score: Callable[[Sequence[Column]], Column], ids: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """As `best_match`, for scores that take nothing of a row but which pairs agree, and don't fall when more of them do.
+
+    For each choice of pairs the best entry of a key is found in the library alone, so a row meets one entry a choice
+    and not all of its key. An entry that agrees in more than it was chosen for is met with its own score as well.
+    """
+    share = F.broadcast if few(library) else lambda df: df
+    met, found = rows, []
+    for agree in product((True, False), repeat=len(pairs)):
+        if not any(agree):
+            continue
+        keys, name = [p for p, yes in zip(pairs, agree) if yes], f"_m{len(found)}"
+        best = keep_best(library.withColumn("score", score([F.lit(yes) for yes in agree])), [b for _, b in keys], [F.desc("score"), *order])
+        first = F.struct(F.col("score").isNull(), -F.col("score"), *order, F.struct(*library.columns, "score").alias("entry"))
+        best = best.select(*(F.col(b).alias(f"{name}_{b}") for _, b in keys), first.alias(name))
+        met = met.join(share(best), reduce(lambda x, y: x & y, (F.col(a) == F.col(f"{name}_{b}") for a, b in keys)), "left")
+        found.append(name)
+    met = met.select(*rows.columns, F.array_min(F.array(*found))["entry"].alias("_entry")).where("_entry is not null").select(*rows.columns, "_entry.*")
+    return keep_best(met, ids, [F.desc("score"), *order])
+
+
 def upsert(base: DataFrame, changes: DataFrame, key: Sequence[str]) -> DataFrame:
     """Rows of the base replaced by changes with the same key, new ones appended; null changes let the base through."""
     values = [c for c in base.columns if c not in key]

@@ -393,7 +393,7 @@ _PRIOR = "round(least(case when p_brand = category then 0.45 else 0 end + case w
 
 def _library(spark, d):
     parts = t(spark, d, "part").groupBy("p_brand", "p_type").agg(F.count("*").alias("support"), F.round(F.avg("p_size") / 50, 4).alias("confidence")).where("support >= 3")
-    lib = parts.select(F.row_number().over(W.orderBy("p_brand", "p_type")).alias("pattern_id"), F.col("p_brand").alias("category"), F.col("p_type").alias("operation"), "support", "confidence")
+    lib = parts.select(F.row_number().over(W.orderBy(F.asc_nulls_last("p_brand"), F.asc_nulls_last("p_type"))).alias("pattern_id"), F.col("p_brand").alias("category"), F.col("p_type").alias("operation"), "support", "confidence")
     return lib.crossJoin(F.broadcast(lib.agg(F.max("support").alias("m"))))
 
 
@@ -403,9 +403,9 @@ select p_partkey, pattern_id, score from (select p_partkey, pattern_id, score, r
   select p_partkey, pattern_id, {_PRIOR} as score from part join l2 on p_brand = category or p_type = operation)) where rn = 1
 """)
 def theta_best_match(spark, d):
-    score = C.prior_score(F.col("p_brand") == F.col("category"), F.col("p_type") == F.col("operation"), F.col("support"), F.col("m"), F.col("confidence"), F.lit(0.0))
+    score = lambda agree: C.prior_score(*agree, F.col("support"), F.col("m"), F.col("confidence"), F.lit(0.0))
     parts = t(spark, d, "part").select("p_partkey", "p_brand", "p_type")
-    best = J.best_match(parts, J.small(_library(spark, d)), [("p_brand", "category"), ("p_type", "operation")], score, ["p_partkey"], ["pattern_id"])
+    best = J.best_agreement(parts, _library(spark, d), [("p_brand", "category"), ("p_type", "operation")], score, ["p_partkey"], ["pattern_id"])
     return best.select("p_partkey", F.col("pattern_id").cast("long").alias("pattern_id"), "score")
 
 
