@@ -498,7 +498,8 @@ def _token_overlap(items, documents):
     q = items.select("item_id", tok("text").alias("w"))
     docs = documents.select("doc_id", F.explode(tok("text")).alias("word"))
     met = q.select("item_id", F.size("w").alias("n"), F.explode("w").alias("word")).join(docs, "word").groupBy("item_id", "doc_id", "n").agg(F.count("*").alias("k"))
-    return R.keep_best(met, ["item_id"], [F.desc(F.col("k") / F.col("n")), "doc_id"]).select("item_id", "doc_id", F.round(F.col("k") / F.col("n"), 4).alias("score"))
+    first = met.groupBy("item_id", "n", "k").agg(F.min("doc_id").alias("doc_id"))  # an item has n counts at most, so its documents needn't be sorted
+    return R.keep_best(first, ["item_id"], [F.desc(F.col("k") / F.col("n")), F.asc_nulls_last("doc_id")]).select("item_id", "doc_id", F.round(F.col("k") / F.col("n"), 4).alias("score"))
 
 
 @query("""

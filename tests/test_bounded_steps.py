@@ -17,3 +17,19 @@ def test_theta_ranks_one_row_a_part(spark, tmp_path, monkeypatch):
     db.execute(f"create view part as select * from read_parquet('{tmp_path}/part.parquet/*.parquet')")
     assert got == sorted(db.execute(queries.ORACLE_SQL["theta_best_match"]).fetchall())
     assert max(ranked) <= len(rows)
+
+
+def test_token_overlap_ranks_counts(spark, tmp_path, monkeypatch):
+    words = [f"word{i}" for i in range(12)]
+    docs = [(i, " ".join(words[j] for j in range(12) if (i * 7 + j * j) % (2 + i % 5) == 0)) for i in range(60)] + [(None, " ".join(words)), (99, None), (98, " ".join(words[:6]))]
+    items = [(1, " ".join(words[:6])), (2, "Word7 word8 word9 word9 of"), (3, "word11 unseen"), (4, "nothing of these")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    ranked, best = [], queries.R.keep_best
+    monkeypatch.setattr(queries.R, "keep_best", lambda df, *a: ranked.append(df.count()) or best(df, *a))
+    got = sorted(map(tuple, queries.QUERIES["token_overlap"](spark, str(tmp_path)).select("item_id", "doc_id", "score").collect()))
+    db = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        db.execute(f"create view {t} as select * from read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    assert got == sorted(db.execute(queries.ORACLE_SQL["token_overlap"]).fetchall())
+    assert max(ranked) <= 6 + 3 + 2
