@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -71,24 +69,27 @@ def _numbered(snippet: str | None) -> str | None:
     """One pass over marks, words and the rest; words without a class are numbered as they come up."""
     if snippet is None:
         return None
-    numbers: dict[str, str] = {}
-    out = []
-    for mark, word, rest in _PIECES.findall(snippet):
+    marks: dict[str, str] = {}  # of the words met so far that no set has
+    n, out = 0, []
+    for piece in _PIECES.finditer(snippet):
+        word = piece[0]
+        if piece.lastindex != 2:
+            out.append(word)
+            continue
         low = word.lower()
-        if not word:
-            out.append(mark or rest)
-        elif low in _EXACT:
+        if low in _EXACT:
             out.append(_EXACT[low] or word)
-        else:
+            continue
+        if low not in marks:
             hint = next((m for h, m in _HINTS if h in low), None)
-            out.append(hint or numbers.setdefault(low, f"<var{len(numbers) + 1}>"))
+            n += not hint
+            marks[low] = hint or f"<var{n}>"
+        out.append(marks[low])
     return " ".join("".join(out).split())
 
 
-@F.pandas_udf(T.StringType())
-def numbered(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in parts:
-        yield s.map(_numbered)
+#: Whole texts go to Python in rows, a hundred at a time: an Arrow batch has 10,000, of whatever length.
+numbered = F.udf(_numbered, T.StringType(), useArrow=False)
 
 
 def template(c: Column) -> Column:
@@ -119,10 +120,7 @@ def first_json(text: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf(T.StringType())
-def json_object(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in parts:
-        yield s.map(first_json)
+json_object = F.udf(first_json, T.StringType(), useArrow=False)
 
 
 def without_fence(c: Column) -> Column:
@@ -156,7 +154,4 @@ def without_fixes(text: str | None, macro: str = "MAGMA_ENABLE_FIXES") -> str |
     return "\n".join(out)
 
 
-@F.pandas_udf(T.StringType())
-def unfixed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in parts:
-        yield s.map(without_fixes)
+unfixed = F.udf(without_fixes, T.StringType(), useArrow=False)

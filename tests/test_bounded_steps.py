@@ -3,6 +3,7 @@
 import duckdb
 
 from causeway import queries
+from causeway.functions import text
 from causeway.operators import joins
 
 
@@ -33,3 +34,13 @@ def test_token_overlap_ranks_counts(spark, tmp_path, monkeypatch):
         db.execute(f"create view {t} as select * from read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
     assert got == sorted(db.execute(queries.ORACLE_SQL["token_overlap"]).fetchall())
     assert max(ranked) <= 6 + 3 + 2
+
+
+def test_whole_texts_go_to_python_in_small_batches(spark, tmp_path):
+    spark.createDataFrame([(i, f"call(name{i}, len, {i}) name{i} other" if i % 9 else None) for i in range(250)], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    df = queries.QUERIES["template_normalise_documents"](spark, str(tmp_path))
+    got = {r.doc_id: r.template for r in df.collect()}
+    assert len(got) == 250 and all(v == ("<var1>(<var2>, <size_var>, <int>) <var2> <var3>" if i % 9 else None) for i, v in got.items())
+    frames = [df, *(spark.createDataFrame([("x",)], "text string").select(f("text")) for f in (text.json_object, text.unfixed))]
+    plans = [f._jdf.queryExecution().executedPlan().toString() for f in frames]
+    assert all("BatchEvalPython" in p and "Arrow" not in p for p in plans)  # Arrow batches have 10,000 rows
