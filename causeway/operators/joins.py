@@ -72,16 +72,22 @@ def band_join(left: DataFrame, right: DataFrame, key: Sequence[str], at: str, ot
     return keep_best(met, ids, ["gap", *order])
 
 
-def best_match(rows: DataFrame, library: DataFrame, pairs: Sequence[tuple[str, str]], score: Column, ids: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
+def best_match(rows: DataFrame, library: DataFrame, pairs: Sequence[tuple[str, str]], score: Callable[[Column], Column], ids: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The best library entry that agrees with a row in at least one of the (row column, library column) pairs.
 
-    One equi-join a pair instead of a nested loop; an entry that agrees in several is met several times and kept once.
+    One equi-join a pair with the entries of a key in a list, instead of a nested loop. `score` takes an entry, and the
+    best one is found within the row, so that no task holds or sorts a row for each entry met.
     """
-    met = None
-    for a, b in pairs:
-        part = rows.join(library, F.col(a) == F.col(b))
-        met = part if met is None else met.unionByName(part)
-    return keep_best(met.withColumn("score", score), ids, [F.desc("score"), *order])
+    share = F.broadcast if few(library) else lambda df: df
+    last = F.lit(float("inf"))  # where there is no score
+    first = lambda e: F.struct(F.coalesce(-score(e), last).alias("_o"), *(e[c].alias(c) for c in order), e.alias("_e"))
+    met = rows
+    for i, (a, b) in enumerate(pairs):
+        known = library.groupBy(F.col(b).alias(f"_k{i}")).agg(F.collect_list(F.struct(*library.columns)).alias(f"_m{i}"))
+        met = met.join(share(known), F.col(a) == F.col(f"_k{i}"), "left")
+    best = F.array_min(F.array(*(F.array_min(F.transform(f"_m{i}", first)) for i in range(len(pairs)))))
+    met = met.select(*rows.columns, best.alias("_b")).where("_b is not null").select(*rows.columns, "_b._e.*", F.when(F.col("_b._o") < last, -F.col("_b._o")).alias("score"))
+    return keep_best(met, ids, [F.desc("score"), *order])
 
 
 def best_agreement(rows: DataFrame, library: DataFrame, pairs: Sequence[tuple[str, str]], score: Callable[[Sequence[Column]], Column], ids: Sequence[str], order: Sequence[str]) -> DataFrame:

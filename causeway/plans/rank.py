@@ -86,9 +86,11 @@ def with_pattern_prior(df: DataFrame, library: DataFrame) -> DataFrame:
     """Adds cve_pattern_prior_score from a library (pattern_id, category, operation_type, support_count, confidence, templates), lifts bug_pattern_score by it."""
     lib = library.select("pattern_id", F.lower(F.trim("category")).alias("category"), "operation_type", "support_count", "confidence", "templates")
     top = lib.agg(F.max("support_count").alias("max_support"))
-    lib = small(lib.crossJoin(F.broadcast(top)))
+    lib = lib.crossJoin(F.broadcast(top))
     wanted = df.where(~F.col("matched_bug_pattern").isin("none", "unknown", "")).withColumn("words", F.filter(F.split(F.translate("low", "_", " "), r"\s+"), lambda x: F.length(x) > 2))
-    score = scoring.prior_score(F.col("matched_bug_pattern") == F.col("category"), F.col("operation") == F.col("operation_type"), F.col("support_count"), F.col("max_support"), F.col("confidence"), scoring.template_score(F.array_distinct("words"), F.transform("templates", lambda t: F.array_distinct(F.filter(F.split(F.translate(t, "_", " "), r"\s+"), lambda x: F.length(x) > 2)))))
+    parts = lambda c: F.array_distinct(F.filter(F.split(F.translate(c, "_", " "), r"\s+"), lambda x: F.length(x) > 2))
+    text = lambda e: scoring.template_score(F.array_distinct("words"), F.transform(e["templates"], parts))
+    score = lambda e: scoring.prior_score(F.col("matched_bug_pattern") == e["category"], F.col("operation") == e["operation_type"], e["support_count"], e["max_support"], e["confidence"], text(e))
     best = best_match(wanted.select("bug_id", "node_id", "matched_bug_pattern", "operation", "words"), lib, [("matched_bug_pattern", "category"), ("operation", "operation_type")], score, ["bug_id", "node_id"], ["pattern_id"])
     out = df.join(best.select("bug_id", "node_id", F.col("score").alias("cve_pattern_prior_score"), F.col("pattern_id").alias("cve_pattern_id")), ["bug_id", "node_id"], "left").na.fill(0.0, ["cve_pattern_prior_score"])
     return out.withColumn("bug_pattern_score", F.round(F.least(F.col("bug_pattern_score") + 0.12 * F.col("cve_pattern_prior_score"), F.lit(1.0)), 4))

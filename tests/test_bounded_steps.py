@@ -1,10 +1,13 @@
 """Steps whose memory in one task must not grow with what a key has."""
 
+import math
+
 import duckdb
 
 from causeway import queries
 from causeway.functions import text
 from causeway.operators import joins
+from causeway.plans import rank
 
 
 def test_theta_ranks_one_row_a_part(spark, tmp_path, monkeypatch):
@@ -44,3 +47,24 @@ def test_whole_texts_go_to_python_in_small_batches(spark, tmp_path):
     frames = [df, *(spark.createDataFrame([("x",)], "text string").select(f("text")) for f in (text.json_object, text.unfixed))]
     plans = [f._jdf.queryExecution().executedPlan().toString() for f in frames]
     assert all("BatchEvalPython" in p and "Arrow" not in p for p in plans)  # Arrow batches have 10,000 rows
+
+
+def test_pattern_prior_ranks_one_row_a_node(spark, monkeypatch):
+    nodes = [("b", str(i), f"p{i % 3}", f"o{i % 4}" if i % 5 else None, "len_word1" if i % 2 else "other", 0.1) for i in range(40)]
+    lib = [(i, f" P{i % 3}" if i % 7 else None, f"o{i % 5}", 7 * i % 20, 0.5, [f"word{i % 2} len"]) for i in range(60)]
+    ranked, best = [], joins.keep_best
+    monkeypatch.setattr(joins, "keep_best", lambda df, *a: ranked.append(df.count()) or best(df, *a))
+    df = spark.createDataFrame(nodes, "bug_id string, node_id string, matched_bug_pattern string, operation string, low string, bug_pattern_score double")
+    library = spark.createDataFrame(lib, "pattern_id int, category string, operation_type string, support_count long, confidence double, templates array<string>")
+    got = {r.node_id: (r.cve_pattern_prior_score, r.cve_pattern_id) for r in rank.with_pattern_prior(df, library).collect()}
+
+    def prior(node, entry):
+        words = {w for w in node[4].split("_") if len(w) > 2}
+        named = set(entry[5][0].split())
+        lent = 0.45 * ((entry[1] or "").strip().lower() == node[2]) + 0.25 * (entry[2] == node[3])
+        return lent and min(lent + 0.18 * math.log1p(entry[3]) / math.log1p(19) + 0.05 + 0.02 * len(words & named) / len(named), 1)
+
+    for node in nodes:
+        score, first = min((-round(prior(node, e), 4), e[0]) for e in lib if prior(node, e))
+        assert got[node[1]] == (-score, first)
+    assert max(ranked) == len(nodes)
